@@ -85,7 +85,7 @@ def rewrite_literals(text: Column | str, bucket: str, run_id: str) -> Column:
 
 
 def called_literals(text: Column | str, method: str = TARGET_METHOD) -> Column:
-    """The quoted literals that ``.method("literal"`` calls in a script name.
+    """The literals, as written, that ``.method("literal"`` calls in a script name.
 
     A call counts when its first argument is one plain string literal: keyword
     arguments, variables, f-strings, byte strings and expressions on a literal
@@ -116,7 +116,7 @@ def rewrite_calls(
 
 def _calls(method: str) -> str:
     """Group 1 is the literal of a call; comments and other strings are tokens too."""
-    call = rf"\.\s*+{re.escape(method)}\s*+\(\s*+[uUrR]?({_STRING})(?=\s*+[,)])"
+    call = rf"\.\s*+{re.escape(method)}\s*+\(\s*+([uUrR]?(?:{_STRING}))(?=\s*+[,)])"
     return rf"[^.#\"']*+(?:{call}|#[^\n]*+|{_STRING}|[.#\"']|{_END})"
 
 

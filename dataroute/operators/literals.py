@@ -43,9 +43,9 @@ def call_literals(
     # Texts that never name the method cost one substring search, no regex.
     named = df.filter(F.col(text_col).contains(method))
     found = _exploded(named, text_col, called_literals(text_col, method))
-    # Quotes are one or three characters long.
+    # Without its prefix and its quotes, which are one or three characters long.
     literal = F.regexp_extract(
-        "found", r"\A(\"\"\"|'''|\"|')([\s\S]*)\1(?![\s\S])", 2
+        "found", r"\A[uUrR]?(\"\"\"|'''|\"|')([\s\S]*)\1(?![\s\S])", 2
     )
     calls = found.select(
         *_other_columns(df, text_col), "pos", literal.alias("literal")
