@@ -31,7 +31,8 @@ BUCKET_VARIABLE = "S3_BUCKET"
 BASE_PATH_VARIABLE = "S3_BASE_PATH"
 # ------------------------------------------------------------------------------
 
-_END = r"(?![\s\S])"
+_ANY = r"(?s:.)"
+_END = f"(?!{_ANY})"
 
 # Group 1 is a quoted literal: a quote, one character of any kind, then everything
 # up to the same quote on the same line. There are no back-references, so each
@@ -42,10 +43,10 @@ _QUOTED = (
 
 # Python string literals. Possessive repeats keep long literals off the stack.
 _SHORT_STRING = (
-    r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"'
-    r"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"
+    rf'"[^"\\\n]*+(?:\\{_ANY}[^"\\\n]*+)*+"'
+    rf"|'[^'\\\n]*+(?:\\{_ANY}[^'\\\n]*+)*+'"
 )
-_LONG_STRING = r'"""[\s\S]*?"""' + r"|'''[\s\S]*?'''"
+_LONG_STRING = r'"""(?s:.*?)"""' + r"|'''(?s:.*?)'''"
 _STRING = f"{_LONG_STRING}|{_SHORT_STRING}"
 
 
