@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Collection
 from typing import NamedTuple
 
@@ -105,23 +104,18 @@ def _from_output(
 
 
 def _first_entry(spark: SparkSession, folder: str) -> str | None:
-    """First entry of a folder by name, on any file system; null when it is empty.
+    """First visible entry of a folder by name, on any file system Spark knows.
 
-    Files are listed, not opened: their content is not selected.
+    One listing of this level only: a recursive one would visit every file of
+    every table below. It comes sorted, and one name of it reaches Python.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-    )
-    # Listed paths are qualified, so the folder's scheme may be spelt otherwise.
-    marker = re.sub(r"^[A-Za-z][\w+.-]*:(//)?", "", folder) + "/"
-    start = F.locate(marker, F.col("path")) + len(marker)
-    entry = F.substring_index(F.substr("path", start), "/", 1)
-    first = files.agg(F.min(entry).alias("entry")).first().entry
-    if first is None:
+    visible = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/[^._]*")
+    files = visible.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    entries = files.globStatus(visible)
+    if not entries:
         return None
-    return folder if first.startswith(PART_FILE_PREFIX) else f"{folder}/{first}"
+    name = entries[0].getPath().getName()
+    return folder if name.startswith(PART_FILE_PREFIX) else f"{folder}/{name}"
 
 
 def _is_missing(problem: Exception) -> bool:

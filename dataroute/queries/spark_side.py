@@ -410,7 +410,7 @@ def flow_priority_orders(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "custkey")
     result = (
         orders.join(customers, "custkey")
-        .filter(F.col("o_totalprice") > 1000)
+        .filter(F.col("o_orderpriority") == "1-URGENT")
         .select("o_orderkey", "c_name", "o_orderdate", "o_totalprice")
     )
     root = dr.scratch_location(spark, "flow")

@@ -298,6 +298,6 @@ ORACLES = {
                    'o_orderkey': o_orderkey, 'c_name': c_name,
                    'o_orderdate': strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g'),
                    'o_totalprice': o_totalprice}) AS VARCHAR) AS record
-        FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 1000
+        FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'
     """,
 }
