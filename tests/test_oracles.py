@@ -1,11 +1,13 @@
 """Every query against its SQL, in rows, values and column types."""
 
+import os
+
 import pytest
 from compare import duck, duck_bag, schemas, spark_bag
 
 import __spark_entry__ as contract
 
-SF_DIR = "/root/testdata/sf0.01"
+SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="module")
