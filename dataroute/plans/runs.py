@@ -90,6 +90,8 @@ def _publish(spark: SparkSession, name: str, records_path: str, where: Mapping):
         return _failed(name, found, JSON_SERIALIZATION_ERROR, problem)
     try:
         save_records(rows, records_path)
+    except AnalysisException:
+        raise  # the target is at fault, say because it exists; not this result
     except READ_FAILURES as problem:
         return _failed(name, found, READ_ERROR, problem)
     return _outcome(name, found, counted.get["n_rows"])

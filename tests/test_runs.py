@@ -213,3 +213,17 @@ def test_finished_runs(spark, people, tmp_path):
     }
     assert dr.scan(spark, "text", str(tmp_path / "good")).count() == 3
     assert dr.scan(spark, "text", str(tmp_path / "folded")).count() == 0
+
+
+def test_records_are_never_written_over(spark, people, tmp_path):
+    dr.finish_run(spark, "first", str(tmp_path / "records"), df=people)
+    with pytest.raises(AnalysisException):
+        dr.finish_run(spark, "second", str(tmp_path / "records"), df=people.limit(1))
+    assert dr.scan(spark, "text", str(tmp_path / "records")).count() == 3
+
+
+def test_types_without_a_json_form_are_published_as_text(spark, tmp_path):
+    df = spark.sql("select 1 as id, make_interval(1, 2) as span")
+    outcome = dr.finish_run(spark, "spans", str(tmp_path / "records"), df=df).first()
+    assert (outcome.status, outcome.n_rows, outcome.n_cols) == ("success", 1, 2)
+    assert "1 years 2 months" in dr.scan(spark, "text", str(tmp_path / "records")).first().value
