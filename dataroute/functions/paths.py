@@ -67,6 +67,9 @@ _FIRST_DOT = (
 # in one.
 _LAST_PART = r"(?:\A|\n)(?:[^\n]*/)?([^/\n]+|[^/\n]*/)(?:\n[^/]*)?" + _END
 
+# A stem with something other than leading dots in its last part, and an extension.
+_EXTENSION = rf"\A({_ALL}[^/.]\.*)\.[^/.]*" + _END
+
 
 def base_name(path: Column | str) -> Column:
     """File name without directory and without its last extension."""
@@ -108,7 +111,10 @@ def base_name_by_rules(path: Column | str, rules: Sequence[str]) -> Column:
     candidates = [_rule_name(path, rule) for rule in rules if _usable(rule)]
     if not candidates:
         return F.lit(None).cast("string")
-    return _underscored(strip_extension(F.coalesce(*candidates)))
+    # Like strip_extension, in a form that names the long expression only once.
+    return _underscored(
+        F.regexp_replace(F.coalesce(*candidates), _EXTENSION, "$1")
+    )
 
 
 def redirect_path(

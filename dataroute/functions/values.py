@@ -43,7 +43,7 @@ def json_value(value: Column, kind: T.DataType) -> Column:
 def text_value(value: Column, kind: T.DataType) -> Column:
     """A value as text; null and NaN are null."""
     if isinstance(kind, _FLOATING):
-        return _float_text(F.when(~F.isnan(value), value))
+        return _float_text(value)
     if isinstance(kind, T.BooleanType):
         return F.initcap(value.cast("string"))
     return value.cast("string")
@@ -77,7 +77,8 @@ def _float_text(value: Column) -> Column:
     exponent = F.regexp_replace(exponent, r"(?:\.0)?E-", "e-")
     exponent = F.regexp_replace(exponent, r"e([+-])(\d)$", "e$10$2")
     return (
-        F.when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))
+        F.when(F.isnan(value), None)
+        .when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))
         .when((size >= 1e16) | ((size > 0) & (size < 1e-4)), exponent)
         .when((size >= 1e7) | ((size > 0) & (size < 1e-3)), F.coalesce(plain, digits))
         .otherwise(spark_text)

@@ -45,7 +45,7 @@ def call_literals(
     found = _exploded(named, text_col, called_literals(text_col, method))
     # Without its prefix and its quotes, which are one or three characters long.
     literal = F.regexp_extract(
-        "found", r"\A[uUrR]?(\"\"\"|'''|\"|')([\s\S]*)\1(?![\s\S])", 2
+        "found", r"\A[uUrR]?(\"\"\"|'''|\"|')((?s:.*))\1(?!(?s:.))", 2
     )
     calls = found.select(
         *_other_columns(df, text_col), "pos", literal.alias("literal")
