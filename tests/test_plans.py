@@ -96,3 +96,39 @@ def test_functions_on_a_stream(spark, tmp_path):
     expected = routed(pages)
     assert got.count() == expected.count()
     assert got.exceptAll(expected).count() == 0
+
+
+@pytest.fixture
+def settings(spark):
+    """Session settings for one test."""
+    before = {}
+
+    def change(**values):
+        for name, value in values.items():
+            key = "spark.sql." + name.replace("__", ".")
+            before.setdefault(key, spark.conf.get(key))
+            spark.conf.set(key, value)
+
+    yield change
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def test_hot_join_key_is_split(spark, settings, tmp_path):
+    """A third of all orders belong to one customer; its partition is split."""
+    settings(
+        autoBroadcastJoinThreshold="-1",
+        adaptive__advisoryPartitionSizeInBytes="64KB",
+        adaptive__skewJoin__skewedPartitionThresholdInBytes="128KB",
+        adaptive__skewJoin__skewedPartitionFactor="2",
+    )
+    orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").repartition(8)
+    hot = orders.withColumn(
+        "custkey", F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(F.col("o_custkey"))
+    )
+    customers = spark.read.parquet("/root/testdata/sf0.01/customer.parquet")
+    joined = hot.join(customers.withColumnRenamed("c_custkey", "custkey"), "custkey")
+    location = dr.save_unique(joined, str(tmp_path))
+    assert dr.scan(spark, "parquet", location).count() == orders.count()
+    joined.collect()
+    assert "SortMergeJoin(skew=true)" in plan(joined)
