@@ -2,7 +2,7 @@
 
 from dataroute.plans.inventory import literal_inventory
 from dataroute.plans.redirects import redirect_collisions, redirect_plan
-from dataroute.plans.runs import append_outcomes, audit, finish_run
+from dataroute.plans.runs import append_outcomes, audit, finish_run, run_job
 
 __all__ = [
     "append_outcomes",
@@ -11,4 +11,5 @@ __all__ = [
     "literal_inventory",
     "redirect_collisions",
     "redirect_plan",
+    "run_job",
 ]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from dataroute.operators.records import save_records, stringify, to_records
 from dataroute.operators.resolve import (
     JSON_SERIALIZATION_ERROR,
+    NONE,
     READ_ERROR,
     READ_FAILURES,
     Resolved,
+    new_views,
     resolve,
     shape,
+    temp_views,
 )
 from dataroute.sources.save import save
 
@@ -61,12 +64,41 @@ def finish_run(
     written, so the result is read once. The outcome row is also appended to
     ``log_path`` when that is given.
     """
-    outcome = spark.createDataFrame(
-        [_publish(spark, name, records_path, where)], OUTCOME_SCHEMA
+    return _reported(spark, _publish(spark, name, records_path, where), log_path)
+
+
+def run_job(
+    spark: SparkSession,
+    name: str,
+    job: Callable[[SparkSession, str], DataFrame | None],
+    run_dir: str,
+    log_path: str | None = None,
+) -> DataFrame:
+    """Run ``job(spark, output_dir)``, find its result, publish it, report.
+
+    The job may save ``result.parquet`` (or another table) in ``output_dir``,
+    create one temporary view, or return a DataFrame; ``resolve`` picks in this
+    order and the records go to ``{run_dir}/records``. Give every run a folder of
+    its own, as ``unique_location`` does, and no result of an earlier run can be
+    taken for this one's. A job that raises has an ``error`` outcome and no
+    result, whatever it left behind.
+    """
+    output_dir = f"{run_dir.rstrip('/')}/output"
+    before = temp_views(spark)
+    try:
+        returned = job(spark, output_dir)
+    except Exception as problem:  # noqa: BLE001 - any failure is the job's outcome
+        failed = Resolved(None, NONE, None, f"{type(problem).__name__}: {problem}")
+        return _reported(spark, _outcome(name, failed), log_path)
+    return finish_run(
+        spark,
+        name,
+        f"{run_dir.rstrip('/')}/records",
+        log_path,
+        output_dir=output_dir,
+        new_views=new_views(spark, before),
+        df=returned if isinstance(returned, DataFrame) else None,
     )
-    if log_path is not None:
-        append_outcomes(outcome, log_path)
-    return outcome
 
 
 def append_outcomes(outcomes: DataFrame, log_path: str) -> None:
@@ -78,6 +110,13 @@ def append_outcomes(outcomes: DataFrame, log_path: str) -> None:
     save(outcomes, f"{log_path.rstrip('/')}/run={uuid.uuid4()}")
 
 
+def _reported(spark: SparkSession, outcome: tuple, log_path: str | None) -> DataFrame:
+    reported = spark.createDataFrame([outcome], OUTCOME_SCHEMA)
+    if log_path is not None:
+        append_outcomes(reported, log_path)
+    return reported
+
+
 def _publish(spark: SparkSession, name: str, records_path: str, where: Mapping):
     found = resolve(spark, **where)
     if found.df is None:

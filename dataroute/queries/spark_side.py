@@ -269,6 +269,42 @@ def c5_run_log(spark, sf_dir):
     )
 
 
+def c5_run_job(spark, sf_dir):
+    """One job of each kind; their outcomes and the sizes of their records."""
+    root = dr.scratch_location(spark, "jobs")
+    view = f"view_{uuid.uuid4().hex}"
+    orders, customers = (table(spark, sf_dir, name) for name in ("orders", "customer"))
+
+    def saves(spark, output_dir):
+        dr.save(orders.filter("o_orderkey > 1"), f"{output_dir}/result.parquet")
+        return customers
+
+    def names_a_view(spark, output_dir):
+        customers.createOrReplaceTempView(view)
+        return orders
+
+    def returns(spark, output_dir):
+        return orders.join(customers, orders.o_custkey == customers.c_custkey)
+
+    def fails(spark, output_dir):
+        dr.save(customers, f"{output_dir}/result.parquet")
+        raise ValueError("the job fails after saving")
+
+    outcomes, sizes = [], []
+    for job in (saves, names_a_view, returns, fails):
+        run_dir = dr.unique_location(root, suffix="")
+        outcomes.append(dr.run_job(spark, job.__name__, job, run_dir))
+        if job is not fails:
+            records = dr.scan(spark, "text", f"{run_dir}/records")
+            sizes.append(dr.shape(records).select(F.lit(job.__name__).alias("name"), "n_rows"))
+    spark.catalog.dropTempView(view)
+    columns = ["name", "status", "result_source", "n_rows", "n_cols", "error_message"]
+    records = reduce(DataFrame.unionByName, sizes).withColumnRenamed("n_rows", "n_records")
+    return (
+        reduce(DataFrame.unionByName, outcomes).select(*columns).join(records, "name", "left")
+    )
+
+
 def c6_preview(spark, sf_dir):
     return dr.preview(table(spark, sf_dir, "documents"), 20, order_by="doc_id")
 
@@ -447,6 +483,7 @@ QUERIES = {
     "c4_shape": c4_shape,
     "c5_audit": c5_audit,
     "c5_run_log": c5_run_log,
+    "c5_run_job": c5_run_job,
     "c6_preview": c6_preview,
     "d1_project": d1_project,
     "d2_filter": d2_filter,

@@ -212,6 +212,21 @@ ORACLES = {
         UNION ALL SELECT 'repeated', 'error', 'json_serialization_error', NULL, NULL
         UNION ALL SELECT 'records', 'success', 'text', count(*), 1 FROM orders
     """,
+    "c5_run_job": """
+        SELECT 'saves' AS name, 'success' AS status, 'parquet' AS result_source,
+               count(*) AS n_rows, 6 AS n_cols,
+               CAST(NULL AS VARCHAR) AS error_message, count(*) AS n_records
+        FROM orders WHERE o_orderkey > 1
+        UNION ALL
+        SELECT 'names_a_view', 'success', 'view', count(*), 5, NULL, count(*)
+        FROM customer
+        UNION ALL
+        SELECT 'returns', 'success', 'direct_dataframe', count(*), 11, NULL, count(*)
+        FROM orders JOIN customer ON o_custkey = c_custkey
+        UNION ALL
+        SELECT 'fails', 'error', 'none', NULL, NULL,
+               'ValueError: the job fails after saving', NULL
+    """,
     "c6_preview": """
         SELECT CAST(doc_id AS VARCHAR) AS doc_id,
                CASE WHEN length(text) > 100 THEN left(text, 100) || '...'

@@ -227,3 +227,42 @@ def test_types_without_a_json_form_are_published_as_text(spark, tmp_path):
     outcome = dr.finish_run(spark, "spans", str(tmp_path / "records"), df=df).first()
     assert (outcome.status, outcome.n_rows, outcome.n_cols) == ("success", 1, 2)
     assert "1 years 2 months" in dr.scan(spark, "text", str(tmp_path / "records")).first().value
+
+
+def test_jobs(spark, people, tmp_path, view):
+    log = str(tmp_path / "log")
+    name = f"view_{uuid.uuid4().hex}"
+
+    def saves(spark, output_dir):
+        dr.save(people, f"{output_dir}/result.parquet", mode="overwrite")
+
+    def names_a_view(spark, output_dir):
+        view(people.limit(2), name)
+        return people
+
+    def returns(spark, output_dir):
+        return people.limit(1)
+
+    def returns_something_else(spark, output_dir):
+        return 5
+
+    def fails(spark, output_dir):
+        saves(spark, output_dir)
+        people.select("no_such_column")
+
+    rows = {}
+    for job in (saves, names_a_view, returns, returns_something_else, fails):
+        run_dir = str(tmp_path / job.__name__)
+        rows[job] = dr.run_job(spark, job.__name__, job, run_dir, log).first()
+        assert (tmp_path / job.__name__ / "records").exists() == (rows[job].n_rows is not None)
+    assert {job.__name__: (row.status, row.result_source, row.n_rows) for job, row in rows.items()} == {
+        "saves": ("success", "parquet", 3),
+        "names_a_view": ("success", "view", 2),
+        "returns": ("success", "direct_dataframe", 1),
+        "returns_something_else": ("success", "none", None),
+        "fails": ("error", "none", None),
+    }
+    assert rows[saves].locator.endswith("/output/result.parquet")
+    assert rows[names_a_view].locator == name
+    assert "no_such_column" in rows[fails].error_message
+    assert dr.scan(spark, "parquet", log).count() == 5
