@@ -48,6 +48,7 @@ _SHORT_STRING = (
 )
 _LONG_STRING = r'"""(?s:.*?)"""' + r"|'''(?s:.*?)'''"
 _STRING = f"{_LONG_STRING}|{_SHORT_STRING}"
+_SPACE = r"(?:\s++|#[^\n]*+)*+"
 
 
 def clip(text: Column | str, length: int = PREVIEW_LENGTH) -> Column:
@@ -117,7 +118,9 @@ def rewrite_calls(
 
 def _calls(method: str) -> str:
     """Group 1 is the literal of a call; comments and other strings are tokens too."""
-    call = rf"\.\s*+{re.escape(method)}\s*+\(\s*+([uUrR]?(?:{_STRING}))(?=\s*+[,)])"
+    # Atomic: a literal that no comma or bracket follows must not run on to the next.
+    literal = rf"((?>[uUrR]?(?:{_STRING})))(?={_SPACE}[,)])"
+    call = rf"\.{_SPACE}{re.escape(method)}{_SPACE}\({_SPACE}{literal}"
     return rf"[^.#\"']*+(?:{call}|#[^\n]*+|{_STRING}|[.#\"']|{_END})"
 
 

@@ -71,6 +71,9 @@ CALL_SCRIPTS = [
     "a.b.parquet('''long\nname.csv''')",
     "a.parquet(r'raw\\x', 1); a.parquet(u'prefixed.csv')",
     "a.parquet(f'{x}/y.parquet')",
+    'a.parquet("""x""" + """y""")',
+    "a.parquet('x' + 'y', 'z')",
+    "a.parquet(\n    # where from\n    'x'\n)",
     "a.parquet(b'bytes.parquet')",
     "a.parquet('a' + b)",
     "a.parquet('%s.parquet' % b)",
