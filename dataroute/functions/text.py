@@ -50,6 +50,14 @@ _LONG_STRING = r'"""(?s:.*?)"""' + r"|'''(?s:.*?)'''"
 _STRING = f"{_LONG_STRING}|{_SHORT_STRING}"
 _SPACE = r"(?:\s++|#[^\n]*+)*+"
 
+# One part of a literal: its content is the one group that is set.
+_PART = (
+    rf'{_SPACE}[uUrR]?(?:"""((?s:.*?))"""'
+    rf"|'''((?s:.*?))'''"
+    rf'|"([^"\\\n]*+(?:\\{_ANY}[^"\\\n]*+)*+)"'
+    rf"|'([^'\\\n]*+(?:\\{_ANY}[^'\\\n]*+)*+)')"
+)
+
 
 def clip(text: Column | str, length: int = PREVIEW_LENGTH) -> Column:
     """The first ``length`` characters, marked with ``...`` where text was cut."""
@@ -89,13 +97,19 @@ def rewrite_literals(text: Column | str, bucket: str, run_id: str) -> Column:
 def called_literals(text: Column | str, method: str = TARGET_METHOD) -> Column:
     """The literals, as written, that ``.method("literal"`` calls in a script name.
 
-    A call counts when its first argument is one plain string literal: keyword
-    arguments, variables, f-strings, byte strings and expressions on a literal
-    do not, nor does anything inside a comment or another string.
+    A call counts when its first argument is a plain string literal, in adjacent
+    parts or one: keyword arguments, variables, f-strings, byte strings and
+    expressions on a literal do not, nor does anything inside a comment or another
+    string.
     """
     return _named(as_column(text), _calls(method))
 
 
+def literal_content(literal: Column | str) -> Column:
+    """What a literal as written says, escapes as they stand; adjacent parts join."""
+    return F.regexp_replace(as_column(literal), _PART, "$1$2$3$4")
+
+
 def rewrite_calls(
     text: Column | str,
     method: str = TARGET_METHOD,
@@ -119,7 +133,8 @@ def rewrite_calls(
 def _calls(method: str) -> str:
     """Group 1 is the literal of a call; comments and other strings are tokens too."""
     # Atomic: a literal that no comma or bracket follows must not run on to the next.
-    literal = rf"((?>[uUrR]?(?:{_STRING})))(?={_SPACE}[,)])"
+    part = rf"[uUrR]?(?:{_STRING})"
+    literal = rf"((?>{part}(?:{_SPACE}{part})*+))(?={_SPACE}[,)])"
     call = rf"\.{_SPACE}{re.escape(method)}{_SPACE}\({_SPACE}{literal}"
     return rf"[^.#\"']*+(?:{call}|#[^\n]*+|{_STRING}|[.#\"']|{_END})"
 

@@ -9,6 +9,7 @@ from dataroute.functions.paths import base_name_first_dot
 from dataroute.functions.text import (
     TARGET_METHOD,
     called_literals,
+    literal_content,
     quoted,
     unquoted,
 )
@@ -43,12 +44,8 @@ def call_literals(
     # Texts that never name the method cost one substring search, no regex.
     named = df.filter(F.col(text_col).contains(method))
     found = _exploded(named, text_col, called_literals(text_col, method))
-    # Without its prefix and its quotes, which are one or three characters long.
-    literal = F.regexp_extract(
-        "found", r"\A[uUrR]?(\"\"\"|'''|\"|')((?s:.*))\1(?!(?s:.))", 2
-    )
     calls = found.select(
-        *_other_columns(df, text_col), "pos", literal.alias("literal")
+        *_other_columns(df, text_col), "pos", literal_content("found").alias("literal")
     ).withColumn("base", base_name_first_dot("literal"))
     if destination is not None:
         calls = calls.withColumn("destination", destination)

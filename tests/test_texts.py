@@ -73,6 +73,9 @@ CALL_SCRIPTS = [
     "a.parquet(f'{x}/y.parquet')",
     'a.parquet("""x""" + """y""")',
     "a.parquet('x' + 'y', 'z')",
+    "a.parquet('x/'  # first\n  r\"y.csv\", 1)",
+    "a.parquet('x' f'{y}')",
+    "a.parquet('')",
     "a.parquet(\n    # where from\n    'x'\n)",
     "a.parquet(b'bytes.parquet')",
     "a.parquet('a' + b)",
@@ -185,6 +188,18 @@ def test_golden_calls(spark):
     ]
 
 
+def test_call_contents_are_what_the_parser_reads(spark):
+    df = dr.call_literals(texts(spark, CALL_SCRIPTS), "text").orderBy("id", "pos")
+    found = [(row.id, row.literal) for row in df.collect()]
+    expected = [
+        (i, ast.literal_eval(f"({call})"))
+        for i, script in enumerate(CALL_SCRIPTS)
+        for call in parsed_calls(script)
+    ]
+    # Escapes stay as they are written.
+    assert [(i, literal.replace("\\'", "'")) for i, literal in found] == expected
+
+
 def test_call_destinations_are_unique(spark):
     df = dr.call_literals(
         texts(spark, [MODES] * 50), "text", destination=dr.unique_path("b", "base")
