@@ -204,7 +204,7 @@ def test_unique_paths_differ(spark):
     ids=["slashes", "dots", "hidden", "plain", "newlines"],
 )
 def test_long_paths_take_linear_time(spark, text):
-    """The unanchored definitions would need hours for these."""
+    """The unanchored definitions take up to cubic time for these."""
     ((path, *_),) = evaluate(
         spark,
         [text],
