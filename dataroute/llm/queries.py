@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dataroute.llm import bpe, packing
+from dataroute.llm.exact_dedup import copy_groups
 from dataroute.llm.substring_dedup import remove_repeated_passages
 
 
@@ -12,6 +15,28 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of several equal texts stays."""
+    return copy_groups(_documents(spark, sf_dir))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Token ids of every text and their decoding, as digests."""
+    definition = bpe.read_definition(path or public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.encode_documents(_documents(spark, sf_dir), definition).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Every document's place in sequences of 2048 tokens."""
+    definition = packing.read_definition(path or public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(_documents(spark, sf_dir), definition).drop("ids")
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that are left without passages of 13 words that an earlier document has."""
     return remove_repeated_passages(_documents(spark, sf_dir)).select(
@@ -19,4 +44,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op10_substring_dedup": op10_substring_dedup}
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op4_bpe": op4_bpe,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op10_substring_dedup": op10_substring_dedup,
+}

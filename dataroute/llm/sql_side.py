@@ -29,4 +29,14 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """
 
-ORACLES = {"op10_substring_dedup": OP10}
+OP1 = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+ORACLES = {
+    "op1_exact_dedup": OP1,
+    "op10_substring_dedup": OP10,
+}
