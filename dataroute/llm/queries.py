@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from dataroute.llm import bpe, packing
 from dataroute.llm.exact_dedup import copy_groups
+from dataroute.llm.secrets import find_secrets
 from dataroute.llm.substring_dedup import remove_repeated_passages
 
 
@@ -37,6 +38,13 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str, path: str | None = No
     return packing.pack(_documents(spark, sf_dir), definition).drop("ids")
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text and a digest of those that the fixed patterns find."""
+    return find_secrets(_documents(spark, sf_dir)).select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans"
+    )
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that are left without passages of 13 words that an earlier document has."""
     return remove_repeated_passages(_documents(spark, sf_dir)).select(
@@ -48,5 +56,6 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_bpe": op4_bpe,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op9_secret_scan": op9_secret_scan,
     "op10_substring_dedup": op10_substring_dedup,
 }

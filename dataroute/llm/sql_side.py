@@ -36,7 +36,60 @@ FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+# Fixed by the contract, and the formats of issued keys as their issuers publish them.
+SECRET_PATTERNS = {
+    "assign": r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+    "access": r"AKIA[A-Z0-9]+",
+    "hex": r"[0-9a-f]+",
+    "key": r"gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}"
+    r"|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+}
+LEAST = {"assign": 6, "access": 20, "hex": 24, "key": 16}
+
+_FOUND = " UNION ALL ".join(
+    f"""
+    SELECT uid, owner, '{kind}' AS kind, {rank} AS rank, i, len(g[i]) AS gap, f[i] AS found, v[i] AS value
+    FROM (
+      SELECT uid, owner, string_split_regex(t, '{pattern}') AS g, regexp_extract_all(t, '{pattern}') AS f,
+             regexp_extract_all(t, '{pattern}', {int(kind == "assign")}) AS v
+      FROM d
+    ), unnest(range(1, len(f) + 1)) AS r(i)
+    """
+    for rank, (kind, pattern) in enumerate(SECRET_PATTERNS.items())
+)
+_LONG = " OR ".join(f"kind = '{kind}' AND len(value) >= {least}" for kind, least in LEAST.items())
+
+OP9 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS uid, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t
+  FROM documents
+),
+found AS ({_FOUND}),
+placed AS (
+  SELECT uid, owner, kind, rank, value,
+         sum(gap + len(found)) OVER (PARTITION BY uid, kind ORDER BY i) - len(found) AS s, len(found) AS n
+  FROM found
+),
+span AS (SELECT * FROM placed WHERE {_LONG}),
+held AS (SELECT value, count(DISTINCT owner) AS owners FROM span GROUP BY value),
+said AS (
+  SELECT uid, kind, kind || ':' || s || ':' || (s + n) AS x, s, rank
+  FROM span JOIN held USING (value) WHERE kind <> 'key' OR owners < 4
+),
+per AS (
+  SELECT uid, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b,
+         count(*) FILTER (kind = 'hex') AS h,
+         string_agg(x, ',' ORDER BY s, rank) FILTER (kind <> 'key') AS base,
+         string_agg(x, ',' ORDER BY s, rank) AS spans
+  FROM said GROUP BY uid
+)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(h, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN per ON d.uid = per.uid
+"""
+
 ORACLES = {
     "op1_exact_dedup": OP1,
+    "op9_secret_scan": OP9,
     "op10_substring_dedup": OP10,
 }
