@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataroute.llm import bpe, packing
+from dataroute.llm import bpe, language_id, packing, toxicity
 from dataroute.llm.exact_dedup import copy_groups
 from dataroute.llm.secrets import find_secrets
 from dataroute.llm.substring_dedup import remove_repeated_passages
@@ -32,12 +32,28 @@ def op4_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     )
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text; every text with a letter gets a learnt one."""
+    docs = _documents(spark, sf_dir)
+    model = language_id.fit(docs)
+    return language_id.predict(docs, model).select(
+        "doc_id", "held_out", "lang_pred", "score", "rejected"
+    )
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Every document's place in sequences of 2048 tokens."""
     definition = packing.read_definition(path or public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack(_documents(spark, sf_dir), definition).drop("ids")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every text."""
+    docs = _documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text and a digest of those that the fixed patterns find."""
     return find_secrets(_documents(spark, sf_dir)).select(
@@ -55,7 +71,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_bpe": op4_bpe,
+    "op5_language_id": op5_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
     "op10_substring_dedup": op10_substring_dedup,
 }
