@@ -12,6 +12,7 @@ forward-backward per informative token, however long it is.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -37,6 +38,8 @@ WINDOWS, REACH, ROUNDS, L2 = 4, 6, 150, 1e-4
 THRESHOLD = 0.3
 #: A token whose marginal reaches this is offending.
 OFFENDING = 0.5
+#: Added to evidence before its logarithm is taken; the doubt that always remains of a word.
+FLOOR, LEAST_DOUBT = 0.05, 1e-3
 KNOWN_TOKENS = 500_000
 
 TOKEN = re.compile(r"[^\W_]+")
@@ -51,6 +54,7 @@ class Model(NamedTuple):
     bias: float
     transitions: np.ndarray  # 2 x 2 potentials in logs, from row to column
     start: np.ndarray  # potentials in logs of the first tag
+    calibration: tuple[float, float] = (0.0, 1.0)  # from evidence in logs to log-odds
 
 
 def held_out(doc_id: str = "doc_id", modulus: int = 4, remainder: int = 2) -> Column:
@@ -153,7 +157,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_pylist(out, schema=_WINDOW)
 
     sampled = rows.select("doc_id", "text", "label").mapInArrow(windows, "words array<string>, tags array<int>").collect()
-    return _train(sorted((tuple(x["words"]), tuple(x["tags"])) for x in sampled))
+    model = _train(sorted((tuple(x["words"]), tuple(x["tags"])) for x in sampled))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = Tagger(model)
+        for batch in batches:
+            found = [tagger.judge(_words(x))[2] for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"label": batch.column("label"), "evidence": pa.array(found, pa.float64())})
+
+    judged = rows.select("text", "label").mapInArrow(judge, "label int, evidence double").collect()
+    return model._replace(calibration=_calibrate(sorted((x["evidence"], x["label"]) for x in judged)))
 
 
 _WINDOW = pa.schema([("words", pa.list_(pa.string())), ("tags", pa.list_(pa.int32()))])
@@ -165,6 +178,21 @@ def _kind(words: list[str]) -> int:
     return min(xxhash.xxh64_intdigest(x) for x in triples) >> 1
 
 
+def _calibrate(judged: list[tuple[float, int]]) -> tuple[float, float]:
+    """A logistic curve through the labels over the logarithm of the evidence."""
+    if not judged:
+        return 0.0, 1.0
+    x = np.log(FLOOR + np.array([e for e, _ in judged]))
+    y = np.array([label for _, label in judged], float)
+    design = np.stack([np.ones_like(x), x], axis=1)
+    theta = np.zeros(2)
+    for _ in range(30):  # Newton's method; the ridge keeps separable labels finite
+        p = 1 / (1 + np.exp(-np.clip(design @ theta, -40, 40)))
+        hessian = (design * (p * (1 - p))[:, None]).T @ design + 0.01 * np.eye(2)
+        theta += np.clip(np.linalg.solve(hessian, design.T @ (y - p) - 0.01 * theta), -2, 2)
+    return float(theta[0]), float(max(theta[1], 0.1))
+
+
 def _train(sample: list[tuple[tuple[str, ...], tuple[int, ...]]]) -> Model:
     """Maximum likelihood with an L2 penalty, by adaptive gradient steps."""
     numbers: dict[str, int] = {}
@@ -268,6 +296,28 @@ class Tagger:
         known, weight = self.known, self.weight
         return [i for i, w in enumerate(words) if (known[w] if w in known else weight(w)) != 0.0]
 
+    def judge(self, words: list[str]) -> tuple[list[int], list[float], float, float]:
+        """Informative places, their marginals, the document's evidence and its score.
+
+        Evidence is that of independent causes, each distinct word counting once: the
+        negative logarithm of the chance that none of them is toxic.
+        """
+        at = self.informative(words)
+        if not at:
+            return at, [], 0.0, self.scale(0.0)
+        marginals = self.marginals(words, at)
+        most: dict[str, float] = {}
+        for i, p in zip(at, marginals, strict=True):
+            most[words[i]] = max(p, most.get(words[i], 0.0))
+        evidence = -sum(math.log(max(1 - p, LEAST_DOUBT)) for p in most.values())
+        return at, marginals, evidence, self.scale(evidence)
+
+    def scale(self, evidence: float) -> float:
+        base, slope = self.model.calibration
+        if not self.model.weights:
+            return 0.0
+        return 1 / (1 + math.exp(-max(-40.0, min(40.0, base + slope * math.log(FLOOR + evidence)))))
+
     def _run(self, length: int) -> np.ndarray:
         """``length`` steps over tokens without features, up to a factor."""
         if length == 0:
@@ -307,11 +357,12 @@ class Tagger:
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Toxicity of every row: the largest marginal of its tokens, and the offending spans.
+    """Toxicity of every row, from the marginals of its tokens, and the offending spans.
 
     ``spans`` are code point offsets of tokens whose marginal is at least 0.5. A null or
-    empty text, or one without an informative token, scores 0. ``held_out`` tells rows
-    whose labels were not learnt. One row per input row; repeated and null ids are carried
+    empty text, or one without an informative token, has the least score; without any
+    toxic document to learn from every score is 0. ``held_out`` tells rows whose labels
+    were not learnt. One row per input row; repeated and null ids are carried
     through, other columns are not read.
     """
     ship(docs.sparkSession)
@@ -322,10 +373,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, doc_id: s
             scores, spans = [], []
             for content in batch.column("text"):
                 content = content.as_py()
-                words = _words(content)
-                at = tagger.informative(words)
-                marginals = tagger.marginals(words, at) if at else []
-                scores.append(max(marginals, default=0.0))
+                at, marginals, _, value = tagger.judge(_words(content))
+                scores.append(value)
                 spans.append(_spans(content, dict(zip(at, marginals, strict=True))) if at else [])
             yield pa.RecordBatch.from_pydict(
                 {
