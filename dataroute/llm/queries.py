@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataroute.llm import bpe, language_id, packing, toxicity
+from dataroute.llm import bpe, language_id, packing, topk, toxicity
 from dataroute.llm.exact_dedup import copy_groups
 from dataroute.llm.secrets import find_secrets
 from dataroute.llm.substring_dedup import remove_repeated_passages
@@ -47,6 +47,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str, path: str | None = No
     return packing.pack(_documents(spark, sf_dir), definition).drop("ids")
 
 
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors with the largest integer inner product for every 20th vector."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.search(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every text."""
     docs = _documents(spark, sf_dir)
@@ -73,6 +79,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_language_id": op5_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_topk_search": op7_topk_search,
     "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
     "op10_substring_dedup": op10_substring_dedup,

@@ -36,6 +36,25 @@ FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+OP7 = """
+WITH scaled AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])) AS BIGINT) AS score
+  FROM scaled q JOIN scaled c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs
+)
+WHERE rank <= 20
+"""
+
 # Fixed by the contract, and the formats of issued keys as their issuers publish them.
 SECRET_PATTERNS = {
     "assign": r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
@@ -90,6 +109,7 @@ FROM d LEFT JOIN per ON d.uid = per.uid
 
 ORACLES = {
     "op1_exact_dedup": OP1,
+    "op7_topk_search": OP7,
     "op9_secret_scan": OP9,
     "op10_substring_dedup": OP10,
 }
