@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from dataroute.llm import bpe, language_id, packing, topk, toxicity
 from dataroute.llm.exact_dedup import copy_groups
+from dataroute.llm.jaccard_join import near_duplicates
 from dataroute.llm.secrets import find_secrets
 from dataroute.llm.substring_dedup import remove_repeated_passages
 
@@ -21,6 +22,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copy_groups(_documents(spark, sf_dir))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share 85 per cent of their 4-word shingles, as components."""
+    return near_duplicates(_documents(spark, sf_dir), words=4, percent=85)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Token ids of every text and their decoding, as digests."""
     definition = bpe.read_definition(path or public_tokenizers.path("word_bpe_49k.json"))
@@ -76,6 +82,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_bpe": op4_bpe,
     "op5_language_id": op5_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
