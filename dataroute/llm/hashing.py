@@ -52,6 +52,11 @@ def powers(seed: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(seed, 1 << max(10, int(length).bit_length()))
 
 
+def byte_values(data: np.ndarray, seed: int) -> np.ndarray:
+    """The seed's random value of each byte."""
+    return _seeded(seed)[0][data]
+
+
 def running(values: np.ndarray, seed: int) -> np.ndarray:
     """Running polynomial sums: entry ``i`` is the sum over ``values[:i]``."""
     out = np.zeros(len(values) + 1, U)
@@ -74,14 +79,13 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
     """A hash of each word; segments of words are hashed one after another."""
-    table = _seeded(seed)[0]
     out = np.empty(len(start), U)
     at = 0
     while at < len(start):
         to = max(at + 1, int(np.searchsorted(end, start[at] + SEGMENT, "right")))
         low, high = int(start[at]), int(end[to - 1])
         s, e = start[at:to] - low, end[at:to] - low
-        sums = running(table[data[low:high]], seed)
+        sums = running(byte_values(data[low:high], seed), seed)
         out[at:to] = between(sums, s, e, seed) + (e - s).astype(U)
         at = to
     return mix(out)

@@ -10,6 +10,7 @@ from dataroute.llm import bpe, language_id, packing, topk, toxicity
 from dataroute.llm.exact_dedup import copy_groups
 from dataroute.llm.jaccard_join import near_duplicates
 from dataroute.llm.secrets import find_secrets
+from dataroute.llm.suffix_dedup import remove_repeated_strings
 from dataroute.llm.substring_dedup import remove_repeated_passages
 
 
@@ -22,6 +23,13 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copy_groups(_documents(spark, sf_dir))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that are left without strings of 100 bytes that start earlier too."""
+    return remove_repeated_strings(_documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that share 85 per cent of their 4-word shingles, as components."""
     return near_duplicates(_documents(spark, sf_dir), words=4, percent=85)
@@ -82,6 +90,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_bpe": op4_bpe,
     "op5_language_id": op5_language_id,

@@ -36,6 +36,36 @@ FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
+# Letters are lowered in ASCII only. A shorter document's words are its one shingle.
+OP3 = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, {WORDS.replace("text", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws
+  FROM documents
+),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)
+),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+both AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o
+  FROM shingle x JOIN shingle y ON x.k = y.k AND x.doc_id <> y.doc_id
+  GROUP BY ALL
+),
+link AS (
+  SELECT a, b FROM both JOIN size s ON s.doc_id = a JOIN size t ON t.doc_id = b
+  WHERE 100 * o >= 85 * (s.n + t.n - o)
+),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM least LEFT JOIN size USING (doc_id)
+"""
+
 OP7 = """
 WITH scaled AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -109,6 +139,7 @@ FROM d LEFT JOIN per ON d.uid = per.uid
 
 ORACLES = {
     "op1_exact_dedup": OP1,
+    "op3_ngram_jaccard": OP3,
     "op7_topk_search": OP7,
     "op9_secret_scan": OP9,
     "op10_substring_dedup": OP10,
