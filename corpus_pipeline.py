@@ -1,16 +1,61 @@
-"""Documents to packed training sequences: five stages, each one an operator of llm/."""
+"""Documents to packed training sequences: five stages, each one an operator of llm/.
+
+Every stage works on all rows that the one before it kept, and is written before the
+next one reads it. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from dataroute.llm import packing, secrets, toxicity
+from dataroute.llm.exact_dedup import without_copies
+from dataroute.llm.jaccard_join import without_near_copies
+from dataroute.llm.tables import written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model, fitted on the labels at hand, does not reject."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.keep_clean(docs, model)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document per text: the one with the largest doc_id."""
+    return without_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document per group of near copies: the one with the smallest doc_id."""
+    return without_near_copies(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets that look live are masked; no document goes."""
+    return secrets.redact(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every document in sequences of 2048 tokens."""
+    definition = packing.read_definition(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, definition).drop("ids")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("ngram_jaccard", drop_near_copies),
+    ("secret_scan", redact_secrets),
+    ("best_fit_packing", pack_sequences),
+]
+#: SQL can express neither the first nor the last stage; tests have a plain version of each.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over all of ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -94,6 +94,20 @@ def near_duplicates(
     )
 
 
+def without_near_copies(
+    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The rows whose document has the smallest id of its component, with all their columns."""
+    found = near_duplicates(docs, words, percent, doc_id, text)
+    dropped = written(
+        found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
+            F.col("doc_id").alias("dropped_id")
+        ),
+        "dropped",
+    ).distinct()
+    return docs.join(dropped, docs[doc_id].eqNullSafe(dropped["dropped_id"]), "left_anti")
+
+
 class _Sets:
     """The sets of a block's documents, and their classes within the block."""
 

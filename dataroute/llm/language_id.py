@@ -25,6 +25,7 @@ DIMENSIONS = 4096
 SIZES = (1, 2, 3)
 #: Documents per language that the centroids are fitted on, and centroids per language.
 SAMPLE = 400
+OVERSAMPLE = 4
 CLUSTERS = 4
 ROUNDS = 12
 #: More languages than this is a mistake in the column, not a model.
@@ -103,12 +104,19 @@ def _prepared(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def fit(
-    docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang"
+    docs: DataFrame,
+    sample: int = SAMPLE,
+    clusters: int = CLUSTERS,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    lang: str = "lang",
 ) -> Model:
     """Document frequencies over all training documents, centroids from ``sample`` of each language."""
     ship(docs.sparkSession)
     rows = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(lang).alias("lang")
+        F.col(doc_id).cast("long").alias("doc_id"),
+        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+        F.col(lang).alias("lang"),
     ).filter(F.col("lang").isNotNull() & ~held_out())
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,9 +135,21 @@ def fit(
     df = np.array([got.get(k, 0) for k in range(DIMENSIONS)])
     idf = (np.log((1 + got.get(-1, 0)) / (1 + df)) + 1).astype(np.float32)
 
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # A hash below a bound keeps a few times the sample of each language, however many
+    # documents that has; of these the smallest hashes are taken.
+    per_language = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(per_language) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    bounds = docs.sparkSession.createDataFrame(
+        [(x["lang"], int(min(1.0, OVERSAMPLE * sample / x["n"]) * (1 << 32))) for x in per_language],
+        "lang string, bound long",
+    )
+    mixed = F.xxhash64(F.lit("sample"), "doc_id")
+    first = Window.partitionBy("lang").orderBy(mixed, "doc_id")
     chosen = (
         rows.select("doc_id", "lang")
+        .join(F.broadcast(bounds), "lang")
+        .filter(mixed.bitwiseAND(F.lit((1 << 32) - 1)) < F.col("bound"))
         .withColumn("nth", F.row_number().over(first))
         .filter(F.col("nth") <= sample)
         .select("doc_id")
@@ -147,9 +167,7 @@ def fit(
                     }
                 )
 
-    # ``sample`` ids per language and at most MOST_LANGUAGES languages: a bounded side.
-    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    # ``sample`` ids for each of at most MOST_LANGUAGES languages: a bounded side.
     sampled = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
     by_language: dict[str, list[np.ndarray]] = {}
     for row in sampled.mapInArrow(vectors, "lang string, vector binary").collect():

@@ -86,6 +86,14 @@ def _matches(text: Column, kind: Kind, rank: int) -> Column:
     ).otherwise(F.array().cast(_SPAN))
 
 
+def _any(text: Column) -> Column:
+    """Whether some pattern matches."""
+    condition = F.lit(False)
+    for kind in KINDS:
+        condition = condition | text.rlike(kind.pattern)
+    return condition
+
+
 def _spelt(spans: Column) -> Column:
     return F.array_join(
         F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ","
@@ -95,10 +103,14 @@ def _spelt(spans: Column) -> Column:
 def find_candidates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repository: str = "source", owner: str = "source"
 ) -> DataFrame:
-    """Candidates of every row in one scan, written: ``row`` names the row from here on."""
+    """Candidates of every row in one scan, written: ``row`` names the row from here on.
+
+    ``digest`` is that of a text with a candidate, else null.
+    """
     content = F.coalesce(F.col(text).cast("string"), F.lit(""))
     found = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
+        F.when(_any(content), F.sha2(content.cast("binary"), 256)).alias("digest"),
         F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"),
         F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"),
         *[_matches(content, kind, rank).alias(kind.name) for rank, kind in enumerate(KINDS)],
@@ -123,6 +135,20 @@ def ownership(candidates: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> Da
     ).withColumn("verdict", F.when(F.col("n_owners") >= example_owners, "example").otherwise("live"))
 
 
+def _live(candidates: DataFrame, example_owners: int) -> DataFrame:
+    """``row``, ``doc_id``, ``digest`` and the spans of that row whose values look live."""
+    verdicts = ownership(candidates, example_owners).select("hash", "verdict")
+    every = F.concat(*[F.col(k.name) for k in KINDS])
+    return (
+        candidates.select("row", "doc_id", "digest", F.explode(every).alias("span"))
+        .withColumn("hash", F.col("span.hash"))
+        .join(verdicts, "hash")
+        .filter("verdict = 'live'")
+        .groupBy("row", "doc_id", "digest")
+        .agg(F.collect_list("span").alias("live"))
+    )
+
+
 def find_secrets(
     docs: DataFrame,
     example_owners: int = EXAMPLE_OWNERS,
@@ -143,15 +169,7 @@ def find_secrets(
     """
     candidates = find_candidates(docs, doc_id, text, repository, owner)
     every = F.concat(*[F.col(k.name) for k in KINDS])
-    verdicts = ownership(candidates, example_owners).select("hash", "verdict")
-    live = (
-        candidates.select("row", F.explode(every).alias("span"))
-        .withColumn("hash", F.col("span.hash"))
-        .join(verdicts, "hash")
-        .filter("verdict = 'live'")
-        .groupBy("row")
-        .agg(F.collect_list("span").alias("live"))
-    )
+    live = _live(candidates, example_owners).drop("doc_id", "digest")
     base = F.concat(*[F.col(k.name) for k in BASE])
     some = candidates.filter(F.size(every) > 0).join(live, "row", "left")
     none = candidates.filter(F.size(every) == 0).withColumn("live", F.lit(None).cast(_SPAN))
@@ -166,3 +184,60 @@ def find_secrets(
         _spelt(F.concat(base, issued)).alias("spans"),
         "live",
     )
+
+
+MARK = "[secret]"
+
+
+def redact(
+    docs: DataFrame,
+    example_owners: int = EXAMPLE_OWNERS,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    repository: str = "source",
+    owner: str = "source",
+    n_chars: str = "n_chars",
+) -> DataFrame:
+    """All rows with all their columns; secrets that look live are replaced by ``[secret]``.
+
+    Examples stay. Spans that overlap become one mark. ``n_chars``, if there is such a
+    column, counts the characters of a changed text anew. Only rows in which a pattern
+    matches are shuffled; the others, null texts among them, pass straight through.
+    """
+    candidates = find_candidates(docs, doc_id, text, repository, owner)
+    names = {name: f"c{k}" for k, name in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{old}`").alias(new) for old, new in names.items()])
+    content = F.col(names[text])
+    hit = F.coalesce(_any(content), F.lit(False))
+    key, digest = F.col(names[doc_id]).cast("long"), F.sha2(content.cast("binary"), 256)
+    # Rows that agree in id and text have the same spans, so one of them will do.
+    live = _live(candidates, example_owners).groupBy("doc_id", "digest").agg(F.max("live").alias("live"))
+    some = rows.filter(hit).withColumn("key", key).withColumn("own", digest)
+    joined = some.join(live, some["key"].eqNullSafe(live["doc_id"]) & (some["own"] == live["digest"]), "left")
+    changed = F.when(F.col("live").isNotNull(), _masked(content, F.array_sort("live"))).otherwise(content)
+    new_columns = {names[text]: changed}
+    if n_chars in names:
+        kind = docs.schema[n_chars].dataType
+        counted = F.when(F.col("live").isNotNull(), F.length(changed).cast(kind))
+        new_columns[names[n_chars]] = counted.otherwise(F.col(names[n_chars]))
+    marked = joined.select(*[new_columns.get(x, F.col(x)).alias(x) for x in names.values()])
+    out = rows.filter(~hit).unionAll(marked)
+    return out.select(*[F.col(new).alias(old) for old, new in names.items()])
+
+
+def _masked(text: Column, spans: Column) -> Column:
+    def add(state: Column, span: Column) -> Column:
+        ahead = span["start"] >= state["at"]
+        between = F.substring(text, (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int"))
+        return F.struct(
+            F.greatest(state["at"], span["end"]).alias("at"),
+            F.when(ahead, F.concat(state["out"], between, F.lit(MARK))).otherwise(state["out"]).alias("out"),
+        )
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    return F.aggregate(
+        spans,
+        start,
+        add,
+        lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))),
+    )

@@ -47,13 +47,13 @@ shingle AS (
   FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)
 ),
 size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
-both AS (
+overlap AS (
   SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o
   FROM shingle x JOIN shingle y ON x.k = y.k AND x.doc_id <> y.doc_id
   GROUP BY ALL
 ),
 link AS (
-  SELECT a, b FROM both JOIN size s ON s.doc_id = a JOIN size t ON t.doc_id = b
+  SELECT a, b FROM overlap JOIN size s ON s.doc_id = a JOIN size t ON t.doc_id = b
   WHERE 100 * o >= 85 * (s.n + t.n - o)
 ),
 reach AS (
