@@ -214,13 +214,14 @@ def redact(
     live = _live(candidates, example_owners).groupBy("doc_id", "digest").agg(F.max("live").alias("live"))
     some = rows.filter(hit).withColumn("key", key).withColumn("own", digest)
     joined = some.join(live, some["key"].eqNullSafe(live["doc_id"]) & (some["own"] == live["digest"]), "left")
-    changed = F.when(F.col("live").isNotNull(), _masked(content, F.array_sort("live"))).otherwise(content)
-    new_columns = {names[text]: changed}
+    # In a step of its own: a name inside a lambda would also find a new column of that name.
+    joined = joined.withColumn("masked", _masked(content, F.array_sort("live")))
+    has = F.col("live").isNotNull()
+    changed = {names[text]: F.when(has, F.col("masked")).otherwise(content)}
     if n_chars in names:
-        kind = docs.schema[n_chars].dataType
-        counted = F.when(F.col("live").isNotNull(), F.length(changed).cast(kind))
-        new_columns[names[n_chars]] = counted.otherwise(F.col(names[n_chars]))
-    marked = joined.select(*[new_columns.get(x, F.col(x)).alias(x) for x in names.values()])
+        counted = F.length("masked").cast(docs.schema[n_chars].dataType)
+        changed[names[n_chars]] = F.when(has, counted).otherwise(F.col(names[n_chars]))
+    marked = joined.select(*[changed.get(x, F.col(x)).alias(x) for x in names.values()])
     out = rows.filter(~hit).unionAll(marked)
     return out.select(*[F.col(new).alias(old) for old, new in names.items()])
 
