@@ -74,8 +74,10 @@ def _framed(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(batches)
     table = table.set_column(2, "text", table.column("text").cast(pa.large_binary())).combine_chunks()
     block = table.column("block").to_numpy()
+    if not len(block):
+        return
     order = np.argsort(block, kind="stable")
-    starts = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0]) if len(order) else []
+    starts = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0])
     for start, end in zip(starts, [*starts[1:], len(order)], strict=True):
         part = table.take(pa.array(order[start:end])).select(["doc_id", "text"])
         sink = pa.BufferOutputStream()
@@ -175,8 +177,10 @@ def _packed(to: str, own: str, key: int, items) -> pa.Table:
 
 def slices(keys: np.ndarray, n_buckets: int) -> Iterator[tuple[int, slice]]:
     """Buckets of sorted unsigned 64-bit ``keys`` and the part of them that each owns."""
+    if not len(keys):
+        return
     bucket = bucket_of(keys, n_buckets)
-    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(keys) else []
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     for start, end in zip(starts, [*starts[1:], len(keys)], strict=True):
         yield int(bucket[start]), slice(int(start), int(end))
 

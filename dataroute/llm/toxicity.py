@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 if mark:
                     middles = found[:WINDOWS]
                 else:  # clean words that share a feature teach the most, then any
-                    middles = found[:WINDOWS] or [key * 7919 % len(words)] * bool(words)
+                    middles = found[:WINDOWS] or ([key * 7919 % len(words)] if words else [])
                 for middle in middles:
                     low = max(0, middle - REACH)
                     part = words[low : middle + REACH + 1]
