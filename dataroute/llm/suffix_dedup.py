@@ -132,7 +132,7 @@ class _Block:
             span = self.length - GRAM + 1
             padded = np.concatenate([np.zeros(span - 1, H.U), least, np.zeros(span - 1, H.U)])
             found.append(grams[grams == _sliding(np.maximum, padded, span)[: len(grams)]])
-        keys = np.concatenate([np.zeros(0, H.U), *found])
+        keys = _spread(np.concatenate([np.zeros(0, H.U), *found]))
         ranked, begins, _ = H.distinct(keys)
         return ranked, np.diff(np.r_[begins, len(keys)]) > 1
 
@@ -144,7 +144,7 @@ class _Block:
             count = np.diff(np.r_[begins, len(least)])
             some = least[begins] != 0
             begins, count = begins[some], count[some]
-            out.append((least[begins], doc[begins], place[begins], count))
+            out.append((_spread(least[begins]), doc[begins], place[begins], count))
         if not out:
             return np.zeros(0, H.U), *[np.zeros(0, np.int64)] * 3
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -176,6 +176,11 @@ class _Block:
         return doc, place, count, which, order, firsts
 
 
+def _spread(anchors: np.ndarray) -> np.ndarray:
+    """Anchors are least values, so mostly small; buckets need them evenly spread."""
+    return H.mix(anchors ^ H.U(0xD6E8FEB86659FD93))
+
+
 def _sliding(pick: np.ufunc, values: np.ndarray, span: int) -> np.ndarray:
     """The least or greatest of every ``span`` values in a row, by doubling."""
     out, width = values.copy(), 1
