@@ -13,10 +13,12 @@ bounded whatever the number of rows. The best of each cell are merged per query.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +29,11 @@ K = 20
 SCALE = 64
 #: Rows of a shard and of a block of queries.
 SHARD_ROWS, QUERY_ROWS = 8192, 512
-#: Vectors scored in full first, to have a threshold; terms probed at once.
-SEED_ROWS, PROBE = 256, 8
+#: Vectors scored in full first, to have a threshold; terms probed at once; the share of
+#: pairs from which on each is probed by itself.
+SEED_ROWS, PROBE, SPARSE = 512, 12, 0.02
+#: Integers below this are exact in single precision.
+EXACT_SINGLE = 1 << 24
 
 FOUND = "query_id long, vec_id long, score long"
 
@@ -117,8 +122,7 @@ def _cell(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
     """The best of one shard for each query of one block."""
     if not queries.num_rows or not candidates.num_rows:
         return pa.table({x: pa.array([], pa.int64()) for x in ("query_id", "vec_id", "score")})
-    lengths = [len(x) for t in (queries, candidates) for x in t.column("vector")]
-    width = max(lengths)
+    width = max(int(pc.max(pc.list_value_length(t.column("vector"))).as_py()) for t in (queries, candidates))
     ids = candidates.column("vec_id").to_numpy()
     order = np.argsort(ids)
     ids, rows = ids[order], _matrix(candidates.column("vector"), width)[order]
@@ -127,38 +131,58 @@ def _cell(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
     # What each term adds to a score at least, and at most beyond that.
     least = np.minimum(own * low, own * high)
     bound = np.maximum(own * low, own * high) - least
+    if np.abs(own).max(initial=0) * np.abs(rows).max(initial=0) * width < EXACT_SINGLE / 4:
+        rows, own, least, bound = (x.astype(np.float32) for x in (rows, own, least, bound))
+    every = np.arange(len(own))
+    terms = np.argsort(-bound, axis=1, kind="stable")
+    rank = np.argsort(terms, axis=1)  # of each term among a query's terms
+    ranked = np.take_along_axis(bound, terms, axis=1)
+    # What the terms from each rank on can add together, and all of them at least.
+    rest = np.concatenate([np.cumsum(ranked[:, ::-1], axis=1)[:, ::-1], np.zeros((len(own), 1))], axis=1)
     base = least.sum(axis=1)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    first = rows[:SEED_ROWS] @ own.T
-    for j, query in enumerate(own_ids.tolist()):
-        terms = np.argsort(-bound[j], kind="stable")
-        rest = np.concatenate([np.cumsum(bound[j][terms][::-1])[::-1], [0.0]])  # by terms from here on
-        seed = first[:, j][ids[:SEED_ROWS] != query]
-        threshold = np.partition(seed, len(seed) - k)[len(seed) - k] if len(seed) >= k else -np.inf
-        # The fewest leading terms without which the threshold is out of reach.
-        essential = int(np.searchsorted(-(rest + base[j]), -threshold, "right"))
-        essential = min(max(essential, 1), width)
-        at = np.flatnonzero(ids != query)
-        chosen = terms[:essential]
-        score = rows[:, chosen][at] @ own[j][chosen] - least[j][chosen].sum()
-        done = essential
-        while done < width:
-            live = score + rest[done] + base[j] >= threshold
-            at, score = at[live], score[live]
-            chosen = terms[done : done + PROBE]
-            score = score + rows[np.ix_(at, chosen)] @ own[j][chosen] - least[j][chosen].sum()
-            done += len(chosen)
-            if len(score) > k:  # scores so far are lower bounds, so the threshold can only rise
-                threshold = max(threshold, np.partition(score, len(score) - k)[len(score) - k] + base[j])
-        total = score + base[j]
-        keep = np.lexsort((ids[at], -total))[:k]
-        out.append((np.full(len(keep), query), ids[at][keep], total[keep]))
-    parts = [np.concatenate(x) for x in zip(*out, strict=True)]
+    itself = np.searchsorted(ids, own_ids)
+    itself[ids[np.minimum(itself, len(ids) - 1)] != own_ids] = -1
+
+    def kth(scores: np.ndarray, threshold: np.ndarray) -> np.ndarray:
+        """The k-th best of each row; scores so far are lower bounds, so it only rises."""
+        at = scores.shape[1] - k - 1  # one of them may be the query's own
+        return threshold if at < 0 else np.maximum(threshold, np.partition(scores, at, axis=1)[:, at])
+
+    threshold = kth(own @ rows[:SEED_ROWS].T, np.full(len(own), -np.inf, own.dtype))
+    # Essential: the fewest leading terms without which the threshold is out of reach.
+    done = np.clip((rest + base[:, None] >= threshold[:, None]).sum(axis=1), 1, width)
+    chosen = rank < done[:, None]
+    score = np.where(chosen, own, 0) @ rows.T + (least * ~chosen).sum(axis=1)[:, None]
+    for step in itertools.count():
+        live = score >= (threshold - rest[every, done])[:, None]
+        if (done == width).all() or live.sum() <= live.size * SPARSE:
+            break
+        # Most vectors are still competitive: the next terms are probed for all at once.
+        further = np.minimum(done + PROBE, width)
+        chosen = (rank >= done[:, None]) & (rank < further[:, None])
+        score += np.where(chosen, own, 0) @ rows.T - (least * chosen).sum(axis=1)[:, None]
+        done = further
+        if step % 2:
+            threshold = kth(score, threshold)
+    live[every[itself >= 0], itself[itself >= 0]] = False
+    query, at = np.nonzero(live)
+    total, seen = score[query, at].astype(np.float64), done[query]
+    while len(at) and (seen < width).any():
+        # Few are left: each is probed by itself, term by term.
+        more = seen < width
+        term = terms[query[more], seen[more]]
+        total[more] += rows[at[more], term] * own[query[more], term] - least[query[more], term]
+        seen = np.minimum(seen + 1, width)
+        keep = total + rest[query, seen] >= threshold[query]
+        at, query, total, seen = at[keep], query[keep], total[keep], seen[keep]
+    order = np.lexsort((ids[at], -total, query))
+    at, query, total = at[order], query[order], total[order]
+    begins = np.searchsorted(query, every)
+    best = np.arange(len(query)) - begins[query] < k
     return pa.table(
         {
-            "query_id": pa.array(parts[0], pa.int64()),
-            "vec_id": pa.array(parts[1], pa.int64()),
-            "score": pa.array(np.rint(parts[2]).astype(np.int64)),
+            "query_id": pa.array(own_ids[query[best]], pa.int64()),
+            "vec_id": pa.array(ids[at[best]], pa.int64()),
+            "score": pa.array(np.rint(total[best]).astype(np.int64)),
         }
     )
-
