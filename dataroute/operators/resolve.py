@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dataroute.sources.scan import literal_path
+
 # --- Fixed values: result labels and the name of a run's output ---------------
 PARQUET = "parquet"
 VIEW = "view"
@@ -19,6 +21,7 @@ READ_ERROR = "read_error"
 JSON_SERIALIZATION_ERROR = "json_serialization_error"
 RESULT_NAME = "result.parquet"
 PART_FILE_PREFIX = "part-"
+HIDDEN = "._"
 # ------------------------------------------------------------------------------
 
 # A table that cannot be read shows up as either, depending on who notices first.
@@ -44,7 +47,8 @@ def resolve(
     """The first source that is present; none of them is read beyond its schema.
 
     1. In ``output_dir``: ``result_name`` if it is there, else the first entry
-       by name. When that is a part file, the folder itself is the table.
+       by name. When that is a part file or a ``key=value`` folder, the folder
+       itself is the table, with every part and partition.
     2. ``new_views``, when it names exactly one view.
     3. ``df``.
 
@@ -68,7 +72,9 @@ def resolve(
 
 def temp_views(spark: SparkSession) -> set[str]:
     """Names of the session's temporary views, to be taken before a run."""
-    return {view.name for view in spark.catalog.listTables() if view.isTemporary}
+    # One command over views; the catalog's tables are not looked up.
+    views = spark.sql("SHOW VIEWS").filter("isTemporary").select("viewName")
+    return {view.viewName for view in views.collect()}
 
 
 def new_views(spark: SparkSession, before: Collection[str]) -> set[str]:
@@ -88,7 +94,7 @@ def _from_output(
 ) -> Resolved | None:
     path = f"{output_dir}/{result_name}"
     try:
-        return Resolved(spark.read.parquet(path), PARQUET, path)
+        return Resolved(spark.read.parquet(literal_path(path)), PARQUET, path)
     except READ_FAILURES as problem:
         if not _is_missing(problem):
             return Resolved(None, READ_ERROR, path, str(problem))
@@ -96,7 +102,7 @@ def _from_output(
         path = _first_entry(spark, output_dir)
         if path is None:
             return None
-        return Resolved(spark.read.parquet(path), PARQUET, path)
+        return Resolved(spark.read.parquet(literal_path(path)), PARQUET, path)
     except READ_FAILURES as problem:
         if _is_missing(problem):
             return None
@@ -106,16 +112,24 @@ def _from_output(
 def _first_entry(spark: SparkSession, folder: str) -> str | None:
     """First visible entry of a folder by name, on any file system Spark knows.
 
-    One listing of this level only: a recursive one would visit every file of
-    every table below. It comes sorted, and one name of it reaches Python.
+    One listing of this level only, of which one entry at a time is looked at: a
+    folder that is partitioned a million ways is not held in the driver.
     """
-    visible = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/[^._]*")
-    files = visible.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    entries = files.globStatus(visible)
-    if not entries:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return None
+    entries = files.listStatusIterator(path)
+    first, is_partition = None, False
+    while entries.hasNext():
+        entry = entries.next()
+        name = entry.getPath().getName()
+        if name[0] not in HIDDEN and (first is None or name < first):
+            first, is_partition = name, "=" in name and entry.isDirectory()
+    if first is None:
         return None
-    name = entries[0].getPath().getName()
-    return folder if name.startswith(PART_FILE_PREFIX) else f"{folder}/{name}"
+    is_table = is_partition or first.startswith(PART_FILE_PREFIX)
+    return folder if is_table else f"{folder}/{first}"
 
 
 def _is_missing(problem: Exception) -> bool:

@@ -2,13 +2,22 @@
 
 from dataroute.plans.inventory import literal_inventory
 from dataroute.plans.redirects import redirect_collisions, redirect_plan
-from dataroute.plans.runs import append_outcomes, audit, finish_run, run_job
+from dataroute.plans.runs import (
+    append_outcomes,
+    audit,
+    compact_log,
+    finish_run,
+    read_log,
+    run_job,
+)
 
 __all__ = [
     "append_outcomes",
     "audit",
+    "compact_log",
     "finish_run",
     "literal_inventory",
+    "read_log",
     "redirect_collisions",
     "redirect_plan",
     "run_job",

@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from dataroute.operators.records import save_records, stringify, to_records
+from dataroute.operators.records import save_records, to_records
 from dataroute.operators.resolve import (
     JSON_SERIALIZATION_ERROR,
     NONE,
     READ_ERROR,
     READ_FAILURES,
     Resolved,
-    new_views,
     resolve,
     shape,
     temp_views,
 )
 from dataroute.sources.save import save
+from dataroute.sources.scan import literal_path
 
 OUTCOME_SCHEMA = (
     "name string, status string, result_source string, locator string, "
@@ -29,25 +31,30 @@ OUTCOME_SCHEMA = (
 )
 SUCCESS = "success"
 ERROR = "error"
+#: Tables that an audit counts at the same time.
+AUDIT_JOBS = 8
 
 
 def audit(spark: SparkSession, sources: Mapping[str, Mapping]) -> DataFrame:
     """One outcome row per source, given as the keyword arguments of ``resolve``.
 
     Each source is counted by a job of its own, so that one unreadable table
-    becomes its own ``read_error`` and not the failure of the whole audit. Only
-    the counts come back to the driver.
+    becomes its own ``read_error`` and not the failure of the whole audit; a few
+    of these jobs run side by side. Only the counts come back to the driver.
     """
-    outcomes = []
-    for name, where in sources.items():
+
+    def count(item: tuple[str, Mapping]) -> tuple:
+        name, where = item
         found = resolve(spark, **where)
         if found.df is None:
-            outcomes.append(_outcome(name, found))
-            continue
+            return _outcome(name, found)
         try:
-            outcomes.append(_outcome(name, found, shape(found.df).first().n_rows))
+            return _outcome(name, found, shape(found.df).first().n_rows)
         except READ_FAILURES as problem:
-            outcomes.append(_failed(name, found, READ_ERROR, problem))
+            return _failed(name, found, READ_ERROR, problem)
+
+    with ThreadPoolExecutor(AUDIT_JOBS) as pool:
+        outcomes = list(pool.map(count, sources.items()))
     return spark.createDataFrame(outcomes, OUTCOME_SCHEMA)
 
 
@@ -62,9 +69,11 @@ def finish_run(
 
     ``where`` holds the arguments of ``resolve``. Rows are counted while they are
     written, so the result is read once. The outcome row is also appended to
-    ``log_path`` when that is given.
+    ``log_path`` when that is given. A records path that is taken raises, after
+    the run's error row is in the log.
     """
-    return _reported(spark, _publish(spark, name, records_path, where), log_path)
+    outcome = _logged(spark, spark, name, records_path, log_path, where)
+    return _reported(spark, outcome, log_path)
 
 
 def run_job(
@@ -82,32 +91,91 @@ def run_job(
     its own, as ``unique_location`` does, and no result of an earlier run can be
     taken for this one's. A job that raises has an ``error`` outcome and no
     result, whatever it left behind.
+
+    The job is given a session of its own, with the settings of ``spark`` and no
+    temporary views, so runs at the same time do not see each other's. It builds
+    its tables from that session.
     """
     output_dir = f"{run_dir.rstrip('/')}/output"
-    before = temp_views(spark)
+    session = _own_session(spark)
     try:
-        returned = job(spark, output_dir)
+        returned = job(session, output_dir)
     except Exception as problem:  # noqa: BLE001 - any failure is the job's outcome
         failed = Resolved(None, NONE, None, f"{type(problem).__name__}: {problem}")
         return _reported(spark, _outcome(name, failed), log_path)
-    return finish_run(
-        spark,
-        name,
-        f"{run_dir.rstrip('/')}/records",
-        log_path,
-        output_dir=output_dir,
-        new_views=new_views(spark, before),
-        df=returned if isinstance(returned, DataFrame) else None,
-    )
+    where = {
+        "output_dir": output_dir,
+        "new_views": temp_views(session),
+        "df": returned if isinstance(returned, DataFrame) else None,
+    }
+    records_path = f"{run_dir.rstrip('/')}/records"
+    outcome = _logged(spark, session, name, records_path, log_path, where)
+    return _reported(spark, outcome, log_path)
 
 
 def append_outcomes(outcomes: DataFrame, log_path: str) -> None:
     """Add outcome rows to the log table at ``log_path``.
 
-    Every append is a ``run=...`` partition of its own: runs that finish at the
-    same moment share no output folder. ``scan`` of ``log_path`` reads them all.
+    Every append is a ``day=.../run=...`` partition of its own: runs that finish
+    at the same moment share no output folder. ``read_log`` reads them all, and
+    ``compact_log`` makes one partition of a day's.
     """
-    save(outcomes, f"{log_path.rstrip('/')}/run={uuid.uuid4()}")
+    run_id = str(uuid.uuid4())
+    day = datetime.datetime.now(datetime.timezone.utc).date()
+    rows = outcomes.withColumn("run_id", F.lit(run_id))
+    save(rows, f"{log_path.rstrip('/')}/day={day}/run={run_id}")
+
+
+def read_log(spark: SparkSession, log_path: str) -> DataFrame:
+    """All outcome rows of a log, each once, with ``run_id`` and ``day``."""
+    rows = spark.read.parquet(literal_path(log_path))
+    return rows.drop("run").dropDuplicates(["run_id", "name"])
+
+
+def compact_log(spark: SparkSession, log_path: str, day: str) -> None:
+    """Make one partition of the ones that a day's runs have left in the log.
+
+    The new one is complete before the old ones go, and only those go that were
+    read; while both are there ``read_log`` counts a row once. Stopped halfway,
+    it can be run again.
+    """
+    folder = f"{log_path.rstrip('/')}/day={day}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    old = [x.getPath() for x in files.listStatus(path) if x.getPath().getName().startswith("run=")]
+    if len(old) < 2:
+        return
+    rows = spark.read.parquet(*[literal_path(x.toString()) for x in old])
+    rows = rows.dropDuplicates(["run_id", "name"]).coalesce(1)
+    save(rows, f"{folder}/run={uuid.uuid4()}")
+    for part in old:
+        files.delete(part, True)
+
+
+def _own_session(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark`` and temporary views of its own."""
+    session = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            session.conf.set(key, value)
+    return session
+
+
+def _logged(
+    spark: SparkSession,
+    session: SparkSession,
+    name: str,
+    records_path: str,
+    log_path: str | None,
+    where: Mapping,
+) -> tuple:
+    """Publish in ``session``; what is raised is in the log first."""
+    found = resolve(session, **where)
+    try:
+        return _publish(name, records_path, found)
+    except AnalysisException as problem:
+        _reported(spark, _failed(name, found, found.source, problem), log_path)
+        raise
 
 
 def _reported(spark: SparkSession, outcome: tuple, log_path: str | None) -> DataFrame:
@@ -117,14 +185,13 @@ def _reported(spark: SparkSession, outcome: tuple, log_path: str | None) -> Data
     return reported
 
 
-def _publish(spark: SparkSession, name: str, records_path: str, where: Mapping):
-    found = resolve(spark, **where)
+def _publish(name: str, records_path: str, found: Resolved) -> tuple:
     if found.df is None:
         return _outcome(name, found)
     counted = Observation()
     rows = found.df.observe(counted, F.count(F.lit(1)).alias("n_rows"))
     try:
-        rows = _serialisable(rows)
+        to_records(rows)
     except (AnalysisException, ValueError) as problem:
         return _failed(name, found, JSON_SERIALIZATION_ERROR, problem)
     try:
@@ -132,17 +199,18 @@ def _publish(spark: SparkSession, name: str, records_path: str, where: Mapping):
     except AnalysisException:
         raise  # the target is at fault, say because it exists; not this result
     except READ_FAILURES as problem:
-        return _failed(name, found, READ_ERROR, problem)
+        label = JSON_SERIALIZATION_ERROR if _is_readable(found.df) else READ_ERROR
+        return _failed(name, found, label, problem)
     return _outcome(name, found, counted.get["n_rows"])
 
 
-def _serialisable(df: DataFrame) -> DataFrame:
-    """``df``, or its text form when a column type has no JSON form."""
+def _is_readable(df: DataFrame) -> bool:
+    """Whether the rows themselves can be computed; asked only when a write has failed."""
     try:
-        to_records(df)
-        return df
-    except AnalysisException:
-        return stringify(df)
+        df.write.format("noop").mode("overwrite").save()
+        return True
+    except READ_FAILURES:
+        return False
 
 
 def _outcome(name: str, found: Resolved, n_rows: int | None = None) -> tuple:

@@ -1,10 +1,12 @@
 """Scans and sinks."""
 
 from dataroute.sources.save import save, save_redirected, save_unique
-from dataroute.sources.scan import scan, scan_redirected
-from dataroute.sources.scratch import scratch_location
+from dataroute.sources.scan import literal_path, scan, scan_redirected
+from dataroute.sources.scratch import release_scratch, scratch_location
 
 __all__ = [
+    "literal_path",
+    "release_scratch",
     "save",
     "save_redirected",
     "save_unique",

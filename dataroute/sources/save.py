@@ -36,8 +36,11 @@ def save_redirected(
     ends in. ``scan_redirected`` with the same path, root and run id reads it
     back. Directory and extension of ``path`` are not part of the location:
     ``redirect_collisions`` reports paths that would meet in one place, and the
-    default mode refuses to write over another table.
+    default mode refuses to write over another table. A base name with a colon is
+    refused: no Hadoop file system can list it.
     """
     location = redirect_location(path, root, run_id)
+    if ":" in location.rpartition("/")[2]:
+        raise ValueError(f"a name with a colon cannot be read back: {location!r}")
     save(df, location, "parquet", mode, **options)
     return location

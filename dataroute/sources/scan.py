@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -9,6 +11,8 @@ from dataroute.functions.paths import redirect_location
 
 VIEW = "table"
 
+_PATTERN_CHARACTERS = re.compile(r"[{}\[\]*?\\]")
+
 
 def scan(
     spark: SparkSession,
@@ -35,4 +39,12 @@ def scan_redirected(
     spark: SparkSession, path: str, root: str, run_id: str
 ) -> DataFrame:
     """Read what ``save_redirected`` stored for ``path`` in this run."""
-    return scan(spark, "parquet", redirect_location(path, root, run_id))
+    return scan(spark, "parquet", literal_path(redirect_location(path, root, run_id)))
+
+
+def literal_path(path: str) -> str:
+    """``path`` for a read that takes it as it is written, not as a pattern.
+
+    Spark's readers expand ``*``, ``?``, ``[...]`` and ``{...}``; its writers do not.
+    """
+    return _PATTERN_CHARACTERS.sub(r"\\\g<0>", path)

@@ -1,6 +1,13 @@
 """Scans, sinks, result resolution and the run log."""
 
+import os
+import shutil
+import subprocess
+import sys
+import threading
+import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from types import SimpleNamespace
 
 import pytest
@@ -79,20 +86,70 @@ def test_unique_writes_never_meet(spark, people, tmp_path):
     assert dr.scan(spark, "parquet", paths.pop()).count() == 3
 
 
-def session_with(**settings):
+def session_with(context, **settings):
     """A stand-in: the shared folder can only be set when a cluster starts."""
     named = {f"spark.{key}": value for key, value in settings.items()}
-    return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: named.get(key, default)))
+    conf = SimpleNamespace(get=lambda key, default=None: named.get(key, default))
+    return SimpleNamespace(conf=conf, sparkContext=context)
 
 
-def test_scratch_is_shared_or_local(spark):
-    cluster = session_with(**{"checkpoint.dir": "s3a://shared/folder/", "master": "yarn"})
-    assert dr.scratch_location(cluster, "x").startswith("s3a://shared/folder/x/")
+def test_scratch_is_shared_or_local(spark, tmp_path):
+    context = spark.sparkContext
+    shared = f"file://{tmp_path}/folder/"
+    cluster = session_with(context, **{"checkpoint.dir": shared, "master": "yarn"})
+    assert dr.scratch_location(cluster, "x").startswith(f"{shared}x/")
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        dr.scratch_location(session_with(master="yarn"), "x")
+        dr.scratch_location(session_with(context, master="yarn"), "x")
     assert dr.scratch_location(spark, "x") != dr.scratch_location(spark, "x")
 
 
+def test_scratch_tables_go_with_the_session(tmp_path):
+    """An application of its own, whose folders are gone when it has ended."""
+    script = """
+import dataroute as dr
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+early, late = (dr.scratch_location(spark, name) for name in ("early", "late"))
+dr.save(spark.range(5), early)
+dr.release_scratch(spark)
+assert not os.path.exists(early)
+late = dr.scratch_location(spark, "late")
+dr.save(spark.range(5), late)
+assert os.path.exists(late)
+"""
+    environment = os.environ | {"TMPDIR": str(tmp_path), "PYTHONPATH": os.getcwd()}
+    done = subprocess.run(
+        [sys.executable, "-c", "import os" + script], env=environment, capture_output=True, timeout=120
+    )
+    assert done.returncode == 0, done.stderr.decode()[-2000:]
+    for _ in range(100):  # the JVM ends a moment after the script
+        left = [x for x in os.listdir(tmp_path) if x.startswith("dataroute-")]
+        if not left:
+            break
+        time.sleep(0.1)
+    assert left == []
+
+
+NAMES = ["/a/b*c.csv", "/a/bXc.csv", "part[1].csv", "{ws}.csv", "q?.csv", "back\\slash.csv"]
+
+
+def test_redirected_names_are_no_patterns(spark, tmp_path):
+    for n, name in enumerate(NAMES, 1):
+        dr.save_redirected(spark.range(n), name, str(tmp_path), "run")
+    for n, name in enumerate(NAMES, 1):
+        assert dr.scan_redirected(spark, name, str(tmp_path), "run").count() == n
+    with pytest.raises(ValueError, match="colon"):
+        dr.save_redirected(spark.range(1), "C:\\w\\sys.ini", str(tmp_path), "run")
+
+
+def test_output_folders_are_no_patterns(spark, people, tmp_path):
+    dr.save(people, str(tmp_path / "aXb" / "result.parquet"))
+    dr.save(people.limit(1), str(tmp_path / "a*b" / "result.parquet"))
+    dr.save(people.limit(2), str(tmp_path / "a[1]" / "first"))
+    assert dr.resolve(spark, str(tmp_path / "a*b")).df.count() == 1
+    assert dr.resolve(spark, str(tmp_path / "a[1]")).df.count() == 2
+
+
 @pytest.mark.parametrize("has_df", [True, False])
 @pytest.mark.parametrize("has_view", [True, False])
 @pytest.mark.parametrize("has_parquet", [True, False])
@@ -148,6 +205,33 @@ def test_output_written_into_the_folder_itself(spark, tmp_path):
     assert (found.source, found.locator, found.df.count()) == ("parquet", output, 100)
 
 
+def test_partitioned_output_is_one_table(spark, tmp_path):
+    output = str(tmp_path / "out")
+    spark.range(100).withColumn("k", F.col("id") % 4).write.partitionBy("k").parquet(output)
+    found = dr.resolve(spark, output)
+    assert (found.source, found.locator, found.df.count()) == ("parquet", output, 100)
+    assert set(found.df.columns) == {"id", "k"}
+
+
+def test_a_log_is_one_table(spark, people, tmp_path):
+    log = str(tmp_path / "log")
+    for name in ("one", "two", "three"):
+        dr.finish_run(spark, name, str(tmp_path / name), log, df=people)
+    # The log holds one folder per day, and these one folder per run.
+    assert dr.resolve(spark, log).df.count() == 3
+    (day,) = (tmp_path / "log").glob("day=*")
+    for _ in range(2):
+        dr.compact_log(spark, log, day.name.removeprefix("day="))
+        assert len(list(day.glob("run=*"))) == 1
+        assert {row.name for row in dr.read_log(spark, log).collect()} == {"one", "two", "three"}
+    dr.finish_run(spark, "four", str(tmp_path / "four"), log, df=people)
+    assert dr.read_log(spark, log).count() == 4
+    # As if a compaction had stopped before its last step.
+    twice = next(day.glob("run=*"))
+    shutil.copytree(twice, day / "run=copy")
+    assert dr.read_log(spark, log).count() == 4
+
+
 def test_unreadable_output_is_no_reason_to_go_on(spark, people, tmp_path):
     (tmp_path / "result.parquet").write_text("this is not a table")
     found = dr.resolve(spark, str(tmp_path), (), people)
@@ -218,8 +302,13 @@ def test_finished_runs(spark, people, tmp_path):
 def test_records_are_never_written_over(spark, people, tmp_path):
     dr.finish_run(spark, "first", str(tmp_path / "records"), df=people)
     with pytest.raises(AnalysisException):
-        dr.finish_run(spark, "second", str(tmp_path / "records"), df=people.limit(1))
+        dr.finish_run(
+            spark, "second", str(tmp_path / "records"), str(tmp_path / "log"), df=people.limit(1)
+        )
     assert dr.scan(spark, "text", str(tmp_path / "records")).count() == 3
+    row = dr.read_log(spark, str(tmp_path / "log")).first()
+    assert (row.name, row.status, row.n_rows) == ("second", "error", None)
+    assert "ALREADY_EXISTS" in row.error_message
 
 
 def test_types_without_a_json_form_are_published_as_text(spark, tmp_path):
@@ -229,7 +318,59 @@ def test_types_without_a_json_form_are_published_as_text(spark, tmp_path):
     assert "1 years 2 months" in dr.scan(spark, "text", str(tmp_path / "records")).first().value
 
 
-def test_jobs(spark, people, tmp_path, view):
+def test_types_are_decided_column_by_column(spark, tmp_path):
+    df = spark.sql("select 1.5D as d, make_interval(1, 2) as span, cast('10:11:12' as time) as at")
+    outcome = dr.finish_run(spark, "mixed", str(tmp_path / "records"), df=df).first()
+    assert (outcome.status, outcome.n_rows) == ("success", 1)
+    assert dr.scan(spark, "text", str(tmp_path / "records")).first().value == (
+        '{"d":1.5,"span":"1 years 2 months","at":"10:11:12"}'
+    )
+
+
+def test_failures_of_serialisation_have_their_label(spark, tmp_path):
+    # Two keys that are the same text.
+    df = spark.sql("select map(X'ff', 1, X'fe', 2) as m")
+    outcome = dr.finish_run(spark, "keys", str(tmp_path / "records"), df=df).first()
+    assert (outcome.status, outcome.result_source) == ("error", "json_serialization_error")
+
+
+def test_overlapping_jobs_publish_their_own_rows(spark, tmp_path):
+    started, finished = threading.Event(), threading.Event()
+
+    def slow(spark, output_dir):
+        started.set()
+        assert finished.wait(60)
+        return spark.range(2)
+
+    def fast(spark, output_dir):
+        assert started.wait(60)
+        spark.range(5).createOrReplaceTempView("fastview")
+
+    def run(job):
+        return dr.run_job(spark, job.__name__, job, str(tmp_path / job.__name__)).first()
+
+    with ThreadPoolExecutor(2) as pool:
+        first = pool.submit(run, slow)
+        second = pool.submit(run, fast).result(120)
+        finished.set()
+        first = first.result(120)
+    assert (first.result_source, first.n_rows) == ("direct_dataframe", 2)
+    assert (second.result_source, second.locator, second.n_rows) == ("view", "fastview", 5)
+    assert "fastview" not in dr.temp_views(spark)
+
+
+def test_a_job_has_the_settings_of_its_caller(spark, tmp_path):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        seen = []
+        dr.run_job(spark, "zone", lambda s, _: seen.append(s.conf.get("spark.sql.session.timeZone")), str(tmp_path))
+        assert seen == ["Asia/Tokyo"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_jobs(spark, people, tmp_path):
     log = str(tmp_path / "log")
     name = f"view_{uuid.uuid4().hex}"
 
@@ -237,7 +378,7 @@ def test_jobs(spark, people, tmp_path, view):
         dr.save(people, f"{output_dir}/result.parquet", mode="overwrite")
 
     def names_a_view(spark, output_dir):
-        view(people.limit(2), name)
+        spark.createDataFrame(PEOPLE[:2], ["id", "name"]).createOrReplaceTempView(name)
         return people
 
     def returns(spark, output_dir):
