@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dataroute.functions.text import PREVIEW_LENGTH, clip
-from dataroute.functions.values import RECORD_TIME_FORMAT, json_value, text_value
+from dataroute.functions.values import (
+    RECORD_TIME_FORMAT,
+    has_json_form,
+    json_value,
+    text_value,
+)
 from dataroute.sources.save import save
 
 _RECORD_OPTIONS = {
@@ -20,13 +25,16 @@ def to_records(df: DataFrame) -> DataFrame:
     """One JSON object per row, in column ``record``.
 
     Nulls are written out, NaN and infinities become null, times are ISO with
-    milliseconds. The table stays distributed: this is one projection.
+    milliseconds. A column of a type without a JSON form is written as text, which
+    its type decides. The table stays distributed: this is one projection.
     """
     repeated = sorted({name for name in df.columns if df.columns.count(name) > 1})
     if repeated:
         raise ValueError(f"column names must be unique in records: {repeated}")
     values = [
-        json_value(value, field.dataType).alias(field.name)
+        (json_value if has_json_form(field.dataType) else text_value)(value, field.dataType).alias(
+            field.name
+        )
         for value, field in _by_position(df)
     ]
     return _positional(df).select(

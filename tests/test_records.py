@@ -73,6 +73,47 @@ def test_repeated_names_are_an_error(spark):
         dr.to_records(df)
 
 
+def test_map_keys_are_texts(spark):
+    at = datetime.datetime(2024, 1, 2, 3, 4, 5, 123456)
+    schema = (
+        "day map<date,int>, at map<timestamp,int>, local map<timestamp_ntz,date>, bin map<binary,int>,"
+        "n map<int,int>, deep array<struct<m:map<date,map<binary,double>>>>"
+    )
+    day = datetime.date(2024, 1, 2)
+    row = (
+        {day: 1}, {at: 2, at.replace(microsecond=0): 3}, {at.replace(microsecond=120_000): day},
+        {"é".encode(): 4, b"a\xff": 5}, {7: 6}, [({day: {b"x": float("nan")}},)],
+    )
+    assert parsed(spark.createDataFrame([row], schema)) == [
+        {
+            "day": {"2024-01-02T00:00:00.000": 1},
+            "at": {"2024-01-02T03:04:05.123": 2, "2024-01-02T03:04:05.000": 3},
+            "local": {"2024-01-02T03:04:05.120": "2024-01-02T00:00:00.000"},
+            "bin": {"é": 4, "a\ufffd": 5},
+            "n": {"7": 6},
+            "deep": [{"m": {"2024-01-02T00:00:00.000": {"x": None}}}],
+        }
+    ]
+
+
+def test_columns_without_a_json_form_are_text(spark):
+    df = spark.sql(
+        "select cast('10:11:12.5' as time) as at, make_interval(1, 2) as span, 1.5D as d,"
+        " array(make_interval(0, 1)) as spans, map(array(1), 2) as odd"
+    )
+    (record,) = parsed(df)
+    assert record["at"] == "10:11:12.5" and record["span"] == "1 years 2 months"
+    assert record["d"] == 1.5 and record["spans"] == "[1 months]" and "1" in record["odd"]
+
+
+def test_repeated_nested_names_are_an_error(spark):
+    for kind in ("x int, y int", "x int, y date"):
+        df = spark.createDataFrame([], f"s struct<{kind}>")
+        twice = df.select(F.array(F.col("s").cast(f"struct<a:int,a:{kind.rpartition(' ')[2]}>")).alias("s"))
+        with pytest.raises(ValueError, match="unique"):
+            dr.to_records(twice)
+
+
 def test_empty_result_has_no_records(spark):
     assert parsed(spark.range(0)) == []
 
