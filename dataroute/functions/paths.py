@@ -75,7 +75,8 @@ def base_name(path: Column | str) -> Column:
     """File name without directory and without its last extension."""
     path = as_column(path)
     name = _last_part(path)
-    return F.when(name.contains("."), _or_regex(_stem(name), path, _LAST_DOT))
+    found = _or_regex(_stem(name), path, _LAST_DOT, _from_last_line(path))
+    return F.when(name.contains("."), found)
 
 
 def base_name_first_dot(path: Column | str) -> Column:
@@ -89,7 +90,7 @@ def base_name_first_dot(path: Column | str) -> Column:
 def file_slug(path: Column | str) -> Column:
     """Whole last path part, extension kept, with dots turned to underscores."""
     path = as_column(path)
-    return _underscored(_or_regex(_last_part(path), path, _LAST_PART))
+    return _underscored(_or_regex(_last_part(path), path, _LAST_PART, _from_last_line(path)))
 
 
 def strip_extension(name: Column | str) -> Column:
@@ -106,6 +107,8 @@ def base_name_by_rules(path: Column | str, rules: Sequence[str]) -> Column:
     The captured name loses one extension, and its remaining dots become
     underscores. Rules are regexes valid in both Python and Java; rules that do
     not compile or have no group are skipped, and no usable rule gives null.
+    The ready rules take linear time; a rule of your own runs as it is written,
+    unanchored, at whatever cost it has on a path that does not match.
     """
     path = as_column(path)
     candidates = [_rule_name(path, rule) for rule in rules if _usable(rule)]
@@ -177,10 +180,23 @@ def _stem(name: Column) -> Column:
     return F.left(name, F.char_length(name) - F.char_length(extension) - 1)
 
 
-def _or_regex(name: Column, path: Column, pattern: str) -> Column:
+def _from_last_line(path: Column) -> Column:
+    """A path from the line that holds its last slash on.
+
+    Names after the last dot or slash lie there: what stands before cannot match, and
+    would be tried from every line start. No slash is left after the first line, so
+    the first candidate of these rules decides.
+    """
+    last = _last_part(path)
+    before = F.left(path, F.char_length(path) - F.char_length(last))
+    return F.concat(F.substring_index(before, "\n", -1), last)
+
+
+def _or_regex(name: Column, path: Column, pattern: str, searched: Column | None = None) -> Column:
     """``name`` as cut from a one-line path, or else what ``pattern`` finds."""
     is_plain = (name != "") & ~path.contains("\n")
-    return F.when(is_plain, name).otherwise(first_match(path, pattern))
+    found = first_match(path if searched is None else searched, pattern)
+    return F.when(is_plain, name).otherwise(found)
 
 
 def _underscored(name: Column) -> Column:

@@ -3,6 +3,7 @@
 import itertools
 import os.path
 import re
+import time
 import warnings
 
 import pytest
@@ -14,6 +15,7 @@ import dataroute as dr
 from dataroute.functions import paths
 from dataroute.queries.sql_side import LAST_PART
 
+# --- Fixed values: paths and the names they must have -----------------------------
 # path, name before the last dot, name before the first dot, slug
 GOLDEN = [
     ("s3://bucket/tabela_padrao.parquet", "tabela_padrao", "tabela_padrao", "tabela_padrao_parquet"),
@@ -59,6 +61,7 @@ GOLDEN_RULES = [
     ("images/logo.jpeg", "logo", "logo", "logo"),
     ("special_reports/F8.TBLR_final.log", "F8", "F8", "F8_TBLR_final"),
 ]
+# ----------------------------------------------------------------------------------
 
 
 def evaluate(spark, strings, *columns):
@@ -198,6 +201,26 @@ def test_unique_paths_differ(spark):
     assert all(shape.fullmatch(p) for p in found)
 
 
+LINES = {
+    "dotted lines": "a.b\n" * 20_000 + "/x/.y",
+    "lines and a slash": "ab\n" * 20_000 + "x/",
+    "slashed lines": "a/.\n" * 20_000 + "/",
+}
+
+
+@pytest.mark.parametrize("times", [1, 2, 4])
+@pytest.mark.parametrize("text", LINES.values(), ids=LINES)
+def test_long_paths_of_many_lines_take_linear_time(spark, text, times):
+    path = text * times
+    columns = (
+        dr.base_name("path"), dr.file_slug("path"), dr.base_name_by_rules("path", dr.RULES_FLEXIBLE),
+    )
+    evaluate(spark, ["warm/up.x\ny"], *columns)
+    start = time.perf_counter()
+    evaluate(spark, [path], *columns)
+    assert time.perf_counter() - start < 1
+
+
 @pytest.mark.parametrize(
     "text",
     ["a/" * 100_000, "a." * 100_000 + "/x", "a.b/" * 60_000 + "/.x", "x" * 200_000, "\n" * 100_000 + ".x"],
