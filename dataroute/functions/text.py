@@ -59,6 +59,20 @@ _PART = (
 )
 
 
+# Lines before the first statement: blank ones and comments, a docstring, __future__
+# imports. Strings and comments are replaced before the imports of a script are looked up.
+_BLANK = r"[ \t\f]*(?:#[^\n]*)?\r?\n"
+_LINE_END = r"[ \t]*;?[ \t]*(?:#[^\n]*)?\r?\n"
+_FUTURE = r"from[ \t]+__future__[ \t]+import[ \t]*(?:\([^)]*\)|[^\n(#;]*)" + _LINE_END
+_HEAD = (
+    rf"\A(?:{_BLANK})*+(?:(?>[uUrR]?(?:{_STRING})(?:[ \t]*+[uUrR]?(?:{_STRING}))*+){_LINE_END})?+"
+    rf"(?:{_BLANK}|{_FUTURE})*+"
+)
+_IMPORT_UUID = (
+    r"(?m)^import[ \t]+(?:[\w.]+(?:[ \t]+as[ \t]+\w+)?[ \t]*,[ \t]*)*uuid[ \t]*(?:[,;#]|\r?$)"
+)
+
+
 def clip(text: Column | str, length: int = PREVIEW_LENGTH) -> Column:
     """The first ``length`` characters, marked with ``...`` where text was cut."""
     text = as_column(text)
@@ -84,14 +98,22 @@ def rewrite_literals(text: Column | str, bucket: str, run_id: str) -> Column:
     and so does every byte of text around the literals.
     """
     prefix = F.lit(redirect_prefix(bucket, run_id))
+    text = as_column(text)
+    pieces = F.regexp_extract_all(text, F.lit(_QUOTED), F.lit(0))
+    # A second pass for the literals costs less than finding them in their pieces, which
+    # would be interpreted; measured on scripts and on pages.
+    literals = F.regexp_extract_all(text, F.lit(_QUOTED), F.lit(1))
 
-    def redirected(literal: Column) -> Column:
+    def redirected(piece: Column, literal: Column) -> Column:
+        lead = F.left(piece, F.char_length(piece) - F.char_length(literal))
         quote = F.left(literal, F.lit(1))
         base = base_name_first_dot(unquoted(literal))
         # Null for a literal that names no file: concat of a null is null.
-        return F.concat(quote, prefix, base, F.lit(REDIRECT_SUFFIX), quote)
+        target = F.concat(lead, quote, prefix, base, F.lit(REDIRECT_SUFFIX), quote)
+        # Names have a dot: all other pieces stay without a further look.
+        return F.when(literal.contains("."), F.coalesce(target, piece)).otherwise(piece)
 
-    return _replace_named(as_column(text), _QUOTED, redirected)
+    return F.array_join(F.zip_with(pieces, literals, redirected), "")
 
 
 def called_literals(text: Column | str, method: str = TARGET_METHOD) -> Column:
@@ -117,42 +139,75 @@ def rewrite_calls(
     base_path_variable: str = BASE_PATH_VARIABLE,
     scheme: str = UNIQUE_SCHEME,
     suffix: str = "/",
+    definitions: tuple[str, str] | None = None,
 ) -> Column:
     """Let every ``.method("literal"`` call use a new location each time it runs.
 
     The literal becomes an f-string over the script's own bucket and base path
     variables and a fresh UUID. All other text, comments included, is unchanged.
+
+    With ``definitions``, a bucket and a base path, a script with such a call also
+    gets what it lacks of ``import uuid`` and the two assignments, in front of its
+    first statement but behind its docstring and ``__future__`` imports.
     """
+    text = as_column(text)
     target = (
         f'f"{scheme}{{{bucket_variable}}}/{{{base_path_variable}}}'
         f'/{{uuid.uuid4()}}{suffix}"'
     )
-    return _replace_named(as_column(text), _calls(method), lambda _: F.lit(target))
+    call, literal = _call(method)
+    pieces = F.regexp_extract_all(text, F.lit(_tokens(call, literal)), F.lit(0))
 
+    def replaced(piece: Column) -> Column:
+        # Few pieces name the method; only these are looked at again.
+        is_call = piece.contains(method) & (F.endswith(piece, F.lit('"')) | F.endswith(piece, F.lit("'")))
+        other = F.regexp_replace(piece, rf"\A([^.#\"']*+{call}){literal}{_END}", f"$1{_plain(target)}")
+        return F.when(is_call, other).otherwise(piece)
 
-def _calls(method: str) -> str:
-    """Group 1 is the literal of a call; comments and other strings are tokens too."""
+    changed = F.array_join(F.transform(pieces, replaced), "")
+    if definitions is None:
+        return changed
+    bare = F.regexp_replace(text, rf"#[^\n]*+|{_STRING}", "0")
+    lines = [F.when(~bare.rlike(_IMPORT_UUID), F.lit("import uuid\n"))]
+    for name, value in zip((bucket_variable, base_path_variable), definitions, strict=True):
+        assigned = rf"(?m)^(?:\w+[ \t]*=[ \t]*)*{re.escape(name)}[ \t]*(?::[^=\n]*)?=(?!=)"
+        lines.append(F.when(~bare.rlike(assigned), F.lit(f"{name} = {value!r}\n")))
+    missing = F.concat(*[F.coalesce(line, F.lit("")) for line in lines])
+
+    def defined(script: Column) -> Column:
+        head = F.regexp_extract(text, _HEAD, 0)
+        return F.when(script != text, F.concat(head, missing, _after(script, head))).otherwise(script)
+
+    # An array of one, so that the rewritten script is computed once.
+    return F.get(F.transform(F.array(changed), defined), F.lit(0))
+
+
+def _after(text: Column, head: Column) -> Column:
+    return F.substr(text, F.char_length(head) + 1)
+
+
+def _plain(replacement: str) -> str:
+    """A replacement in which ``$`` and backslashes are what they look like."""
+    return re.sub(r"([\\$])", r"\\\1", replacement)
+
+
+def _call(method: str) -> tuple[str, str]:
+    """Patterns of a call up to its literal, and of the literal that a bracket or comma follows."""
     # Atomic: a literal that no comma or bracket follows must not run on to the next.
     part = rf"[uUrR]?(?:{_STRING})"
-    literal = rf"((?>{part}(?:{_SPACE}{part})*+))(?={_SPACE}[,)])"
-    call = rf"\.{_SPACE}{re.escape(method)}{_SPACE}\({_SPACE}{literal}"
-    return rf"[^.#\"']*+(?:{call}|#[^\n]*+|{_STRING}|[.#\"']|{_END})"
+    literal = rf"(?>{part}(?:{_SPACE}{part})*+)"
+    return rf"\.{_SPACE}{re.escape(method)}{_SPACE}\({_SPACE}", literal
 
 
-def _named(text: Column, tokens: str) -> Column:
-    """Group 1 of every token that has one."""
-    return F.array_remove(F.regexp_extract_all(text, F.lit(tokens), F.lit(1)), "")
+def _calls(method: str) -> str:
+    """Group 1 is the literal of a call; comments and other strings are tokens too."""
+    return _tokens(*_call(method))
 
 
-def _replace_named(text: Column, tokens: str, replace) -> Column:
-    """Replace group 1 of each token, which ends it; a null replacement keeps it."""
-    pieces = F.regexp_extract_all(text, F.lit(tokens), F.lit(0))
-    named = F.regexp_extract_all(text, F.lit(tokens), F.lit(1))
+def _tokens(call: str, literal: str) -> str:
+    return rf"[^.#\"']*+(?:{call}({literal})(?={_SPACE}[,)])|#[^\n]*+|{_STRING}|[.#\"']|{_END})"
 
-    def replaced(piece: Column, name: Column) -> Column:
-        lead = F.left(piece, F.char_length(piece) - F.char_length(name))
-        return F.when(name == "", piece).otherwise(
-            F.concat(lead, F.coalesce(replace(name), name))
-        )
 
-    return F.array_join(F.zip_with(pieces, named, replaced), "")
+def _named(text: Column, tokens: str) -> Column:
+    """Group 1 of every token that has one."""
+    return F.array_remove(F.regexp_extract_all(text, F.lit(tokens), F.lit(1)), "")

@@ -16,9 +16,9 @@ def literal_inventory(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     first shuffle is on both, so a name that a third of all texts use is spread
     over all tasks; the second carries one partial row per name and task.
     """
-    bases = F.transform(
-        quoted(text_col), lambda literal: base_name_first_dot(unquoted(literal))
-    )
+    # In two steps: the name looks at the content several times.
+    contents = F.transform(quoted(text_col), unquoted)
+    bases = F.transform(contents, base_name_first_dot)
     per_text = (
         df.select(
             F.col(id_col).alias("id"),

@@ -47,6 +47,11 @@ def test_regexes_run_once_per_row(spark):
     inventory = plan(dr.literal_inventory(pages, "page_id", "html"))
     assert inventory.count("regexp_extract_all(html") == 1
     assert plan(dr.quoted_literals(pages, "html")).count("regexp_extract_all(html") == 1
+    # Once for the pieces and once for the literals in them; calls are told from their pieces.
+    rewritten = plan(pages.select(dr.rewrite_literals("html", "b", "r").alias("new")))
+    assert rewritten.count("regexp_extract_all(html") == 2
+    rewritten = plan(pages.select(dr.rewrite_calls("html", definitions=("b", "p")).alias("new")))
+    assert rewritten.count("regexp_extract_all(html") == 1
     redirected = pages.select(dr.redirect_path("url", "b", "r").alias("destination"))
     assert plan(redirected).count("regexp_extract_all(url") == 1
 
