@@ -26,6 +26,17 @@ ORDER_PATH = """
        END
 """
 
+# The same with newlines: in front, behind, in a folder's name and in the file's.
+ORDER_PATH_LINES = f"""
+    CASE o_orderkey % 5
+      WHEN 0 THEN 'x.y' || chr(10) || {ORDER_PATH}
+      WHEN 1 THEN {ORDER_PATH} || chr(10) || 'tail'
+      WHEN 2 THEN 'a.b/c' || chr(10) || 'd.e/' || chr(10) || {ORDER_PATH}
+      WHEN 3 THEN {ORDER_PATH} || chr(10)
+      ELSE 'a' || chr(10) || 'b.c' || chr(10) || {ORDER_PATH} || chr(10) || '.z'
+    END
+"""
+
 # Scripts with calls that count and with calls that do not: in a comment, in a
 # string, with a keyword, with a variable, of another method.
 PART_SCRIPT = f"""

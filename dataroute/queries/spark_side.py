@@ -10,7 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import dataroute as dr
-from dataroute.queries.inputs import ORDER_PATH, PART_PATH, PART_SCRIPT, TABLES
+from dataroute.queries.inputs import (
+    ORDER_PATH,
+    ORDER_PATH_LINES,
+    PART_PATH,
+    PART_SCRIPT,
+    TABLES,
+)
 
 BUCKET = "b"
 RUN_ID = "r1"
@@ -58,7 +64,7 @@ def a1_scan_parquet(spark, sf_dir):
 
 
 def a2_csv_strings(spark, sf_dir):
-    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    df = table(spark, sf_dir, "orders")
     path = dr.scratch_location(spark, "orders")
     dr.save(df, path, "csv")
     return dr.scan(spark, "csv", path)
@@ -132,6 +138,20 @@ def b5_records_nested(spark, sf_dir):
             ),
             F.array(F.lit(None), F.lit(float("nan"))).alias("gone"),
             F.create_map(F.lit("at"), F.col("ts")).alias("when"),
+            F.array(F.struct("value", "props")).alias("measured"),
+        )
+    )
+
+
+def b5_records_maps(spark, sf_dir):
+    """Maps whose keys are days, times and bytes."""
+    return dr.to_records(
+        table(spark, sf_dir, "events").select(
+            "event_id",
+            F.create_map(F.col("ts").cast("date"), "user_id").alias("by_day"),
+            F.create_map("ts", F.create_map(F.col("event_type").cast("binary"), F.col("ts").cast("date"))).alias(
+                "by_time"
+            ),
         )
     )
 
@@ -156,6 +176,22 @@ def b7_redirect_roundtrip(spark, sf_dir):
     return dr.scan_redirected(spark, path, root, RUN_ID)
 
 
+def b7_redirect_literal_names(spark, sf_dir):
+    """Names that would be patterns of one another, each read back as its own table."""
+    root = dr.scratch_location(spark, "redirected")
+    names = {
+        "/a/b*c.csv": "orders", "/a/bXc.csv": "customer",
+        "part[1].csv": "supplier", "{ws}.csv": "nation",
+    }
+    for path, name in names.items():
+        dr.save_redirected(table(spark, sf_dir, name), path, root, RUN_ID)
+    found = [
+        dr.shape(dr.scan_redirected(spark, path, root, RUN_ID)).withColumn("path", F.lit(path))
+        for path in names
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 def b8_replace_stale(spark, sf_dir):
     """The result of a run holds nothing of the run before, at the same path."""
     output = dr.scratch_location(spark, "output")
@@ -226,6 +262,14 @@ def c3_output_fallback(spark, sf_dir):
     return dr.resolve(spark, output_dir=output).df
 
 
+def c3_partitioned_output(spark, sf_dir):
+    """An output folder that is partitioned is one table, partition column included."""
+    output = dr.scratch_location(spark, "output")
+    orders = table(spark, sf_dir, "orders")
+    orders.write.partitionBy("o_orderstatus").parquet(output)
+    return dr.resolve(spark, output_dir=output).df.select(orders.columns)
+
+
 def c4_shape(spark, sf_dir):
     shapes = [
         dr.shape(table(spark, sf_dir, name)).withColumn("name", F.lit(name))
@@ -256,7 +300,7 @@ def c5_run_log(spark, sf_dir):
     dr.finish_run(spark, "repeated", f"{root}/repeated", log, df=repeated)
     records = dr.scan(spark, "text", f"{root}/good")
     return (
-        dr.scan(spark, "parquet", log)
+        dr.read_log(spark, log)
         .select("name", "status", "result_source", "n_rows", "n_cols")
         .unionByName(
             dr.shape(records).select(
@@ -269,25 +313,40 @@ def c5_run_log(spark, sf_dir):
     )
 
 
+def c5_taken_target(spark, sf_dir):
+    """A run whose records path is taken raises, and its row is in the log."""
+    root = dr.scratch_location(spark, "runs")
+    log = f"{root}/log"
+    dr.finish_run(spark, "first", f"{root}/records", log, df=table(spark, sf_dir, "orders"))
+    try:
+        dr.finish_run(spark, "second", f"{root}/records", log, df=table(spark, sf_dir, "customer"))
+        raised = None
+    except AnalysisException as problem:
+        raised = problem.getCondition()
+    return dr.read_log(spark, log).select(
+        "name", "status", "result_source", "n_rows", F.lit(raised).alias("raised")
+    )
+
+
 def c5_run_job(spark, sf_dir):
     """One job of each kind; their outcomes and the sizes of their records."""
     root = dr.scratch_location(spark, "jobs")
-    view = f"view_{uuid.uuid4().hex}"
-    orders, customers = (table(spark, sf_dir, name) for name in ("orders", "customer"))
 
     def saves(spark, output_dir):
+        orders = table(spark, sf_dir, "orders")
         dr.save(orders.filter("o_orderkey > 1"), f"{output_dir}/result.parquet")
-        return customers
+        return table(spark, sf_dir, "customer")
 
     def names_a_view(spark, output_dir):
-        customers.createOrReplaceTempView(view)
-        return orders
+        table(spark, sf_dir, "customer").createOrReplaceTempView("result")
+        return table(spark, sf_dir, "orders")
 
     def returns(spark, output_dir):
+        orders, customers = (table(spark, sf_dir, name) for name in ("orders", "customer"))
         return orders.join(customers, orders.o_custkey == customers.c_custkey)
 
     def fails(spark, output_dir):
-        dr.save(customers, f"{output_dir}/result.parquet")
+        dr.save(table(spark, sf_dir, "customer"), f"{output_dir}/result.parquet")
         raise ValueError("the job fails after saving")
 
     outcomes, sizes = [], []
@@ -297,7 +356,6 @@ def c5_run_job(spark, sf_dir):
         if job is not fails:
             records = dr.scan(spark, "text", f"{run_dir}/records")
             sizes.append(dr.shape(records).select(F.lit(job.__name__).alias("name"), "n_rows"))
-    spark.catalog.dropTempView(view)
     columns = ["name", "status", "result_source", "n_rows", "n_cols", "error_message"]
     records = reduce(DataFrame.unionByName, sizes).withColumnRenamed("n_rows", "n_records")
     return (
@@ -359,6 +417,12 @@ def on_path(function):
     )
 
 
+def on_lines(function):
+    return lambda spark, sf_dir: table(spark, sf_dir, "orders").select(
+        "o_orderkey", function(F.expr(ORDER_PATH_LINES)).alias("name")
+    )
+
+
 def on_part_path(function):
     return lambda spark, sf_dir: part_paths(spark, sf_dir).select(
         "p_partkey", "path", function("path").alias("name")
@@ -417,6 +481,13 @@ def g4_rewrite_calls(spark, sf_dir):
     )
 
 
+def g4_rewrite_defined(spark, sf_dir):
+    """Rewritten scripts with the definitions that they need."""
+    return scripts(spark, sf_dir).select(
+        "p_partkey", dr.rewrite_calls("code", definitions=("bucket", "base")).alias("code")
+    )
+
+
 # Jobs over whole tables
 
 
@@ -474,16 +545,20 @@ QUERIES = {
     "b5_records_text": b5_records_text,
     "b5_records_typed": b5_records_typed,
     "b5_records_nested": b5_records_nested,
+    "b5_records_maps": b5_records_maps,
     "b6_unique_sink": b6_unique_sink,
     "b7_redirect_roundtrip": b7_redirect_roundtrip,
+    "b7_redirect_literal_names": b7_redirect_literal_names,
     "b8_replace_stale": b8_replace_stale,
     "c1_resolve_order": c1_resolve_order,
     "c2_new_views": c2_new_views,
     "c3_output_fallback": c3_output_fallback,
+    "c3_partitioned_output": c3_partitioned_output,
     "c4_shape": c4_shape,
     "c5_audit": c5_audit,
     "c5_run_log": c5_run_log,
     "c5_run_job": c5_run_job,
+    "c5_taken_target": c5_taken_target,
     "c6_preview": c6_preview,
     "d1_project": d1_project,
     "d2_filter": d2_filter,
@@ -493,10 +568,12 @@ QUERIES = {
     "e1_join_using": e1_join_using,
     "f1_base_name": on_path(dr.base_name),
     "f1_base_name_url": on_url(dr.base_name),
+    "f1_base_name_lines": on_lines(dr.base_name),
     "f2_base_name_first_dot": on_path(dr.base_name_first_dot),
     "f2_base_name_first_dot_url": on_url(dr.base_name_first_dot),
     "f3_file_slug": on_path(dr.file_slug),
     "f3_file_slug_url": on_url(dr.file_slug),
+    "f3_file_slug_lines": on_lines(dr.file_slug),
     "f4_rules_strict": on_path(by_rules(dr.RULES_STRICT)),
     "f4_rules_flexible": on_path(by_rules(dr.RULES_FLEXIBLE)),
     "f4_rules_basename": on_path(by_rules(dr.RULES_BASENAME)),
@@ -513,6 +590,7 @@ QUERIES = {
     "g2_rewrite_scripts": g2_rewrite_scripts,
     "g3_calls": g3_calls,
     "g4_rewrite_calls": g4_rewrite_calls,
+    "g4_rewrite_defined": g4_rewrite_defined,
     "h1_collisions": h1_collisions,
     "h1_collisions_orders": h1_collisions_orders,
     "h2_plan": h2_plan,

@@ -6,15 +6,13 @@ checks that the two forms agree.
 
 from __future__ import annotations
 
-from dataroute.functions.paths import (
-    RULE_FIRST_DOT,
-    RULE_LAST_DOT,
-    RULE_PLAIN_NAME,
-    RULE_SPECIAL_NAME,
-)
-from dataroute.queries.inputs import ORDER_PATH, PART_PATH, PART_SCRIPT
+from dataroute.queries.inputs import ORDER_PATH, ORDER_PATH_LINES, PART_PATH, PART_SCRIPT
 
-# --- Fixed values: defining regexes -------------------------------------------
+# --- Fixed values: defining regexes, written out apart from the library's -----
+RULE_FIRST_DOT = r"(?:.*/)?([^.]+)\.[^/]*$"
+RULE_LAST_DOT = r"(?:.*/)?(.+)\.[^/]*$"
+RULE_SPECIAL_NAME = r"(?:.*/)?(F8\.TBLR)\.[^/]*$"
+RULE_PLAIN_NAME = r"(?:.*/)?([^/]+)$"
 LAST_PART = r"(?:.*/)?(.+)[^/]*$"
 EXTENSION = r"(?s)^((?:.*/)?\.*[^/.][^/]*?)\.[^./]*$"
 QUOTED = r""""[^\n][^"\n]*"|'[^\n][^'\n]*'"""
@@ -67,6 +65,10 @@ def on_path(name: str) -> str:
     return f"SELECT o_orderkey, path, {name} AS name FROM {ORDER_PATHS}"
 
 
+def on_lines(name: str) -> str:
+    return f"SELECT o_orderkey, {name} AS name FROM (SELECT o_orderkey, {ORDER_PATH_LINES} AS path FROM orders)"
+
+
 def on_part_path(name: str) -> str:
     return f"SELECT p_partkey, path, {name} AS name FROM {PART_PATHS}"
 
@@ -136,12 +138,27 @@ CUSTOMER_RECORD = """
                   'c_mktsegment': c_mktsegment}) AS VARCHAR)
 """
 
+REWRITTEN_CALLS = f"""
+    SELECT p_partkey, array_to_string(list_transform(range(1, len(gaps) + 1),
+        lambda i: gaps[i] || coalesce(CASE
+            WHEN named[i] <> '' THEN replace(found[i], named[i], {text(CALL_TARGET)})
+            ELSE found[i] END, '')), '') AS code
+    FROM (SELECT p_partkey, regexp_split_to_array(code, {text(CALLS)}) AS gaps,
+                 regexp_extract_all(code, {text(CALLS)}) AS found,
+                 regexp_extract_all(code, {text(CALLS)}, 1) AS named
+          FROM {SCRIPTS})
+"""
+# \1 is the first line.
+DEFINED = "\\1import uuid\nS3_BUCKET = 'bucket'\nS3_BASE_PATH = 'base'\n"
+
 ORACLES = {
     "a1_scan_parquet": "SELECT * FROM lineitem",
     "a2_csv_roundtrip": "SELECT * FROM customer",
     "a2_csv_strings": """
         SELECT CAST(o_orderkey AS VARCHAR) AS _c0, CAST(o_custkey AS VARCHAR) AS _c1,
-               o_orderstatus AS _c2 FROM orders
+               o_orderstatus AS _c2, CAST(o_totalprice AS VARCHAR) AS _c3,
+               strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%g') AS _c4,
+               o_orderpriority AS _c5 FROM orders
     """,
     "a3_json_roundtrip": "SELECT * FROM pages",
     "a3_json_inferred": """
@@ -170,7 +187,17 @@ ORACLES = {
                    'day': strftime(ts, '%Y-%m-%dT00:00:00.000'),
                    'who': {'user_id': user_id, 'kind': event_type},
                    'gone': [NULL, NULL],
-                   'when': {'at': strftime(ts, '%Y-%m-%dT%H:%M:%S.%g')}
+                   'when': {'at': strftime(ts, '%Y-%m-%dT%H:%M:%S.%g')},
+                   'measured': [{'value': value, 'props': props}]
+               }) AS VARCHAR) AS record
+        FROM events
+    """,
+    "b5_records_maps": """
+        SELECT CAST(to_json({
+                   'event_id': event_id,
+                   'by_day': MAP {strftime(ts, '%Y-%m-%dT00:00:00.000'): user_id},
+                   'by_time': MAP {strftime(ts, '%Y-%m-%dT%H:%M:%S.%g'):
+                                   MAP {event_type: strftime(ts, '%Y-%m-%dT00:00:00.000')}}
                }) AS VARCHAR) AS record
         FROM events
     """,
@@ -178,6 +205,13 @@ ORACLES = {
         SELECT *, 1 AS copy FROM customer UNION ALL SELECT *, 2 AS copy FROM customer
     """,
     "b7_redirect_roundtrip": "SELECT * FROM orders",
+    "b7_redirect_literal_names": together([
+        f"SELECT '{path}' AS path, count(*) AS n_rows, {n} AS n_cols FROM {name}"
+        for path, name, n in [
+            ("/a/b*c.csv", "orders", 6), ("/a/bXc.csv", "customer", 5),
+            ("part[1].csv", "supplier", 4), ("{ws}.csv", "nation", 3),
+        ]
+    ]),
     "b8_replace_stale": "SELECT * FROM customer",
     "c1_resolve_order": together([
         shape("parquet", "parquet", "orders", 6),
@@ -195,6 +229,7 @@ ORACLES = {
         shape("two new", "direct_dataframe", "part", 6),
     ]),
     "c3_output_fallback": "SELECT * FROM orders",
+    "c3_partitioned_output": "SELECT * FROM orders",
     "c4_shape": together([
         f"SELECT '{name}' AS name, count(*) AS n_rows, {n} AS n_cols FROM {name}"
         for name, n in COLUMN_COUNTS.items()
@@ -212,6 +247,11 @@ ORACLES = {
         UNION ALL SELECT 'repeated', 'error', 'json_serialization_error', NULL, NULL
         UNION ALL SELECT 'records', 'success', 'text', count(*), 1 FROM orders
     """,
+    "c5_taken_target": """
+        SELECT 'first' AS name, 'success' AS status, 'direct_dataframe' AS result_source,
+               count(*) AS n_rows, 'PATH_ALREADY_EXISTS' AS raised FROM orders
+        UNION ALL SELECT 'second', 'error', 'direct_dataframe', NULL, 'PATH_ALREADY_EXISTS'
+    """,
     "c5_run_job": """
         SELECT 'saves' AS name, 'success' AS status, 'parquet' AS result_source,
                count(*) AS n_rows, 6 AS n_cols,
@@ -257,10 +297,12 @@ ORACLES = {
     """,
     "f1_base_name": on_path(named(RULE_LAST_DOT, "path")),
     "f1_base_name_url": on_url(named(RULE_LAST_DOT, "url")),
+    "f1_base_name_lines": on_lines(named(RULE_LAST_DOT, "path")),
     "f2_base_name_first_dot": on_path(named(RULE_FIRST_DOT, "path")),
     "f2_base_name_first_dot_url": on_url(named(RULE_FIRST_DOT, "url")),
     "f3_file_slug": on_path(slug("path")),
     "f3_file_slug_url": on_url(slug("url")),
+    "f3_file_slug_lines": on_lines(slug("path")),
     "f4_rules_strict": on_path(by_rules("path", RULE_FIRST_DOT)),
     "f4_rules_flexible": on_path(
         by_rules("path", RULE_SPECIAL_NAME, RULE_LAST_DOT, RULE_PLAIN_NAME)
@@ -288,15 +330,11 @@ ORACLES = {
                                      lambda x: x <> '') AS found
                           FROM {SCRIPTS})))
     """,
-    "g4_rewrite_calls": f"""
-        SELECT p_partkey, array_to_string(list_transform(range(1, len(gaps) + 1),
-            lambda i: gaps[i] || coalesce(CASE
-                WHEN named[i] <> '' THEN replace(found[i], named[i], {text(CALL_TARGET)})
-                ELSE found[i] END, '')), '') AS code
-        FROM (SELECT p_partkey, regexp_split_to_array(code, {text(CALLS)}) AS gaps,
-                     regexp_extract_all(code, {text(CALLS)}) AS found,
-                     regexp_extract_all(code, {text(CALLS)}, 1) AS named
-              FROM {SCRIPTS})
+    "g4_rewrite_calls": REWRITTEN_CALLS,
+    # Every script begins with a comment line and calls the method.
+    "g4_rewrite_defined": f"""
+        SELECT p_partkey, regexp_replace(code, '^([^\n]*\n)', {text(DEFINED)}) AS code
+        FROM ({REWRITTEN_CALLS})
     """,
     "h1_collisions": collisions(PART_PATHS),
     "h1_collisions_orders": collisions(ORDER_PATHS),
