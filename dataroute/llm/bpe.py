@@ -73,26 +73,23 @@ def encode_documents(
     return B.finish(dealt, encoded, lambda table, got: _assemble(table, got, n, definition), SCHEMA)
 
 
-def _words(table: pa.Table, n: int) -> list[list[bytes]]:
-    """The distinct words of a block for each bucket, sorted."""
+def _words(table: pa.Table, n: int) -> list[tuple[int, list[bytes]]]:
+    """The distinct words of a block by bucket, in a fixed order."""
     found = set()
     for _, texts in B.documents(table):
         for text in texts:
             found.update(text.split())
-    words: list[list[bytes]] = [[] for _ in range(n)]
+    words: dict[int, list[bytes]] = {}
     digest = xxhash.xxh32_intdigest
     for word in found:
-        words[digest(word) % n].append(word)
-    for group in words:
-        group.sort()
-    return words
+        words.setdefault(digest(word) % n, []).append(word)
+    return [(bucket, sorted(words[bucket])) for bucket in sorted(words)]
 
 
 def _ask_words(table: pa.Table, n: int):
     packer = zstandard.ZstdCompressor(level=3)
-    for bucket, words in enumerate(_words(table, n)):
-        if words:
-            yield bucket, packer.compress(b" ".join(words))
+    for bucket, words in _words(table, n):
+        yield bucket, packer.compress(b" ".join(words))
 
 
 def _encode(payloads: list[bytes], definition: str) -> list[bytes]:
@@ -134,9 +131,7 @@ def _assemble(table: pa.Table, answers: dict[int, bytes], n: int, definition: st
     pieces = _pieces(definition)
     place: dict[bytes, int] = {}
     counts, ids = [], []
-    for bucket, words in enumerate(_words(table, n)):
-        if not words:
-            continue
+    for bucket, words in _words(table, n):
         planes = np.frombuffer(zstandard.decompress(answers[bucket]), np.uint8).reshape(4, -1)
         body = np.ascontiguousarray(planes.T).reshape(-1).view("<u4")
         counts.append(body[: len(words)])

@@ -89,15 +89,18 @@ def _second_plane(digests: DataFrame, slots: int) -> bytes:
                 }
             )
 
-    def merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    def merge(
+        key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]
+    ) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(PART_SLOTS, bool)
         again = np.zeros(PART_SLOTS, bool)
-        for payload in table.column("fallen"):
-            found = np.frombuffer(payload.as_buffer(), "<u4")
-            slot = found >> 1
-            again[slot[(found & 1 == 1) | seen[slot]]] = True
-            seen[slot] = True
-        return pa.table(
+        for batch in batches:
+            for payload in batch.column("fallen"):
+                found = np.frombuffer(payload.as_buffer(), "<u4")
+                slot = found >> 1
+                again[slot[(found & 1 == 1) | seen[slot]]] = True
+                seen[slot] = True
+        yield pa.RecordBatch.from_pydict(
             {
                 "part": pa.array([key[0].as_py()], pa.int32()),
                 "plane": pa.array([np.packbits(again, bitorder="little").tobytes()], pa.binary()),

@@ -17,7 +17,9 @@ passage; they seldom do so under several orders, so candidates must pass all of
    task. What comes out are spanning trees, never pairs, and their components.
 
 A passage or near copy that a third of all documents share is one entry per block and
-token in step 2 and one tree edge per document in step 4.
+token in steps 2 and 3 and one tree edge per document in step 4. What grows with the
+square of such a group is the number of comparisons between its blocks in step 4, if the
+group does not fit one task; nothing that is sent or kept does.
 """
 
 from __future__ import annotations
@@ -302,7 +304,11 @@ def _reply_counts(payloads: list[bytes]) -> list[bytes]:
 
 
 def _post(table: pa.Table, answers: dict[int, bytes], n: int, percent: int):
-    """Postings ``key, node, size`` of the prefixes under orders with rare tokens first."""
+    """Prefixes under orders with rare tokens first, as runs and edges (see ``_runs``).
+
+    The sets of this block that share a token are tied together here, so that a token
+    sends one run per range of sizes, however many sets of the block have it.
+    """
     ids, sets = _token_sets(table)
     ids = np.where(ids == B.NULL_ID, NODE_OF_NULL, ids)
     ranked, begins, order = H.distinct(np.concatenate(sets))
@@ -324,24 +330,46 @@ def _post(table: pa.Table, answers: dict[int, bytes], n: int, percent: int):
             nodes.append(np.full(len(first), number * len(ORDERS) + k))
             sizes.append(np.full(len(first), len(held)))
     keys, nodes, sizes = (np.concatenate(x) for x in (keys, nodes, sizes))
-    order = np.argsort(keys, kind="stable")
-    for bucket, part in B.slices(keys[order], n):
-        own = order[part]
-        yield bucket, np.stack([keys[own].view(np.int64), nodes[own], sizes[own]]).astype("<i8").tobytes()
+    (keys, nodes, low, high), pairs = _runs(keys, nodes, sizes, sizes, percent)
+    for bucket, part in B.slices(keys, n):
+        sent = np.stack([keys[part].view(np.int64), nodes[part], low[part], high[part]])
+        yield bucket, b"r" + sent.astype("<i8").tobytes()
+    places = H.mix(pairs[0].astype(H.U))
+    order = np.argsort(places, kind="stable")
+    for bucket, part in B.slices(places[order], n):
+        yield bucket, b"e" + pairs[:, order[part]].astype("<i8").tobytes()
+
+
+def _runs(keys, nodes, low, high, percent: int):
+    """Ranges of sizes per key without a gap that no similar pair bridges.
+
+    Given are ranges ``low`` to ``high`` of a node each. Returns the joined ranges, each
+    with its least node, and the distinct edges from the other nodes to that one.
+    """
+    if not len(keys):
+        return (keys, nodes, low, high), np.zeros((2, 0), np.int64)
+    order = np.lexsort((low, keys))
+    keys, nodes, low, high = keys[order], nodes[order], low[order], high[order]
+    new = np.r_[True, keys[1:] != keys[:-1]]
+    # The largest size of the key so far: sizes are far below 2^32.
+    reach = np.maximum.accumulate((np.cumsum(new) << 32) + high) & 0xFFFFFFFF
+    begins = np.flatnonzero(np.r_[True, new[1:] | (100 * reach[:-1] < percent * low[1:])])
+    least = np.minimum.reduceat(nodes, begins)
+    tied = np.repeat(least, np.diff(np.r_[begins, len(nodes)]))
+    pairs = np.unique(np.stack([nodes, tied])[:, nodes != tied], axis=1)
+    return (keys[begins], least, low[begins], np.maximum.reduceat(high, begins)), pairs
 
 
 def _group(table: pa.Table, percent: int) -> pa.Table:
-    """Sets with a common prefix token, tied to the least node of their range of sizes."""
-    parts = [np.frombuffer(x.as_buffer(), "<i8").reshape(3, -1) for x in table.column("payload")]
-    keys, nodes, sizes = np.concatenate(parts, axis=1)
-    order = np.lexsort((sizes, keys))
-    keys, nodes, sizes = keys[order], nodes[order], sizes[order]
-    # Sizes in rising order: a gap that no similar pair bridges cuts the group.
-    apart = (keys[1:] != keys[:-1]) | (100 * sizes[:-1] < percent * sizes[1:])
-    begins = np.flatnonzero(np.r_[True, apart])
-    least = np.repeat(np.minimum.reduceat(nodes, begins), np.diff(np.r_[begins, len(nodes)]))
-    pairs = np.unique(np.stack([nodes, least])[:, nodes != least], axis=1)
-    return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+    """Edges of the blocks, and between their runs of one prefix token."""
+    runs, pairs = [np.zeros((4, 0), np.int64)], [np.zeros((2, 0), np.int64)]
+    for payload in table.column("payload"):
+        data = bytes(payload.as_buffer())
+        into, rows = (runs, 4) if data[:1] == b"r" else (pairs, 2)
+        into.append(np.frombuffer(data[1:], "<i8").reshape(rows, -1))
+    _, between = _runs(*np.concatenate(runs, axis=1), percent)
+    found = np.unique(np.concatenate([*pairs, between], axis=1), axis=1)
+    return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
 
 
 def _search(table: pa.Table, percent: int) -> pa.Table:

@@ -112,3 +112,34 @@ def test_marginals():
             for k, t in enumerate(tags):
                 marked[k] += t * math.exp(value)
         assert np.allclose(tagger.marginals(words, at), [marked[k] / total for k in at])
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_runs_tie_what_may_be_similar(seed):
+    """Postings joined per block first and then over blocks tie all pairs of similar sizes."""
+    from dataroute.llm.jaccard_join import _runs
+
+    chosen = random.Random(seed)
+    postings = [(chosen.randrange(4), node, chosen.choice([5, 6, 10, 12, 40, 41, 90])) for node in range(25)]
+    percent, parent = 85, list(range(25))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sent, pairs = [], []
+    for block in (postings[:8], postings[8:9], postings[9:], []):
+        key, node, size = (np.array([x[k] for x in block], np.int64) for k in range(3))
+        runs, tied = _runs(key, node, size, size, percent)
+        assert len(runs[0]) <= len(block)
+        sent.append(np.stack(runs))
+        pairs.append(tied)
+    pairs.append(_runs(*np.concatenate(sent, axis=1), percent)[1])
+    for a, b in np.concatenate(pairs, axis=1).T.tolist():
+        parent[root(a)] = root(b)
+    for (k, a, m), (j, b, n) in itertools.combinations(postings, 2):
+        if k == j and 100 * min(m, n) >= percent * max(m, n):
+            assert root(a) == root(b)
+        if k != j:
+            assert root(a) != root(b)
