@@ -28,6 +28,8 @@ SAMPLE = 400
 OVERSAMPLE = 4
 CLUSTERS = 4
 ROUNDS = 12
+#: The share of a language's sample that a centroid stands for at least.
+LEAST_SHARE = 0.04
 #: More languages than this is a mistake in the column, not a model.
 MOST_LANGUAGES = 1000
 #: The share of a centroid's own sample that lies within its radius.
@@ -169,34 +171,55 @@ def fit(
 
     # ``sample`` ids for each of at most MOST_LANGUAGES languages: a bounded side.
     sampled = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
-    by_language: dict[str, list[np.ndarray]] = {}
-    for row in sampled.mapInArrow(vectors, "lang string, vector binary").collect():
-        by_language.setdefault(row["lang"], []).append(np.frombuffer(bytes(row["vector"]), "<f4"))
-    centroids, languages, radius = [], [], []
-    for language in sorted(by_language):
-        own = np.array(sorted(by_language[language], key=lambda x: x.tobytes()))
-        for centroid, members in _clusters(own, clusters):
-            centroids.append(centroid)
-            languages.append(language)
-            radius.append(1 - np.quantile(members @ centroid, 1 - WITHIN) + SLACK)
-    return Model(idf, np.array(centroids, np.float32).reshape(-1, DIMENSIONS), languages, np.array(radius))
+
+    def fit_language(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        own = b"".join(sorted(x.as_py() for x in table.column("vector")))
+        own = np.frombuffer(own, "<f4").reshape(-1, DIMENSIONS)
+        found = _clusters(own, clusters)
+        return pa.table(
+            {
+                "lang": pa.array([key[0].as_py()] * len(found), pa.string()),
+                "centroid": pa.array([c.astype("<f4").tobytes() for c, _ in found], pa.binary()),
+                "radius": pa.array([_radius(members @ c) for c, members in found], pa.float64()),
+            }
+        )
+
+    # A group is ``sample`` vectors; what comes back are ``clusters`` per language.
+    fitted = (
+        sampled.mapInArrow(vectors, "lang string, vector binary")
+        .groupBy("lang")
+        .applyInArrow(fit_language, "lang string, centroid binary, radius double")
+        .collect()
+    )
+    fitted.sort(key=lambda x: (x["lang"], bytes(x["centroid"])))
+    centroids = b"".join(bytes(x["centroid"]) for x in fitted)
+    return Model(
+        idf,
+        np.frombuffer(centroids, "<f4").reshape(-1, DIMENSIONS),
+        [x["lang"] for x in fitted],
+        np.array([x["radius"] for x in fitted]),
+    )
+
+
+def _radius(cosines: np.ndarray) -> float:
+    return float(1 - np.quantile(cosines, 1 - WITHIN) + SLACK)
 
 
 def _clusters(vectors: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Spherical k-means from far-apart members; centroids with their members."""
-    chosen = [vectors.mean(axis=0)]
-    nearest = vectors @ chosen[0]
-    for _ in range(min(k, len(vectors)) - 1):
-        chosen.append(vectors[int(np.argmin(nearest))])
-        nearest = np.maximum(nearest, vectors @ chosen[-1])
-    centres = np.array(chosen)
+    """Spherical k-means from members spread over the range of likeness to their mean."""
+    likeness = np.argsort(vectors @ vectors.mean(axis=0), kind="stable")
+    places = (np.arange(k) + 0.5) / k * len(vectors)
+    centres = vectors[np.unique(likeness[places.astype(int)])]
     for _ in range(ROUNDS):
         centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
         owner = np.argmax(vectors @ centres.T, axis=1)
         centres = np.array([vectors[owner == j].mean(axis=0) for j in np.unique(owner)])
     centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
     owner = np.argmax(vectors @ centres.T, axis=1)
-    return [(centres[j], vectors[owner == j]) for j in np.unique(owner)]
+    found = [(centres[j], vectors[owner == j]) for j in np.unique(owner)]
+    # A few members far from all others are mislabelled texts, not a way to write.
+    least = min(LEAST_SHARE * len(vectors), max(len(members) for _, members in found))
+    return [(centre, members) for centre, members in found if len(members) >= least]
 
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
