@@ -1,7 +1,7 @@
 """Documents in blocks, and questions about keys that many blocks share.
 
 Operators that compare passages of a whole corpus all have one shape. Documents are
-dealt over *blocks* by their id, a few megabytes of text each. A block asks about its
+dealt over *blocks* by a hash, a few megabytes of text each. A block asks about its
 distinct keys: they go, packed, to the *bucket* that owns their hash range. A bucket
 sees one entry per block for a key however often the key occurs, so a key that a third
 of all documents hold costs it one entry per block. Its answer, packed likewise, goes
@@ -51,7 +51,8 @@ def frames(docs: DataFrame, n_blocks: int, doc_id: str = "doc_id", text: str = "
     """
     ship(docs.sparkSession)
     rows = docs.select(
-        F.pmod(F.xxhash64(F.col(doc_id)), F.lit(n_blocks)).cast("int").alias("block"),
+        # By the text too, so that documents without an id do not meet in one block.
+        F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(n_blocks)).cast("int").alias("block"),
         F.coalesce(F.col(doc_id).cast("long"), F.lit(int(NULL_ID))).alias("doc_id"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"),
     )

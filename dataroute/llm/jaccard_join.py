@@ -224,7 +224,9 @@ def _left(sets: _Sets, answers: dict[int, bytes], n: int, percent: int) -> pa.Ta
             "doc_id": pa.array(sets.ids),
             "n_shingles": pa.array(sets.sizes, pa.int64()),
             "class_id": pa.array(class_ids, pa.int64()),
-            "tokens": pa.array([x.tobytes() if k else None for x, k in zip(sets.sets, keep, strict=True)], pa.binary()),
+            "tokens": pa.array(
+                [x.tobytes() if k else None for x, k in zip(sets.sets, keep, strict=True)], pa.binary()
+            ),
         }
     )
 
@@ -261,7 +263,13 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         grouped.join(parts.filter("members > 1").select("group", cut.alias("cuts")), "group")
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-        .select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class_id", "tokens")
+        .select(
+            "group",
+            F.least("own", "other").alias("i"),
+            F.greatest("own", "other").alias("j"),
+            "class_id",
+            "tokens",
+        )
     )
     found = cells.groupBy("group", "i", "j").applyInArrow(lambda table: _search(table, percent), STARS)
     return found.select(F.expr(_class("a")).alias("a"), F.expr(_class("b")).alias("b"))
@@ -299,7 +307,8 @@ def _reply_counts(payloads: list[bytes]) -> list[bytes]:
     count = np.concatenate([np.frombuffer(x[8 * s :], "<u4") for x, s in zip(payloads, sizes, strict=True)])
     _, begins, order = H.distinct(keys)
     total = np.empty(len(keys), "<u4")
-    total[order] = np.repeat(np.add.reduceat(count[order].astype(np.int64), begins), np.diff(np.r_[begins, len(order)]))
+    summed = np.add.reduceat(count[order].astype(np.int64), begins)
+    total[order] = np.repeat(summed, np.diff(np.r_[begins, len(order)]))
     return [x.tobytes() for x in np.split(total, np.cumsum(sizes)[:-1])]
 
 
@@ -318,7 +327,8 @@ def _post(table: pa.Table, answers: dict[int, bytes], n: int, percent: int):
     counts = np.empty(len(order), np.int64)
     counts[order] = np.repeat(count, np.diff(np.r_[begins, len(order)]))
     keys, nodes, sizes = [], [], []
-    for own, number, held in zip(np.split(counts, np.cumsum([len(x) for x in sets])[:-1]), ids.tolist(), sets, strict=True):
+    per_set = np.split(counts, np.cumsum([len(x) for x in sets])[:-1])
+    for own, number, held in zip(per_set, ids.tolist(), sets, strict=True):
         length = int(_prefix(len(held), percent))
         # Rarity in powers of two, so that the orders differ within a cluster of copies.
         rare = np.log2(own).astype(np.int64)

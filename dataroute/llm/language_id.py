@@ -245,14 +245,16 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
                     score[at : at + len(matrix)] = cosine.max(axis=1)
             letters = batch.column("letters").to_numpy(zero_copy_only=False)
             nearest = [model.languages[k] if k >= 0 else None for k in best]
+            known = [n if n and x else UNKNOWN for n, x in zip(nearest, letters, strict=True)]
+            far = [k < 0 or 1 - s > model.radius[k] for k, s in zip(best, score, strict=True)]
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column("doc_id"),
                     "held_out": batch.column("held_out"),
-                    "lang_pred": pa.array([n if n and x else UNKNOWN for n, x in zip(nearest, letters, strict=True)], pa.string()),
+                    "lang_pred": pa.array(known, pa.string()),
                     "nearest": pa.array(nearest, pa.string()),
                     "score": pa.array(np.where(letters, np.clip(score, 0, 1), 0.0)),
-                    "rejected": pa.array([k < 0 or 1 - s > model.radius[k] for k, s in zip(best, score, strict=True)]),
+                    "rejected": pa.array(far, pa.bool_()),
                 }
             )
 

@@ -38,10 +38,12 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 # Letters are lowered in ASCII only. A shorter document's words are its one shingle.
 OP3 = f"""
-WITH RECURSIVE w AS (
-  SELECT doc_id, {WORDS.replace("text", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws
+WITH RECURSIVE lowered AS (
+  SELECT doc_id,
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
   FROM documents
 ),
+w AS (SELECT doc_id, {WORDS} AS ws FROM lowered),
 shingle AS (
   SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS k
   FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)

@@ -140,7 +140,8 @@ class _Block:
         """Runs of strings with one anchor: anchor, document, first place, number."""
         out = []
         for _, least, doc, place in self._anchored():
-            begins = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (doc[1 : len(least)] != doc[: len(least) - 1])])
+            apart = (least[1:] != least[:-1]) | (doc[1 : len(least)] != doc[: len(least) - 1])
+            begins = np.flatnonzero(np.r_[True, apart])
             count = np.diff(np.r_[begins, len(least)])
             some = least[begins] != 0
             begins, count = begins[some], count[some]
@@ -420,7 +421,8 @@ def _kept(block: _Block, answers: dict[int, bytes], n: int) -> pa.Table:
         columns["n_spans"].append(len(spans))
         columns["kept"].append(kept)
         columns["spans"].append([{"start": a, "end": b} for a, b in spans])
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(span)]
     return pa.table(
         {"doc_id": B.ids_out(block.ids)}
         | {name: pa.array(values, kind) for (name, values), kind in zip(columns.items(), types, strict=True)}

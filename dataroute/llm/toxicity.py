@@ -71,7 +71,13 @@ def _words(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    label: str = "toxic",
+) -> Model:
     """Learn from a bounded sample of the labelled documents that are not held out.
 
     A document with several labels is toxic if one says so; null labels say nothing.
@@ -143,9 +149,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, content, mark in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "text", "label")), strict=True):
+            columns = (batch.column(x).to_pylist() for x in ("doc_id", "text", "label"))
+            for key, content, mark in zip(*columns, strict=True):
                 words = _words(content)
                 found = [i for i, word in enumerate(words) if not telling.isdisjoint(features(word))]
+                marked_places = set(found) if mark else set()
                 if mark:
                     middles = found[:WINDOWS]
                 else:  # clean words that share a feature teach the most, then any
@@ -153,18 +161,21 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 for middle in middles:
                     low = max(0, middle - REACH)
                     part = words[low : middle + REACH + 1]
-                    tags = [int(mark and low + k in set(found)) for k in range(len(part))]
+                    tags = [int(low + k in marked_places) for k in range(len(part))]
                     out.append({"words": part, "tags": tags})
             yield pa.RecordBatch.from_pylist(out, schema=_WINDOW)
 
-    sampled = rows.select("doc_id", "text", "label").mapInArrow(windows, "words array<string>, tags array<int>").collect()
+    sample_rows = rows.select("doc_id", "text", "label")
+    sampled = sample_rows.mapInArrow(windows, "words array<string>, tags array<int>").collect()
     model = _train(sorted((tuple(x["words"]), tuple(x["tags"])) for x in sampled))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(model)
         for batch in batches:
             found = [tagger.judge(_words(x))[2] for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"label": batch.column("label"), "evidence": pa.array(found, pa.float64())})
+            yield pa.RecordBatch.from_pydict(
+                {"label": batch.column("label"), "evidence": pa.array(found, pa.float64())}
+            )
 
     judged = rows.select("text", "label").mapInArrow(judge, "label int, evidence double").collect()
     return model._replace(calibration=_calibrate(sorted((x["evidence"], x["label"]) for x in judged)))
@@ -357,7 +368,13 @@ class Tagger:
         return out
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(
+    docs: DataFrame,
+    model: Model,
+    threshold: float = THRESHOLD,
+    doc_id: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
     """Toxicity of every row, from the marginals of its tokens, and the offending spans.
 
     ``spans`` are code point offsets of tokens whose marginal is at least 0.5. A null or
