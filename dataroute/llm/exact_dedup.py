@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dataroute.llm.shipping import ship
-from dataroute.llm.tables import written
+from dataroute.llm.tables import join_facts, written
 
 #: Slots of the filter per text, hashes per text, and most slots (64 MB for a plane).
 SLOTS_PER_TEXT = 16
@@ -144,7 +144,10 @@ def copy_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     groups = maybe.groupBy("digest").agg(
         F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")
     )
-    joined = maybe.join(groups, "digest").select("doc_id", "digest", "keep_id", "group_size")
+    groups = written(groups, "groups")
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    joined = join_facts(maybe, groups, "digest", "group_size", total)
+    joined = joined.select("doc_id", "digest", "keep_id", "group_size")
     return single.unionAll(joined).select(
         "doc_id",
         "keep_id",

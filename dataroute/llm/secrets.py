@@ -8,7 +8,7 @@ each candidate gets a verdict: ``live`` or ``example``.
 Everything is built-in expressions. A pattern's matches come with their places from the
 pieces between them: ``split`` gives the gaps, ``regexp_extract_all`` the matches. The
 counts combine before they shuffle, so a value that a third of all documents hold is one
-row per task and owner; texts are never shuffled.
+row per task and owner, and the verdict on it is broadcast; texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dataroute.llm.tables import written
+from dataroute.llm.tables import join_facts, written
 
 
 class Kind(NamedTuple):
@@ -119,7 +119,7 @@ def find_candidates(
 
 
 def ownership(candidates: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """Per hashed value: ``n_documents``, ``n_repositories``, ``n_owners`` and ``verdict``.
+    """Per hashed value: ``n_spans``, ``n_documents``, ``n_repositories``, ``n_owners``, ``verdict``.
 
     ``verdict`` is ``example`` if at least ``example_owners`` owners have the value, else
     ``live``. Null owners and repositories count as one, without a name.
@@ -127,8 +127,11 @@ def ownership(candidates: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> Da
     spans = candidates.select(
         "row", "repository", "owner", F.explode(F.concat(*[F.col(k.name) for k in KINDS])).alias("span")
     ).select("row", "repository", "owner", F.col("span.hash").alias("hash"))
-    held = spans.groupBy("hash", "repository", "owner").agg(F.count_distinct("row").alias("n"))
+    held = spans.groupBy("hash", "repository", "owner").agg(
+        F.count("*").alias("m"), F.count_distinct("row").alias("n")
+    )
     return held.groupBy("hash").agg(
+        F.sum("m").alias("n_spans"),
         F.sum("n").alias("n_documents"),
         F.count_distinct("repository").alias("n_repositories"),
         F.count_distinct("owner").alias("n_owners"),
@@ -137,12 +140,12 @@ def ownership(candidates: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> Da
 
 def _live(candidates: DataFrame, example_owners: int) -> DataFrame:
     """``row``, ``doc_id``, ``digest`` and the spans of that row whose values look live."""
-    verdicts = ownership(candidates, example_owners).select("hash", "verdict")
+    verdicts = written(ownership(candidates, example_owners).select("hash", "verdict", "n_spans"), "verdicts")
     every = F.concat(*[F.col(k.name) for k in KINDS])
+    spans = candidates.select("row", "doc_id", "digest", F.explode(every).alias("span"))
+    total = verdicts.agg(F.sum("n_spans")).first()[0] or 0
     return (
-        candidates.select("row", "doc_id", "digest", F.explode(every).alias("span"))
-        .withColumn("hash", F.col("span.hash"))
-        .join(verdicts, "hash")
+        join_facts(spans.withColumn("hash", F.col("span.hash")), verdicts, "hash", "n_spans", total)
         .filter("verdict = 'live'")
         .groupBy("row", "doc_id", "digest")
         .agg(F.collect_list("span").alias("live"))

@@ -143,3 +143,16 @@ def test_runs_tie_what_may_be_similar(seed):
             assert root(a) == root(b)
         if k != j:
             assert root(a) != root(b)
+
+
+def test_hot_keys_are_not_shuffled(spark, monkeypatch):
+    from dataroute.llm import tables
+
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, 7, id) AS k", "id AS x")
+    facts = tables.written(rows.groupBy("k").count().withColumnRenamed("count", "n"), "facts")
+    expected = sorted(map(tuple, rows.join(facts, "k").collect()))
+    for least in (1, 500, 5000):
+        monkeypatch.setattr(tables, "LEAST_HOT", least)
+        joined = tables.join_facts(rows, facts, "k", "n", 3000)
+        assert sorted(map(tuple, joined.select("k", "x", "n").collect())) == expected
+    assert tables.join_facts(rows.limit(0), facts.limit(0), "k", "n", 0).collect() == []
