@@ -68,7 +68,13 @@ def frames(docs: DataFrame, n_blocks: int, doc_id: str = "doc_id", text: str = "
         if held:
             yield from _framed(held)
 
-    return rows.mapInArrow(pack, FRAME_SCHEMA)
+    # As many tasks as blocks, whatever the session's number of shuffle partitions.
+    return deal(rows.mapInArrow(pack, FRAME_SCHEMA), n_blocks)
+
+
+def deal(rows: DataFrame, n_blocks: int) -> DataFrame:
+    """Rows with a ``block``, partitioned by it; every round of a query uses this exchange."""
+    return rows.repartition(n_blocks, "block")
 
 
 def _framed(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,18 +105,18 @@ def documents(table: pa.Table) -> Iterator[tuple[np.ndarray, list[bytes]]]:
         yield rows.column("doc_id").to_numpy(), rows.column("text").to_pylist()
 
 
-def ask(dealt: DataFrame, question: Callable[[pa.Table], Iterator[tuple[int, bytes]]]) -> DataFrame:
+def ask(
+    dealt: DataFrame, n_buckets: int, question: Callable[[pa.Table], Iterator[tuple[int, bytes]]]
+) -> DataFrame:
     """``bucket, block, payload`` rows that ``question`` makes of each block's frames."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return _packed("bucket", "block", key[0].as_py(), question(table))
 
-    return dealt.groupBy("block").applyInArrow(run, ASK_SCHEMA)
+    return dealt.groupBy("block").applyInArrow(run, ASK_SCHEMA).repartition(n_buckets, "bucket")
 
 
-def answer(
-    asked: DataFrame, reply: Callable[[list[bytes]], list[bytes]]
-) -> DataFrame:
+def answer(asked: DataFrame, reply: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
     """``block, bucket, payload``: what ``reply`` says to the payloads of each bucket."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -124,6 +130,7 @@ def answer(
 def ask_again(
     dealt: DataFrame,
     answers: DataFrame,
+    n_buckets: int,
     question: Callable[[pa.Table, dict[int, bytes]], Iterator[tuple[int, bytes]]],
 ) -> DataFrame:
     """A further question of blocks that have read the answers to their last one."""
@@ -131,7 +138,7 @@ def ask_again(
     def run(key: tuple[pa.Scalar, ...], table: pa.Table, got: pa.Table) -> pa.Table:
         return _packed("bucket", "block", key[0].as_py(), question(table, by_bucket(got)))
 
-    return _meet(dealt, answers).applyInArrow(run, ASK_SCHEMA)
+    return _meet(dealt, answers).applyInArrow(run, ASK_SCHEMA).repartition(n_buckets, "bucket")
 
 
 def finish(

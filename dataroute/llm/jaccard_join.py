@@ -78,9 +78,9 @@ def near_duplicates(
     ship(docs.sparkSession)
     n = B.block_count(docs, text)
     dealt = B.frames(docs, n, doc_id, text)
-    classes = B.answer(B.ask(dealt, lambda table: _ask_classes(_Sets(table, words), n)), _reply_least)
+    classes = B.answer(B.ask(dealt, n, lambda table: _ask_classes(_Sets(table, words), n)), _reply_least)
     shared = B.answer(
-        B.ask_again(dealt, classes, lambda table, got: _ask_prefixes(_Sets(table, words), got, n, percent)),
+        B.ask_again(dealt, classes, n, lambda table, got: _ask_prefixes(_Sets(table, words), got, n, percent)),
         B.reply_shared,
     )
     answers = classes.unionAll(shared.selectExpr("block", f"bucket + {n} AS bucket", "payload"))
@@ -235,9 +235,10 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     """Edges ``a, b`` whose components are those of all links between the sets."""
     total = sets.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
     n = max(1, -(-total // (8 * BLOCK_TOKENS)), min(total >> 16, sets.sparkSession.sparkContext.defaultParallelism))
-    dealt = sets.withColumn("block", F.pmod(F.xxhash64("class_id"), F.lit(n)).cast("int"))
-    counted = B.answer(B.ask(dealt, lambda table: _ask_counts(table, n)), _reply_counts)
-    stars = B.ask_again(dealt, counted, lambda table, got: _post(table, got, n, percent))
+    block = F.pmod(F.xxhash64("class_id"), F.lit(n)).cast("int")
+    dealt = B.deal(sets.withColumn("block", block), n)
+    counted = B.answer(B.ask(dealt, n, lambda table: _ask_counts(table, n)), _reply_counts)
+    stars = B.ask_again(dealt, counted, n, lambda table, got: _post(table, got, n, percent))
     edges = stars.groupBy("bucket").applyInArrow(lambda table: _group(table, percent), STARS)
     # A node per class and order: three graphs in one.
     coarse = components(edges.distinct())
@@ -253,7 +254,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         .select("class_id", F.xxhash64("parts").alias("group"))
     )
     # Numbers below 2^61 hold class ids times the number of orders; see _node.
-    grouped = dealt.select(F.expr(_node("class_id")).alias("class_id"), "tokens").join(groups, "class_id")
+    grouped = sets.select(F.expr(_node("class_id")).alias("class_id"), "tokens").join(groups, "class_id")
     parts = grouped.groupBy("group").agg(
         F.count("*").alias("members"), F.sum(F.octet_length("tokens") / 8).alias("size")
     )

@@ -57,10 +57,10 @@ def remove_repeated_passages(
     n = B.block_count(docs, text)
     dealt = B.frames(docs, n, doc_id, text)
     anchored = B.answer(
-        B.ask(dealt, lambda table: _ask_anchors(_Words(table, window), n)), B.reply_shared
+        B.ask(dealt, n, lambda table: _ask_anchors(_Words(table, window), n)), B.reply_shared
     )
     compared = B.answer(
-        B.ask_again(dealt, anchored, lambda table, got: _ask_stretches(_Words(table, window), got, n)),
+        B.ask_again(dealt, anchored, n, lambda table, got: _ask_stretches(_Words(table, window), got, n)),
         _reply_earlier,
     )
     # The last pass needs both answers: which stretches were asked about, and the reply.

@@ -64,10 +64,10 @@ def remove_repeated_strings(
     n = B.block_count(docs, text)
     dealt = B.frames(docs, n, doc_id, text)
     repeated = B.answer(
-        B.ask(dealt, lambda table: _ask_anchors(_Block(table, length), n)), B.reply_shared
+        B.ask(dealt, n, lambda table: _ask_anchors(_Block(table, length), n)), B.reply_shared
     )
     judged = B.answer(
-        B.ask_again(dealt, repeated, lambda table, got: _ask_passages(_Block(table, length), got, n)),
+        B.ask_again(dealt, repeated, n, lambda table, got: _ask_passages(_Block(table, length), got, n)),
         lambda payloads: _judge(payloads, length),
     )
     both = repeated.unionAll(judged.selectExpr("block", f"bucket + {n} AS bucket", "payload"))
