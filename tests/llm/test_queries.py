@@ -99,3 +99,22 @@ def test_pipeline(spark):
     got = packed.select("doc_id", "piece", "start", "length", "ids_crc32")
     assert sorted(map(tuple, got.collect())) == sorted(expected)
     assert corpus_pipeline.run(spark, sf_dir).drop("sequence_id", "offset").count() == len(expected)
+
+
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["op2_suffix_array_dedup", "op4_bpe", "op10_substring_dedup"])
+def test_documents_are_dealt_once(spark, name):
+    """All rounds of a query read the same exchange of documents."""
+    plan = _final_plan(QUERIES[name](spark, "/root/testdata/sf0.001")).partition("== Initial Plan ==")[0]
+    dealt = plan.count("MapInArrow pack(")
+    assert dealt == 1 and "ReusedExchange" in plan
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_cross_joins(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
