@@ -41,7 +41,7 @@ WORDS, PERCENT = 5, 80
 #: One number per global order of tokens.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Tokens of a block of documents that are left after step 2, and of a part of a group.
-BLOCK_TOKENS, PART_TOKENS = 1 << 21, 1 << 21
+BLOCK_TOKENS, PART_TOKENS = 1 << 18, 1 << 21
 
 SETS = "doc_id long, n_shingles long, class_id long, tokens binary"
 STARS = "a long, b long"
