@@ -41,7 +41,7 @@ THRESHOLD = 0.3
 OFFENDING = 0.5
 #: Added to evidence before its logarithm is taken; the doubt that always remains of a word.
 FLOOR, LEAST_DOUBT = 0.05, 1e-3
-KNOWN_TOKENS = 500_000
+KNOWN_TOKENS = 150_000
 
 TOKEN = re.compile(r"[^\W_]+")
 SCHEMA = (
