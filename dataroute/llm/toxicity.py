@@ -1,9 +1,10 @@
 """Toxic spans by a linear-chain conditional random field, and scores from its marginals.
 
 Labels are per document, the chain tags tokens. Token labels come from telling features:
-whole words and word beginnings that many toxic documents have and clean ones lack. Their
-tokens in toxic documents are the labelled ones. The field is trained on windows around
-them and on windows of clean documents.
+whole words and word beginnings that are in toxic documents more often than chance explains,
+whatever share of them that is. Their tokens in toxic documents are the labelled ones. The
+field is trained on windows around them and on windows of clean documents; its weights
+settle features that clean documents have too.
 
 Only tokens with a weighted feature tell the chain anything new. A run of other tokens is
 one power of the transition matrix, so a text costs one lookup per token and one step of
@@ -26,14 +27,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dataroute.llm.shipping import ship
+from dataroute.llm.tables import written
 
 #: Labelled documents of each class that the model is fitted on, chosen by a hash of the id.
 TOXIC_SAMPLE, CLEAN_SAMPLE = 3000, 6000
 #: Characters of the word beginnings that are features beside the whole word.
 PREFIXES = (4, 5, 6)
-#: A telling feature is in this many toxic documents and this share of them, near copies
-#: counting once, and its rate in clean documents is at most this part of that in toxic ones.
-LEAST_TOXIC, LEAST_SHARE, CLEAN_RATE = 8, 0.01, 0.02
+#: Of the features that are called telling, this part may be in toxic documents by chance.
+FALSE_SHARE = 0.05
 #: Windows per document, tokens on both sides of a labelled one, passes of training.
 WINDOWS, REACH, ROUNDS, L2 = 4, 6, 150, 1e-4
 THRESHOLD = 0.3
@@ -81,7 +82,7 @@ def fit(
     """Learn from a bounded sample of the labelled documents that are not held out.
 
     A document with several labels is toxic if one says so; null labels say nothing.
-    Without a toxic document every score is 0.
+    Without a toxic and a clean document every score is 0.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -99,6 +100,14 @@ def fit(
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")
     ).join(F.broadcast(chosen), "doc_id")  # at most TOXIC_SAMPLE + CLEAN_SAMPLE rows
 
+    def with_kind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = [_kind(_words(content)) for content in batch.column("text").to_pylist()]
+            yield batch.append_column("kind", pa.array(kinds, pa.int64()))
+
+    rows = rows.select("doc_id", "text", "label")
+    rows = written(rows.mapInArrow(with_kind, "doc_id long, text string, label int, kind long"), "labelled")
+
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
         for batch in batches:
@@ -114,37 +123,44 @@ def fit(
             }
         )
 
-    n = {x["label"]: x["n"] for x in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    counted = (
+    tallied = written(
         rows.select("text", "label")
         .mapInArrow(tally, "feature string, toxic long, clean long")
         .groupBy("feature")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .filter(
-            (F.col("toxic") >= LEAST_TOXIC)
-            & (F.col("clean") * n.get(1, 0) <= F.col("toxic") * n.get(0, 0) * CLEAN_RATE)
-        )
+        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")),
+        "features",
     )
-    candidates = {x["feature"] for x in counted.select("feature").collect()}
+    n_toxic = rows.filter("label = 1").select("kind").distinct().count()
+    n_clean = rows.filter("label = 0").count()
+    share = n_toxic / max(1, n_toxic + n_clean)
+    least = -math.log(FALSE_SHARE)
+    # Near copies count once below, which only lowers the number of toxic documents.
+    most = _surprise(F.least("toxic", F.lit(n_toxic)), F.col("clean"), share)
+    candidates = {x["feature"] for x in tallied.filter(most >= least).select("feature").collect()}
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds, found = [], []
-            for content in batch.column("text").to_pylist():
-                words = _words(content)
-                kinds.append(_kind(words))
-                found.append(sorted({f for word in set(words) for f in features(word)} & candidates))
+            for content, kind in zip(batch.column("text").to_pylist(), batch.column("kind").to_pylist(), strict=True):
+                own = {f for word in set(_words(content)) for f in features(word)} & candidates
+                kinds += [kind] * len(own)
+                found += own
             yield pa.RecordBatch.from_pydict(
-                {"kind": pa.array(kinds, pa.int64()), "found": pa.array(found, pa.list_(pa.string()))}
+                {"feature": pa.array(found, pa.string()), "kind": pa.array(kinds, pa.int64())}
             )
 
-    toxic = rows.filter("label = 1").select("text").mapInArrow(hits, "kind long, found array<string>").collect()
-    kinds: dict[str, set[int]] = {}
-    for row in toxic:
-        for feature in row["found"]:
-            kinds.setdefault(feature, set()).add(row["kind"])
-    least = max(LEAST_TOXIC, LEAST_SHARE * len({row["kind"] for row in toxic}))
-    telling = {feature for feature, own in kinds.items() if len(own) >= least}
+    kinds = (
+        rows.filter("label = 1")
+        .select("text", "kind")
+        .mapInArrow(hits, "feature string, kind long")
+        .distinct()
+        .groupBy("feature")
+        .agg(F.count("*").alias("kinds"))
+    )
+    judged = kinds.join(tallied, "feature").select(
+        "feature", _surprise(F.col("kinds"), F.col("clean"), share).alias("surprise")
+    )
+    telling = _telling([tuple(x) for x in judged.filter(F.col("surprise") >= least).collect()], tallied.count())
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,6 +197,25 @@ def fit(
     return model._replace(calibration=_calibrate(sorted((x["evidence"], x["label"]) for x in judged)))
 
 
+def _surprise(toxic: Column, clean: Column, share: float) -> Column:
+    """Chernoff's bound, as a negative logarithm, on the chance that of ``toxic + clean``
+    documents so many are toxic if ``share`` of all are; 0 if no more than expected."""
+    n = toxic + clean
+    part = F.when(clean > 0, clean * F.log(clean / (n * (1 - share)))).otherwise(0.0)
+    return F.when(toxic > n * share, toxic * F.log(toxic / (n * share)) + part).otherwise(0.0)
+
+
+def _telling(surprises: list[tuple[str, float]], n_features: int) -> set[str]:
+    """Features chosen among ``n_features`` so that ``FALSE_SHARE`` of them are false
+    (Benjamini and Hochberg): a chance counts by its rank, so no number of documents is set."""
+    ranked = sorted(surprises, key=lambda x: (-x[1], x[0]))
+    last = 0
+    for rank, (_, surprise) in enumerate(ranked, 1):
+        if math.exp(-surprise) * n_features <= FALSE_SHARE * rank:
+            last = rank
+    return {feature for feature, _ in ranked[:last]}
+
+
 _WINDOW = pa.schema([("words", pa.list_(pa.string())), ("tags", pa.list_(pa.int32()))])
 
 
@@ -379,7 +414,7 @@ def score(
 
     ``spans`` are code point offsets of tokens whose marginal is at least 0.5. A null or
     empty text, or one without an informative token, has the least score; without any
-    toxic document to learn from every score is 0. ``held_out`` tells rows whose labels
+    toxic and clean document to learn from every score is 0. ``held_out`` tells rows whose labels
     were not learnt. One row per input row; repeated and null ids are carried
     through, other columns are not read.
     """

@@ -54,6 +54,23 @@ def test_toxicity_of_held_out_documents(spark):
     assert hits / sum(x["toxic"] for x in rows) > 0.8
 
 
+def test_toxicity_of_each_language(spark):
+    """Held-out toxic documents of the smaller languages too, by the query and in the pipeline."""
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet").select("doc_id", "toxic")
+    marked = docs.join(labels, "doc_id").filter(toxicity.held_out()).select("doc_id", "lang", "toxic")
+    marked = {x["doc_id"]: (x["lang"], x["toxic"]) for x in marked.collect()}
+    found = {x["doc_id"] for x in QUERIES["op8_toxicity"](spark, LARGER).filter("predicted = 1").collect()}
+    stage = dict(corpus_pipeline.STAGES)["toxicity"]
+    kept = {x["doc_id"] for x in stage(spark, docs, LARGER).select("doc_id").collect()}
+    assert {lang for lang, _ in marked.values()} == {"de", "en", "es", "fr"}
+    for lang in ("de", "en", "es", "fr"):
+        toxic = {i for i, x in marked.items() if x == (lang, 1)}
+        clean = {i for i, x in marked.items() if x == (lang, 0)}
+        assert len(toxic & found) > 0.8 * len(toxic) and len(clean & found) < 0.05 * len(clean)
+        assert not toxic & found & kept and clean - found <= kept
+
+
 def test_offending_spans(spark):
     docs = spark.read.parquet(f"{LARGER}/documents.parquet")
     model = toxicity.fit(docs, spark.read.parquet(f"{LARGER}/labels.parquet"))
