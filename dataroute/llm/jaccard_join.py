@@ -84,10 +84,15 @@ def near_duplicates(
         B.reply_shared,
     )
     answers = classes.unionAll(shared.selectExpr("block", f"bucket + {n} AS bucket", "payload"))
-    sets = written(
-        B.finish(dealt, answers, lambda table, got: _left(_Sets(table, words), got, n, percent), SETS), "sets"
-    )
-    links = components(_links(sets.filter("tokens IS NOT NULL").select("class_id", "tokens"), percent))
+    finished = B.finish(dealt, answers, lambda table, got: _left(_Sets(table, words), got, n, percent), SETS)
+    # Ids can be any number, so links are searched between rows' numbers, fixed by writing.
+    sets = written(finished.withColumn("number", F.monotonically_increasing_id()), "sets")
+    going = sets.filter("tokens IS NOT NULL")
+    found = _links(going.select("number", "tokens"), percent)
+    for end in ("a", "b"):
+        ends = going.select(F.col("number").alias(end), F.col("class_id").alias(f"class_{end}"))
+        found = found.join(ends, end)
+    links = components(found.select("class_a", "class_b"), "class_a", "class_b")
     null = F.lit(int(B.NULL_ID))
     return sets.join(links, sets["class_id"] == links["node"], "left").select(
         F.nullif("doc_id", null).alias("doc_id"),
@@ -232,34 +237,36 @@ def _left(sets: _Sets, answers: dict[int, bytes], n: int, percent: int) -> pa.Ta
 
 
 def _links(sets: DataFrame, percent: int) -> DataFrame:
-    """Edges ``a, b`` whose components are those of all links between the sets."""
+    """Edges ``a, b`` whose components are those of all links between the sets.
+
+    Sets are named by a ``number`` from 0 on: a partition's, times 2^33, and a row's.
+    """
     total = sets.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
     n = max(1, -(-total // (8 * BLOCK_TOKENS)), min(total >> 16, sets.sparkSession.sparkContext.defaultParallelism))
-    block = F.pmod(F.xxhash64("class_id"), F.lit(n)).cast("int")
+    block = F.pmod(F.xxhash64("number"), F.lit(n)).cast("int")
     dealt = B.deal(sets.withColumn("block", block), n)
     counted = B.answer(B.ask(dealt, n, lambda table: _ask_counts(table, n)), _reply_counts)
     stars = B.ask_again(dealt, counted, n, lambda table, got: _post(table, got, n, percent))
     edges = stars.groupBy("bucket").applyInArrow(lambda table: _group(table, percent), STARS)
-    # A node per class and order: three graphs in one.
+    # A node per set and order: three graphs in one.
     coarse = components(edges.distinct())
     k = len(ORDERS)
     groups = (
         coarse.select(
-            F.expr(f"node DIV {k}").alias("class_id"),
+            F.expr(f"node DIV {k}").alias("number"),
             F.struct(F.expr(f"node % {k}").alias("order"), "component").alias("part"),
         )
-        .groupBy("class_id")
+        .groupBy("number")
         .agg(F.array_sort(F.collect_list("part")).alias("parts"))
         .filter(F.size("parts") == k)
-        .select("class_id", F.xxhash64("parts").alias("group"))
+        .select("number", F.xxhash64("parts").alias("group"))
     )
-    # Numbers below 2^61 hold class ids times the number of orders; see _node.
-    grouped = sets.select(F.expr(_node("class_id")).alias("class_id"), "tokens").join(groups, "class_id")
+    grouped = sets.join(groups, "number")
     parts = grouped.groupBy("group").agg(
         F.count("*").alias("members"), F.sum(F.octet_length("tokens") / 8).alias("size")
     )
     cut = F.ceil(F.col("size") / PART_TOKENS).cast("int")
-    own = F.pmod(F.xxhash64("class_id"), F.col("cuts")).cast("int")
+    own = F.pmod(F.xxhash64("number"), F.col("cuts")).cast("int")
     cells = (
         grouped.join(parts.filter("members > 1").select("group", cut.alias("cuts")), "group")
         .withColumn("own", own)
@@ -268,29 +275,16 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
             "group",
             F.least("own", "other").alias("i"),
             F.greatest("own", "other").alias("j"),
-            "class_id",
+            "number",
             "tokens",
         )
     )
     found = cells.groupBy("group", "i", "j").applyInArrow(lambda table: _search(table, percent), STARS)
-    return found.select(F.expr(_class("a")).alias("a"), F.expr(_class("b")).alias("b"))
-
-
-def _node(column: str) -> str:
-    """Class ids as numbers of which a multiple still fits; the null id is the largest."""
-    return f"CASE WHEN {column} = {B.NULL_ID} THEN {NODE_OF_NULL} ELSE {column} END"
-
-
-def _class(column: str) -> str:
-    return f"CASE WHEN {column} = {NODE_OF_NULL} THEN {B.NULL_ID} ELSE {column} END"
-
-
-#: Ids are expected below this; the null id stands there.
-NODE_OF_NULL = (1 << 61) - 1
+    return found
 
 
 def _token_sets(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
-    ids = table.column("class_id").to_numpy()
+    ids = table.column("number").to_numpy()
     return ids, [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("tokens")]
 
 
@@ -320,7 +314,6 @@ def _post(table: pa.Table, answers: dict[int, bytes], n: int, percent: int):
     sends one run per range of sizes, however many sets of the block have it.
     """
     ids, sets = _token_sets(table)
-    ids = np.where(ids == B.NULL_ID, NODE_OF_NULL, ids)
     ranked, begins, order = H.distinct(np.concatenate(sets))
     count = np.empty(len(ranked), np.int64)
     for bucket, part in B.slices(ranked, n):

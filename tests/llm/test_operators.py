@@ -185,6 +185,19 @@ def test_chains_of_near_copies(spark, seed):
         assert _bag(got) == _bag(plain.near_duplicates(rows, words, percent))
 
 
+def test_links_of_any_ids(spark):
+    """Negative ids and ids near both ends of 64 bits link like small ones."""
+    ids = [-10, -9, -1, 0, -(2**63), 2**63 - 2, 2**61 - 1, 2**61, 3 * 2**60, -(2**62), 7, None]
+    rows = []
+    for k, doc_id in enumerate(ids):
+        base = _words(100 + k // 2, 90).split()
+        base[45] = f"own{k}"
+        rows.append((doc_id, " ".join(base)))
+    got = near_duplicates(_frame(spark, rows)).collect()
+    assert _bag(got) == _bag(plain.near_duplicates(rows, 5, 80))
+    assert len({x["component_id"] for x in got}) == len(ids) // 2
+
+
 def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     from dataroute.llm import jaccard_join
 
