@@ -24,6 +24,8 @@ group does not fit one task; nothing that is sent or kept does.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,8 +35,9 @@ from pyspark.sql import functions as F
 from dataroute.llm import blocks as B
 from dataroute.llm import hashing as H
 from dataroute.llm.components import components
+from dataroute.llm.exact_dedup import digest
 from dataroute.llm.shipping import ship
-from dataroute.llm.tables import written
+from dataroute.llm.tables import join_facts, written
 
 #: Words of a shingle and least similarity, in per cent.
 WORDS, PERCENT = 5, 80
@@ -44,6 +47,8 @@ ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 BLOCK_TOKENS, PART_TOKENS = 1 << 18, 1 << 21
 
 SETS = "doc_id long, n_shingles long, class_id long, tokens binary"
+#: The set's print and the text's digest, where rows are told apart by more than their ids.
+ROWS = SETS + ", print binary, digest string"
 STARS = "a long, b long"
 
 
@@ -75,6 +80,21 @@ def near_duplicates(
     counts as larger than all others. Rows with equal ids are one document with several
     sets: links of one are links of all. Other columns are not read.
     """
+    sets, going, found = _sets_and_links(docs, words, percent, doc_id, text, SETS)
+    for end in ("a", "b"):
+        ends = going.select(F.col("number").alias(end), F.col("class_id").alias(f"class_{end}"))
+        found = found.join(ends, end)
+    links = components(found.select("class_a", "class_b"), "class_a", "class_b")
+    null = F.lit(int(B.NULL_ID))
+    return sets.join(links, sets["class_id"] == links["node"], "left").select(
+        F.nullif("doc_id", null).alias("doc_id"),
+        "n_shingles",
+        F.nullif(F.coalesce("component", "class_id"), null).alias("component_id"),
+    )
+
+
+def _sets_and_links(docs: DataFrame, words: int, percent: int, doc_id: str, text: str, schema: str):
+    """Rows with their classes, those of them that were compared, and edges between these."""
     ship(docs.sparkSession)
     n = B.block_count(docs, text)
     dealt = B.frames(docs, n, doc_id, text)
@@ -84,44 +104,63 @@ def near_duplicates(
         B.reply_shared,
     )
     answers = classes.unionAll(shared.selectExpr("block", f"bucket + {n} AS bucket", "payload"))
-    finished = B.finish(dealt, answers, lambda table, got: _left(_Sets(table, words), got, n, percent), SETS)
+    keyed = schema == ROWS
+    finished = B.finish(
+        dealt, answers, lambda table, got: _left(_Sets(table, words, keyed), got, n, percent), schema
+    )
     # Ids can be any number, so links are searched between rows' numbers, fixed by writing.
     sets = written(finished.withColumn("number", F.monotonically_increasing_id()), "sets")
     going = sets.filter("tokens IS NOT NULL")
-    found = _links(going.select("number", "tokens"), percent)
-    for end in ("a", "b"):
-        ends = going.select(F.col("number").alias(end), F.col("class_id").alias(f"class_{end}"))
-        found = found.join(ends, end)
-    links = components(found.select("class_a", "class_b"), "class_a", "class_b")
-    null = F.lit(int(B.NULL_ID))
-    return sets.join(links, sets["class_id"] == links["node"], "left").select(
-        F.nullif("doc_id", null).alias("doc_id"),
-        "n_shingles",
-        F.nullif(F.coalesce("component", "class_id"), null).alias("component_id"),
-    )
+    return sets, going, _links(going.select("number", "tokens"), percent)
 
 
 def without_near_copies(
     docs: DataFrame, words: int = WORDS, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """The rows whose document has the smallest id of its component, with all their columns."""
-    found = near_duplicates(docs, words, percent, doc_id, text)
+    """The rows that stay, one document per group of near copies, with all their columns.
+
+    A document is an id and a text here: rows without an id or with the same one are judged
+    by their own texts. Of a group the document with the smallest id stays (nulls last), of
+    equal ids the one whose text has the least digest. Rows that agree in id and text all
+    stay or all go.
+    """
+    sets, going, found = _sets_and_links(docs, words, percent, doc_id, text, ROWS)
+    linked = components(found).join(going.select(F.col("number").alias("node"), "print"), "node")
+    linked = linked.groupBy("print").agg(F.min("component").alias("linked"))
+    rows = sets.filter("print IS NOT NULL").select("doc_id", "digest", "print", "number")
+    total = rows.count()
+    # A class without links is a group of its own, under the number of one of its rows.
+    groups = (
+        rows.groupBy("print").agg(F.count("*").alias("n"), F.min("number").alias("least"))
+        .join(linked, "print", "left")
+        .filter("n > 1 OR linked IS NOT NULL")
+        .select("print", "n", F.coalesce("linked", "least").alias("group"))
+    )
+    members = join_facts(rows, written(groups, "groups"), "print", "n", total)
+    members = written(members.select("group", F.struct("doc_id", "digest").alias("member")), "members")
+    first = members.groupBy("group").agg(F.min("member").alias("first"), F.count("*").alias("n"))
+    dropped = join_facts(members, written(first, "first"), "group", "n", total).filter("member != first")
     dropped = written(
-        found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-            F.col("doc_id").alias("dropped_id")
-        ),
+        dropped.select(
+            F.nullif("member.doc_id", F.lit(int(B.NULL_ID))).alias("dropped_id"),
+            F.col("member.digest").alias("dropped_digest"),
+        ).distinct(),
         "dropped",
-    ).distinct()
-    return docs.join(dropped, docs[doc_id].eqNullSafe(dropped["dropped_id"]), "left_anti")
+    )
+    same = docs[doc_id].cast("long").eqNullSafe(dropped["dropped_id"]) & (digest(docs[text]) == dropped["dropped_digest"])
+    return docs.join(dropped, same, "left_anti")
 
 
 class _Sets:
     """The sets of a block's documents, and their classes within the block."""
 
-    def __init__(self, table: pa.Table, words: int):
+    def __init__(self, table: pa.Table, words: int, keyed: bool = False):
         ids, self.sets = [], []
+        self.digests: list[str] | None = [] if keyed else None
         for doc_ids, texts in B.documents(table):
             ids.append(doc_ids)
+            if keyed:
+                self.digests += [hashlib.sha256(x).hexdigest() for x in texts]
             (hashes,), first = H.words_of(texts, lower=True)
             full = np.arange(max(0, len(hashes) - words + 1))
             grams = H.windows(hashes, full, words) if len(full) else hashes[:0]
@@ -224,16 +263,18 @@ def _left(sets: _Sets, answers: dict[int, bytes], n: int, percent: int) -> pa.Ta
         alive &= np.bincount(owner, weights=own, minlength=len(sizes)) >= needed
     keep = np.zeros(len(going), bool)
     keep[np.flatnonzero(going)[alive]] = True
-    return pa.table(
-        {
-            "doc_id": pa.array(sets.ids),
-            "n_shingles": pa.array(sets.sizes, pa.int64()),
-            "class_id": pa.array(class_ids, pa.int64()),
-            "tokens": pa.array(
-                [x.tobytes() if k else None for x, k in zip(sets.sets, keep, strict=True)], pa.binary()
-            ),
-        }
-    )
+    columns = {
+        "doc_id": pa.array(sets.ids),
+        "n_shingles": pa.array(sets.sizes, pa.int64()),
+        "class_id": pa.array(class_ids, pa.int64()),
+        "tokens": pa.array(
+            [x.tobytes() if k else None for x, k in zip(sets.sets, keep, strict=True)], pa.binary()
+        ),
+    }
+    if sets.digests is not None:
+        columns["print"] = pa.array([x or None for x in sets.prints], pa.binary())
+        columns["digest"] = pa.array(sets.digests, pa.string())
+    return pa.table(columns)
 
 
 def _links(sets: DataFrame, percent: int) -> DataFrame:

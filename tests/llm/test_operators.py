@@ -185,6 +185,21 @@ def test_chains_of_near_copies(spark, seed):
         assert _bag(got) == _bag(plain.near_duplicates(rows, words, percent))
 
 
+def test_near_copies_without_or_with_repeated_ids(spark):
+    """Rows go by their own text, whatever other rows have the same id or none."""
+    copied, shared, other = (_words(k, 90).split() for k in (200, 201, 202))
+    near = [" ".join([*copied[:-1], f"end{k}"]) for k in range(2)]
+    alone = [" ".join([*shared[:-1], f"end{k}"]) for k in range(2)]
+    clean = [_words(210 + k, 90) for k in range(3)]
+    rows = [(4, near[0]), (None, near[1]), (None, clean[0]), (None, alone[0]), (None, alone[1])]
+    rows += [(5, clean[1]), (5, near[1] + " x"), (6, " ".join(other)), (7, " ".join(other).upper()), (7, clean[2])]
+    got = [(x["doc_id"], x["text"]) for x in without_near_copies(_frame(spark, rows)).collect()]
+    one = [x for x in got if x[1] in alone]
+    assert len(one) == 1
+    expected = [(4, near[0]), (None, clean[0]), (5, clean[1]), (6, " ".join(other)), (7, clean[2])]
+    assert _bag(got) == _bag(expected + one)
+
+
 def test_links_of_any_ids(spark):
     """Negative ids and ids near both ends of 64 bits link like small ones."""
     ids = [-10, -9, -1, 0, -(2**63), 2**63 - 2, 2**61 - 1, 2**61, 3 * 2**60, -(2**62), 7, None]
