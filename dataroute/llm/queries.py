@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dataroute.llm import bpe, language_id, packing, topk, toxicity
+from dataroute.llm import bpe, hard_negatives, language_id, max_sketch, packing, topk, toxicity
 from dataroute.llm.exact_dedup import copy_groups
 from dataroute.llm.jaccard_join import near_duplicates
+from dataroute.llm.minhash import near_copies
 from dataroute.llm.secrets import find_secrets
 from dataroute.llm.suffix_dedup import remove_repeated_strings
 from dataroute.llm.substring_dedup import remove_repeated_passages
@@ -88,6 +89,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents for every benchmark item, by the weights of its terms."""
+    return max_sketch.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that score below the positives of every 100th vector, but not far."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0, label)
+
+
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share 80 per cent of their 4-word shingles; one of each component is kept."""
+    return near_copies(_documents(spark, sf_dir), words=4, percent=80)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -99,4 +117,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_secret_scan": op9_secret_scan,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_minhash_dedup": op13_minhash_dedup,
 }

@@ -139,10 +139,75 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(
 FROM d LEFT JOIN per ON d.uid = per.uid
 """
 
+# Fixed by the contract: the terms of a text, and all integers of a score.
+TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11 = f"""
+WITH held AS (
+  SELECT row_number() OVER () AS d, doc_id, {TERMS} AS ts FROM documents WHERE text IS NOT NULL
+),
+size AS (SELECT d, doc_id, CAST(len(ts) AS BIGINT) AS n FROM held WHERE len(ts) > 0),
+whole AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM size),
+tf AS (SELECT d, t, count(*) AS tf FROM (SELECT d, unnest(ts) AS t FROM held) GROUP BY d, t),
+weight AS (
+  SELECT t, CAST(floor(1000 * ln((2 * big_n + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM tf, whole GROUP BY t, big_n
+),
+item AS (SELECT row_number() OVER () AS q, item_id, {TERMS} AS ts FROM benchmark WHERE text IS NOT NULL),
+asked AS (SELECT DISTINCT q, item_id, t FROM (SELECT q, item_id, unnest(ts) AS t FROM item)),
+scored AS (
+  SELECT q, item_id, doc_id, d,
+         CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * big_n) // big_l)))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (t) JOIN weight USING (t) JOIN size USING (d), whole
+  GROUP BY q, item_id, doc_id, d
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0
+)
+WHERE rank <= 10
+"""
+
+OP12 = """
+WITH scaled AS (
+  SELECT row_number() OVER () AS r, vec_id,
+         CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+pairs AS (
+  SELECT a.r AS anchor, a.vec_id AS anchor_id, o.r AS other, o.vec_id AS other_id, a.label = o.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.v, o.v), lambda x: x[1] * x[2])) AS BIGINT) AS score
+  FROM scaled a JOIN scaled o ON a.vec_id % 100 = 0 AND a.r <> o.r
+),
+positive AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other_id) AS p FROM pairs WHERE same
+),
+ranked AS (
+  SELECT x.anchor_id, x.other_id AS positive_id, y.other_id AS negative_id,
+         x.score AS positive_score, y.score AS negative_score,
+         row_number() OVER (PARTITION BY x.anchor, x.p ORDER BY y.score DESC, y.other_id) AS rank
+  FROM positive x JOIN pairs y ON x.anchor = y.anchor AND x.p <= 5 AND NOT y.same
+  WHERE 30 * x.score <= 100 * y.score AND 100 * y.score <= 90 * x.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM ranked WHERE rank <= 10
+"""
+
+OP13 = OP3.replace("100 * o >= 85 *", "100 * o >= 80 *").replace(
+    "SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id\n",
+    "SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept\n",
+)
+
 ORACLES = {
     "op1_exact_dedup": OP1,
     "op3_ngram_jaccard": OP3,
     "op7_topk_search": OP7,
     "op9_secret_scan": OP9,
     "op10_substring_dedup": OP10,
+    "op11_lexical_search": OP11,
+    "op12_hard_negatives": OP12,
+    "op13_minhash_dedup": OP13,
 }

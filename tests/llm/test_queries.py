@@ -23,7 +23,7 @@ LARGER = "/root/testdata/sf0.1"
 def test_all_are_registered():
     assert QUERIES.items() <= contract.queries().items()
     assert ORACLES.items() <= contract.oracle_sql().items()
-    assert {int(x[2:].split("_")[0]) for x in QUERIES} == set(range(1, 11))
+    assert {int(x[2:].split("_")[0]) for x in QUERIES} == set(range(1, 14))
     assert contract.queries()["pipeline"] is corpus_pipeline.run
 
 
