@@ -108,6 +108,8 @@ def search(
     sketches = None
     for batch in batches:
         own = [(x["query"], _hashes(x["words"])) for x in queries.filter(batch).collect()]
+        if not own:
+            continue
         counted = statistics(source, np.unique(np.concatenate([x for _, x in own])))
         if not counted.documents:
             break

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -121,10 +123,56 @@ def without_passages(rows, window=13):
 
 
 def search(rows, is_query, k):
+    """Every row but the query's own is a candidate, rows that repeat an id too."""
     out = []
-    for q, x in rows:
-        if not is_query(q):
+    for n, (q, x) in enumerate(rows):
+        if q is None or not is_query(q):
             continue
-        best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in rows if i != q)
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best[:k])]
+        best = sorted(
+            (-sum(a * b for a, b in zip(x, y)), order(i)) for m, (i, y) in enumerate(rows) if m != n
+        )
+        out += [(q, r + 1, None if none else i, -s) for r, (s, (none, i)) in enumerate(best[:k])]
+    return out
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+LOWER = {x: x + 32 for x in range(ord("A"), ord("Z") + 1)}
+
+
+def lexical(docs, items, k):
+    terms = [Counter(TERM.findall((x or "").translate(LOWER))) for _, x in docs]
+    n = sum(1 for x in terms if x)
+    total = sum(x.total() for x in terms)
+    df = Counter(t for x in terms for t in x)
+    out = []
+    for item_id, text in items:
+        found = []
+        for (doc_id, _), own in zip(docs, terms):
+            m = 100 - 90 + (90 * own.total() * n) // total if total else 0
+            score = 0
+            for t in set(TERM.findall((text or "").translate(LOWER))) & own.keys():
+                w = math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1)))
+                score += w * ((1_000_000_000 * own[t]) // (1000 * own[t] + 8 * m))
+            if score > 0:
+                found.append((-score, order(doc_id)))
+        out += [(item_id, r + 1, None if none else i, -s) for r, (s, (none, i)) in enumerate(sorted(found)[:k])]
+    return out
+
+
+def negatives(rows, is_anchor, positives, wanted, low, high):
+    """Rows are (id, label, vector of integers)."""
+    out = []
+    for n, (anchor, label, x) in enumerate(rows):
+        if anchor is None or not is_anchor(anchor):
+            continue
+        scored = sorted(
+            (-sum(a * b for a, b in zip(x, y)), order(i), other)
+            for m, (i, other, y) in enumerate(rows) if m != n
+        )
+        for s, (none, i), _ in [r for r in scored if r[2] == label][:positives]:
+            near = [r for r in scored if r[2] != label and low * -s <= 100 * -r[0] <= high * -s][:wanted]
+            out += [
+                (anchor, None if none else i, k + 1, None if absent else j, -s, -t)
+                for k, (t, (absent, j), _) in enumerate(near)
+            ]
     return out
