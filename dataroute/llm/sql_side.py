@@ -70,19 +70,20 @@ FROM least LEFT JOIN size USING (doc_id)
 
 OP7 = """
 WITH scaled AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT row_number() OVER () AS r, vec_id,
+         list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  WHERE embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ),
 pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
+  SELECT q.r, q.vec_id AS query_id, c.vec_id,
          CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])) AS BIGINT) AS score
-  FROM scaled q JOIN scaled c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+  FROM scaled q JOIN scaled c ON q.vec_id % 20 = 0 AND c.r <> q.r
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM pairs
 )
 WHERE rank <= 20
 """

@@ -35,7 +35,7 @@ SEED_ROWS, PROBE, SPARSE = 512, 12, 0.02
 #: Integers below this are exact in single precision.
 EXACT_SINGLE = 1 << 24
 
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query long, query_id long, vec_id long, score long"
 
 
 def scaled(vector: Column, scale: int = SCALE) -> Column:
@@ -55,40 +55,38 @@ def search(
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the ``k`` best vectors of each query.
 
-    Queries are the rows for which ``is_query`` holds; candidates are all rows but those
-    with the query's own id. Scores are integer inner products of the scaled components,
-    ties go to the smaller id, and a query with fewer candidates gets them all.
+    Queries are the rows for which ``is_query`` holds; candidates are all rows but the
+    query's own. Scores are integer inner products of the scaled components, ties go to the
+    smaller id, null ids last, and a query with fewer candidates gets them all.
 
-    Rows without an id or with a vector that is null or holds a null, an infinity or a NaN
-    take no part. A shorter vector ends in zeros. Of rows that repeat an id the vector that
-    is greatest counts, once. Other columns are not read.
+    Rows with a vector that is null or holds a null, an infinity or a NaN take no part. A
+    shorter vector ends in zeros. Rows that repeat an id, or have none, are candidates of
+    their own; of queries that repeat an id each has its own ranks. Other columns are not read.
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows = (
-        vectors.select(
-            F.col(vec_id).cast("long").alias("vec_id"),
-            scaled(F.col(embedding), scale).alias("vector"),
-            is_query.alias("is_query"),
-        )
-        .filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull())
-        .groupBy("vec_id")
-        .agg(F.max("vector").alias("vector"), F.max("is_query").alias("is_query"))
-    )
-    rows = written(rows, "vectors")
+    rows = vectors.select(
+        F.col(vec_id).cast("long").alias("vec_id"),
+        scaled(F.col(embedding), scale).alias("vector"),
+        F.coalesce(is_query, F.lit(False)).alias("is_query"),
+    ).filter(F.col("vector").isNotNull())
+    # Rows are told apart by a number, fixed by writing.
+    rows = written(rows.withColumn("number", F.monotonically_increasing_id()), "vectors")
     total = rows.agg(F.count("*").alias("n"), F.count_if("is_query").alias("q")).first()
     shards = max(1, math.ceil(total["n"] / SHARD_ROWS))
     query_blocks = max(1, math.ceil(total["q"] / QUERY_ROWS))
-    place = F.xxhash64("vec_id")
+    place = F.xxhash64("number")
     candidates = rows.select(
         F.pmod(place, F.lit(shards)).cast("int").alias("shard"),
         F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"),
+        "number",
         "vec_id",
         "vector",
     )
     queries = rows.filter("is_query").select(
         F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
         F.pmod(place, F.lit(query_blocks)).cast("int").alias("query_block"),
+        "number",
         "vec_id",
         "vector",
     )
@@ -98,7 +96,7 @@ def search(
         return _cell(left, right, k)
 
     found = queries.groupBy(*cell).cogroup(candidates.groupBy(*cell)).applyInArrow(best, FOUND)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return (
         found.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
@@ -121,12 +119,13 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 def _cell(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
     """The best of one shard for each query of one block."""
     if not queries.num_rows or not candidates.num_rows:
-        return pa.table({x: pa.array([], pa.int64()) for x in ("query_id", "vec_id", "score")})
+        return pa.table({x: pa.array([], pa.int64()) for x in ("query", "query_id", "vec_id", "score")})
     width = max(int(pc.max(pc.list_value_length(t.column("vector"))).as_py()) for t in (queries, candidates))
-    ids = candidates.column("vec_id").to_numpy()
-    order = np.argsort(ids)
-    ids, rows = ids[order], _matrix(candidates.column("vector"), width)[order]
-    own_ids, own = queries.column("vec_id").to_numpy(), _matrix(queries.column("vector"), width)
+    # In the order of ties, so that a candidate's place stands for its id.
+    order = pc.sort_indices(candidates, [("vec_id", "ascending")], null_placement="at_end")
+    candidates = candidates.take(order)
+    rows = _matrix(candidates.column("vector"), width)
+    own = _matrix(queries.column("vector"), width)
     low, high = rows.min(axis=0), rows.max(axis=0)
     # What each term adds to a score at least, and at most beyond that.
     least = np.minimum(own * low, own * high)
@@ -140,8 +139,8 @@ def _cell(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
     # What the terms from each rank on can add together, and all of them at least.
     rest = np.concatenate([np.cumsum(ranked[:, ::-1], axis=1)[:, ::-1], np.zeros((len(own), 1))], axis=1)
     base = least.sum(axis=1)
-    itself = np.searchsorted(ids, own_ids)
-    itself[ids[np.minimum(itself, len(ids) - 1)] != own_ids] = -1
+    place = {x: k for k, x in enumerate(candidates.column("number").to_pylist())}
+    itself = np.array([place.get(x, -1) for x in queries.column("number").to_pylist()])
 
     def kth(scores: np.ndarray, threshold: np.ndarray) -> np.ndarray:
         """The k-th best of each row; scores so far are lower bounds, so it only rises."""
@@ -175,14 +174,15 @@ def _cell(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
         seen = np.minimum(seen + 1, width)
         keep = total + rest[query, seen] >= threshold[query]
         at, query, total, seen = at[keep], query[keep], total[keep], seen[keep]
-    order = np.lexsort((ids[at], -total, query))
+    order = np.lexsort((at, -total, query))
     at, query, total = at[order], query[order], total[order]
     begins = np.searchsorted(query, every)
     best = np.arange(len(query)) - begins[query] < k
     return pa.table(
         {
-            "query_id": pa.array(own_ids[query[best]], pa.int64()),
-            "vec_id": pa.array(ids[at[best]], pa.int64()),
+            "query": queries.column("number").take(pa.array(query[best])),
+            "query_id": queries.column("vec_id").take(pa.array(query[best])),
+            "vec_id": candidates.column("vec_id").take(pa.array(at[best])),
             "score": pa.array(np.rint(total[best]).astype(np.int64)),
         }
     )
