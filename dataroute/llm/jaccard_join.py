@@ -12,14 +12,11 @@ passage; they seldom do so under several orders, so candidates must pass all of
    that share a prefix token and have similar sizes fall into one coarse group per order;
    similar classes share their group under every order, and only groups that agree under
    all orders are compared.
-4. Within a group the links are searched breadth first over an index of its tokens. A
-   group that is too large for a task is cut into blocks and every two blocks meet in a
-   task. What comes out are spanning trees, never pairs, and their components.
+4. Within a group the links are searched by ``groups.py``, which cuts a group that is too
+   large for a task. What comes out are spanning trees, never pairs, and their components.
 
 A passage or near copy that a third of all documents share is one entry per block and
-token in steps 2 and 3 and one tree edge per document in step 4. What grows with the
-square of such a group is the number of comparisons between its blocks in step 4, if the
-group does not fit one task; nothing that is sent or kept does.
+token in steps 2 and 3 and one tree edge per document in step 4.
 """
 
 from __future__ import annotations
@@ -36,6 +33,8 @@ from dataroute.llm import blocks as B
 from dataroute.llm import hashing as H
 from dataroute.llm.components import components
 from dataroute.llm.exact_dedup import digest
+from dataroute.llm.filters import maybe_among
+from dataroute.llm.groups import links_within, token_sets
 from dataroute.llm.shipping import ship
 from dataroute.llm.tables import join_facts, written
 
@@ -43,8 +42,8 @@ from dataroute.llm.tables import join_facts, written
 WORDS, PERCENT = 5, 80
 #: One number per global order of tokens.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-#: Tokens of a block of documents that are left after step 2, and of a part of a group.
-BLOCK_TOKENS, PART_TOKENS = 1 << 18, 1 << 21
+#: Tokens of a block of documents that are left after step 2.
+BLOCK_TOKENS = 1 << 18
 
 SETS = "doc_id long, n_shingles long, class_id long, tokens binary"
 #: The set's print and the text's digest, where rows are told apart by more than their ids.
@@ -85,8 +84,11 @@ def near_duplicates(
         ends = going.select(F.col("number").alias(end), F.col("class_id").alias(f"class_{end}"))
         found = found.join(ends, end)
     links = components(found.select("class_a", "class_b"), "class_a", "class_b")
+    rows = sets.select("doc_id", "n_shingles", "class_id")
+    classes = rows.groupBy("class_id").agg(F.count("*").alias("n"))
+    classes = classes.join(links.withColumnRenamed("node", "class_id"), "class_id", "left")
     null = F.lit(int(B.NULL_ID))
-    return sets.join(links, sets["class_id"] == links["node"], "left").select(
+    return join_facts(rows, written(classes, "classes"), "class_id", "n", rows.count()).select(
         F.nullif("doc_id", null).alias("doc_id"),
         "n_shingles",
         F.nullif(F.coalesce("component", "class_id"), null).alias("component_id"),
@@ -147,8 +149,30 @@ def without_near_copies(
         ).distinct(),
         "dropped",
     )
-    same = docs[doc_id].cast("long").eqNullSafe(dropped["dropped_id"]) & (digest(docs[text]) == dropped["dropped_digest"])
-    return docs.join(dropped, same, "left_anti")
+    return _without(docs, dropped, doc_id, text)
+
+
+def _without(docs: DataFrame, dropped: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` whose id and text are not ``dropped``; texts stay where they are.
+
+    A filter over the dropped keys passes most rows straight on. Keys that it only seems to
+    hold are told apart by a join of keys and put into a second filter: rows in the first
+    one alone are dropped, and only the few in both are shuffled to be compared.
+    """
+    if dropped.isEmpty():
+        return docs
+    keyed = docs.select(
+        F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias("row"),
+        F.col(doc_id).cast("long").alias("row_id"),
+        digest(docs[text]).alias("row_digest"),
+    )
+    own = ("row_id", "row_digest")
+    same = F.col("row_id").eqNullSafe(F.col("dropped_id")) & (F.col("row_digest") == F.col("dropped_digest"))
+    is_dropped = maybe_among(dropped)(*own)
+    spared = keyed.select(*own).filter(is_dropped).join(dropped, same, "left_anti").distinct()
+    is_spared = maybe_among(written(spared, "spared"))(*own)
+    compared = keyed.filter(is_dropped & is_spared).join(dropped, same, "left_anti")
+    return keyed.filter(~is_dropped).unionAll(compared).select("row.*")
 
 
 class _Sets:
@@ -302,35 +326,11 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         .filter(F.size("parts") == k)
         .select("number", F.xxhash64("parts").alias("group"))
     )
-    grouped = sets.join(groups, "number")
-    parts = grouped.groupBy("group").agg(
-        F.count("*").alias("members"), F.sum(F.octet_length("tokens") / 8).alias("size")
-    )
-    cut = F.ceil(F.col("size") / PART_TOKENS).cast("int")
-    own = F.pmod(F.xxhash64("number"), F.col("cuts")).cast("int")
-    cells = (
-        grouped.join(parts.filter("members > 1").select("group", cut.alias("cuts")), "group")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-        .select(
-            "group",
-            F.least("own", "other").alias("i"),
-            F.greatest("own", "other").alias("j"),
-            "number",
-            "tokens",
-        )
-    )
-    found = cells.groupBy("group", "i", "j").applyInArrow(lambda table: _search(table, percent), STARS)
-    return found
-
-
-def _token_sets(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
-    ids = table.column("number").to_numpy()
-    return ids, [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("tokens")]
+    return links_within(sets, written(groups, "coarse"), percent)
 
 
 def _ask_counts(table: pa.Table, n: int):
-    _, sets = _token_sets(table)
+    _, sets = token_sets(table)
     ranked, begins, order = H.distinct(np.concatenate(sets))
     count = np.diff(np.r_[begins, len(order)]).astype("<u4")
     for bucket, part in B.slices(ranked, n):
@@ -354,7 +354,7 @@ def _post(table: pa.Table, answers: dict[int, bytes], n: int, percent: int):
     The sets of this block that share a token are tied together here, so that a token
     sends one run per range of sizes, however many sets of the block have it.
     """
-    ids, sets = _token_sets(table)
+    ids, sets = token_sets(table)
     ranked, begins, order = H.distinct(np.concatenate(sets))
     count = np.empty(len(ranked), np.int64)
     for bucket, part in B.slices(ranked, n):
@@ -415,55 +415,3 @@ def _group(table: pa.Table, percent: int) -> pa.Table:
     _, between = _runs(*np.concatenate(runs, axis=1), percent)
     found = np.unique(np.concatenate([*pairs, between], axis=1), axis=1)
     return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
-
-
-def _search(table: pa.Table, percent: int) -> pa.Table:
-    """Links within a group, breadth first: each set is compared with those not yet reached."""
-    ids, sets = _token_sets(table)
-    sizes = np.array([len(x) for x in sets])
-    index = _Index(sets, np.arange(len(sets)))
-    open_sets = np.ones(len(sets), bool)
-    a, b = [], []
-    for start in np.argsort(ids, kind="stable"):
-        if not open_sets[start]:
-            continue
-        open_sets[start] = False
-        queue = [int(start)]
-        while queue and open_sets.any():
-            if open_sets.sum() * 2 < len(index.members):
-                index = _Index(sets, np.flatnonzero(open_sets))
-            now = queue.pop()
-            others, common = index.overlaps(sets[now])
-            near = open_sets[others] & (100 * common >= percent * (sizes[now] + sizes[others] - common))
-            reached = others[near]
-            open_sets[reached] = False
-            queue += reached.tolist()
-            a += [ids[start]] * len(reached)
-            b += ids[reached].tolist()
-        if not open_sets.any():
-            break
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-class _Index:
-    """Which of the ``members`` hold a token."""
-
-    def __init__(self, sets: list[np.ndarray], members: np.ndarray):
-        self.members = members
-        tokens = np.concatenate([sets[i] for i in members])
-        holder = np.repeat(np.arange(len(members)), [len(sets[i]) for i in members])
-        order = np.argsort(tokens, kind="stable")
-        self.holder = holder[order]
-        ranked = tokens[order]
-        self.begins = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-        self.tokens = ranked[self.begins]
-        self.counts = np.diff(np.r_[self.begins, len(ranked)])
-
-    def overlaps(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All members, and how many tokens of ``own`` each holds."""
-        at = np.minimum(np.searchsorted(self.tokens, own), len(self.tokens) - 1)
-        at = at[self.tokens[at] == own]
-        counts = self.counts[at]
-        ends = np.cumsum(counts)
-        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begins[at] - (ends - counts), counts)
-        return self.members, np.bincount(self.holder[places], minlength=len(self.members))
