@@ -79,13 +79,41 @@ def _matches(text: Column, kind: Kind, rank: int) -> Column:
         return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
     # The last gap has no match behind it.
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("spans"))
-    spans = F.aggregate(F.filter(parts, lambda x: x["found"].isNotNull()), state, add, lambda s: s["spans"])
+    spans = _running(F.filter(parts, lambda x: x["found"].isNotNull()), add, _SPAN)
     return F.when(
         text.rlike(kind.pattern), F.filter(spans, lambda x: x["hash"].isNotNull())
     ).otherwise(F.array().cast(_SPAN))
 
 
+def _chunks(items: Column) -> Column:
+    """``items``, of which there is one at least, in about as many arrays as each has items.
+
+    A fold that appends copies what it has; over chunks, and in each over its items, the
+    copies grow with the power 1.5 of the items and not with their square.
+    """
+
+    def cut(own: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(own))).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.size(own), size), lambda k: F.slice(own, k, size))
+
+    # An array of one, so that the items are computed once and not once a chunk.
+    return F.get(F.transform(F.array(items), cut), F.lit(0))
+
+
+def _running(items: Column, add, kind: str) -> Column:
+    """The spans that ``add`` makes one after another, each from where the last one ended."""
+
+    def chunk(state: Column, own: Column) -> Column:
+        start = F.struct(state["at"].alias("at"), F.array().cast(kind).alias("spans"))
+        done = F.aggregate(own, start, add)
+        return F.struct(
+            done["at"].alias("at"), F.concat(state["spans"], F.array(done["spans"])).alias("spans")
+        )
+
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{kind}>").alias("spans"))
+    return F.aggregate(_chunks(items), start, chunk, lambda s: F.flatten(s["spans"]))
+
+
 def _any(text: Column) -> Column:
     """Whether some pattern matches."""
     condition = F.lit(False)
@@ -218,8 +246,8 @@ def redact(
     some = rows.filter(hit).withColumn("key", key).withColumn("own", digest)
     joined = some.join(live, some["key"].eqNullSafe(live["doc_id"]) & (some["own"] == live["digest"]), "left")
     # In a step of its own: a name inside a lambda would also find a new column of that name.
-    joined = joined.withColumn("masked", _masked(content, F.array_sort("live")))
     has = F.col("live").isNotNull()
+    joined = joined.withColumn("masked", F.when(has, _masked(content, F.array_sort("live"))))
     changed = {names[text]: F.when(has, F.col("masked")).otherwise(content)}
     if n_chars in names:
         counted = F.length("masked").cast(docs.schema[n_chars].dataType)
@@ -230,18 +258,42 @@ def redact(
 
 
 def _masked(text: Column, spans: Column) -> Column:
-    def add(state: Column, span: Column) -> Column:
-        ahead = span["start"] >= state["at"]
-        between = F.substring(text, (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int"))
-        return F.struct(
-            F.greatest(state["at"], span["end"]).alias("at"),
-            F.when(ahead, F.concat(state["out"], between, F.lit(MARK))).otherwise(state["out"]).alias("out"),
-        )
+    """``text`` with a mark for each stretch that ``spans``, sorted and at least one, cover.
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    The text is cut at every so many spans first, so that finding a place in it costs a part.
+    """
+
+    def cut(state: Column, own: Column) -> Column:
+        last = F.array_max(F.transform(own, lambda x: x["end"]))
+        end = F.greatest(state["at"], last)
+        part = F.struct(
+            state["at"].alias("at"), _between(text, state["at"], end).alias("text"), own.alias("spans")
+        )
+        return F.struct(end.alias("at"), F.concat(state["parts"], F.array(part)).alias("parts"))
+
+    def mask(part: Column) -> Column:
+        def add(state: Column, span: Column) -> Column:
+            ahead = span["start"] >= state["at"]
+            plain = _between(part["text"], state["at"] - part["at"], span["start"] - part["at"])
+            return F.struct(
+                F.greatest(state["at"], span["end"]).alias("at"),
+                F.when(ahead, F.concat(state["out"], plain, F.lit(MARK))).otherwise(state["out"]).alias("out"),
+            )
+
+        start = F.struct(part["at"].alias("at"), F.lit("").alias("out"))
+        return F.aggregate(part["spans"], start, add, lambda s: s["out"])
+
+    part = "struct<at:long,text:string,spans:" + _SPAN + ">"
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{part}>").alias("parts"))
     return F.aggregate(
-        spans,
+        _chunks(spans),
         start,
-        add,
-        lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))),
+        cut,
+        lambda s: F.concat(
+            F.array_join(F.transform(s["parts"], mask), ""), _between(text, s["at"], F.length(text))
+        ),
     )
+
+
+def _between(text: Column, start: Column, end: Column) -> Column:
+    return F.substring(text, (start + 1).cast("int"), F.greatest(end - start, F.lit(0)).cast("int"))

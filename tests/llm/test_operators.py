@@ -585,6 +585,33 @@ def test_secrets_use_no_python(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
 
 
+def _redacted(text):
+    """One mark for each stretch that live values cover; every value here has one owner."""
+    out, at = [], 0
+    spans = [tuple(map(int, x.split(":")[1:])) for x in _plain_base(text).split(",") if x]
+    for start, end in sorted(spans):
+        if start >= at:
+            out += [text[at:start], "[secret]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def test_texts_of_many_secrets(spark):
+    """A text of very many matches takes time in proportion, and is masked like a plain version."""
+    import time
+
+    chosen = random.Random(6)
+    hexes = " ".join(f"{chosen.getrandbits(96):024x}" for _ in range(40_000))
+    words = "".join(f"password=p{k:06d}é " for k in range(50_000))
+    short = " ".join(f"{chosen.getrandbits(96):024x} token = {chosen.getrandbits(40):x}" for _ in range(40))
+    for text in (short, hexes, words):
+        docs = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
+        began = time.time()
+        assert secrets.find_secrets(docs).first()["base"] == _plain_base(text)
+        assert secrets.redact(docs).first()["text"] == _redacted(text)
+        assert time.time() - began < 60
+
+
 def test_redaction(spark, awkward, nothing):
     docs = spark.createDataFrame(
         [(i, x, s, None if x is None else len(x)) for i, x, s in SECRET_ROWS],
