@@ -15,6 +15,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from dataroute.functions import scanner
 from dataroute.functions._columns import as_column
 from dataroute.functions.paths import (
     REDIRECT_SUFFIX,
@@ -42,21 +43,14 @@ _QUOTED = (
 )
 
 # Python string literals. Possessive repeats keep long literals off the stack.
+_ESCAPE = rf"\\(?:\r\n|{_ANY})"
 _SHORT_STRING = (
-    rf'"[^"\\\n]*+(?:\\{_ANY}[^"\\\n]*+)*+"'
-    rf"|'[^'\\\n]*+(?:\\{_ANY}[^'\\\n]*+)*+'"
+    rf'"[^"\\\n]*+(?:{_ESCAPE}[^"\\\n]*+)*+"'
+    rf"|'[^'\\\n]*+(?:{_ESCAPE}[^'\\\n]*+)*+'"
 )
 _LONG_STRING = r'"""(?s:.*?)"""' + r"|'''(?s:.*?)'''"
 _STRING = f"{_LONG_STRING}|{_SHORT_STRING}"
-_SPACE = r"(?:\s++|#[^\n]*+)*+"
-
-# One part of a literal: its content is the one group that is set.
-_PART = (
-    rf'{_SPACE}[uUrR]?(?:"""((?s:.*?))"""'
-    rf"|'''((?s:.*?))'''"
-    rf'|"([^"\\\n]*+(?:\\{_ANY}[^"\\\n]*+)*+)"'
-    rf"|'([^'\\\n]*+(?:\\{_ANY}[^'\\\n]*+)*+)')"
-)
+_SPACE = r"(?:\s++|#[^\n]*+|\\\r?\n)*+"
 
 
 # Lines before the first statement: blank ones and comments, a docstring, __future__
@@ -120,16 +114,29 @@ def called_literals(text: Column | str, method: str = TARGET_METHOD) -> Column:
     """The literals, as written, that ``.method("literal"`` calls in a script name.
 
     A call counts when its first argument is a plain string literal, in adjacent
-    parts or one: keyword arguments, variables, f-strings, byte strings and
-    expressions on a literal do not, nor does anything inside a comment or another
-    string.
+    parts or one, in brackets or not: keyword arguments, variables, f-strings, byte
+    strings and expressions on a literal do not, nor does anything inside a comment or
+    another string. Calls in the replacement fields of f-strings do count.
+
+    Tokens of a regex find these in most scripts. Whether a quote inside an f-string
+    ends it, and where brackets around a literal end, no regex can tell: scripts with
+    one of these go to the scanner, which costs some ten times as much.
     """
-    return _named(as_column(text), _calls(method))
+    text = as_column(text)
+    found = F.struct(scanner.call_places(text, [method]).alias("places"), scanner.pieces(text).alias("pieces"))
+    literals = F.get(
+        F.transform(
+            F.array(found),
+            lambda x: F.transform(x["places"], lambda place: scanner.literal_of(x["pieces"], place)),
+        ),
+        F.lit(0),
+    )
+    return F.when(_needs_scanner(text, method), literals).otherwise(_named(text, _calls(method)))
 
 
 def literal_content(literal: Column | str) -> Column:
     """What a literal as written says, escapes as they stand; adjacent parts join."""
-    return F.regexp_replace(as_column(literal), _PART, "$1$2$3$4")
+    return scanner.content(as_column(literal))
 
 
 def rewrite_calls(
@@ -164,7 +171,9 @@ def rewrite_calls(
         other = F.regexp_replace(piece, rf"\A([^.#\"']*+{call}){literal}{_END}", f"$1{_plain(target)}")
         return F.when(is_call, other).otherwise(piece)
 
-    changed = F.array_join(F.transform(pieces, replaced), "")
+    changed = F.when(
+        _needs_scanner(text, method), scanner.replaced(text, [method], F.lit(target))
+    ).otherwise(F.array_join(F.transform(pieces, replaced), ""))
     if definitions is None:
         return changed
     bare = F.regexp_replace(text, rf"#[^\n]*+|{_STRING}", "0")
@@ -199,6 +208,13 @@ def _call(method: str) -> tuple[str, str]:
     return rf"\.{_SPACE}{re.escape(method)}{_SPACE}\({_SPACE}", literal
 
 
+def _needs_scanner(text: Column, method: str) -> Column:
+    """Whether a script has f-strings or the like, brackets around a first argument, or
+    line ends of one carriage return."""
+    call, _ = _call(method)
+    return text.rlike(rf"(?<![A-Za-z0-9_])(?i:[ft]r?|r[ft])[\"']|\r(?!\n)|{call}\(")
+
+
 def _calls(method: str) -> str:
     """Group 1 is the literal of a call; comments and other strings are tokens too."""
     return _tokens(*_call(method))

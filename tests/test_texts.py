@@ -1,8 +1,11 @@
 """Text functions: golden scripts, brute force, and Python's own parser as judge."""
 
 import ast
+import contextlib
 import itertools
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +98,77 @@ CALL_SCRIPTS = [
 ]
 
 
+# Brackets, line ends and f-strings, whose fields hold quotes, braces and calls of their own.
+SCANNED_SCRIPTS = [
+    'a.parquet(("a"))',
+    'a.parquet(\\\n"b")',
+    'x = f"{\'"\'}"; a.parquet("c")',
+    'a.parquet((("a")), 1)',
+    'a.parquet(("a", "b"))',
+    'a.parquet(("a") + x)',
+    'a.parquet(("a" "b"))',
+    'f"{a.parquet("x")}"',
+    'f\'{a.parquet("x"):>{w}}\'; a.parquet(\'y\')',
+    'f"{{a.parquet(1)}}"; a.parquet("z")',
+    'f"""{\n a.parquet("q") # it\'s\n}"""; a.parquet("w")',
+    'rf"\\{a.parquet("k")}"',
+    'f"\\{a.parquet("k")}"',
+    'f"\\N{LATIN SMALL LETTER A}{a.parquet("n")}"',
+    'f"{x!r:{"a"}}" "b"; a.parquet("v")',
+    'x[":"]; d = {"a": f"{d["k"]}"}; a.parquet("u")',
+    'f"{(lambda x: 1)(2)}"; a.parquet("t")',
+    'f"{ {1: {2: 3}}[1] }"; a.parquet("s")',
+    '\'\'\'a\'b"""\'\'\'; a.parquet(\'r\')',
+    '"a""b"; a.parquet("o")',
+    'a.parquet("a""")',
+    'a.parquet("a" f"b")',
+    'a.parquet(f"b" "a")',
+    "a.parquet(b'x')",
+    "a.parquet(Rb'x', 'y')",
+    'a.parquet(*["x"])',
+    'a.parquet("x" if y else "z")',
+    'a.parquet(x="y")',
+    'a.parquet()',
+    '(a.\n parquet("x"))',
+    '(a.parquet # c"\n("x"))',
+    '# c \\\na.parquet("x")',
+    "x = 'a\\\nb'; a.parquet('p')",
+    'x = "a\\\r\nb"; a.parquet("p")',
+    'a.parquet("a")("b")',
+    'a.parquet("x"[0])',
+    'a.parquet("x", b.parquet("y"))',
+    'a.parquet(("x"), *z)',
+    'f"{x:%H:%M}"; a.parquet("h")',
+    "f'{x:{y}}}}'; a.parquet('i')",
+    'f"{x=}"; a.parquet("j")',
+    'f"{a["b"]:{c["d"]}.{e}}"; a.parquet("l")',
+    'f\'{f"{f\'\'\'{1}\'\'\'}"}\'; a.parquet(\'m\')',
+    'a.parquet("a"  # one\n  "b")',
+    'a.parquet("x" % y)',
+    'a.parquet("x" or "y")',
+    'a.b.parquet.c("x")',
+    'a.parquet\\\n("x")',
+    'a.parquet(\n\n"x"\n\n)',
+    'f"{x}}}{{"; a.parquet("g")',
+    "f'{x:\\n}'; a.parquet('e')",
+    'x: str = "a"; a.parquet("d")',
+    'a[1:2].parquet("a1")',
+    '{1:a.parquet("a2")}',
+    'f"{a[1:2]}{a.parquet("a3")}"',
+    "f'{x:{{1}.pop()}}'; a.parquet('a4')",
+    't = "é😀"; a.parquet("é😀")',
+    "a.parquet('')",
+    'a.parquet(\'\' \'\' """x\n""")',
+    "rt = f'{1}' rf'{2}' '{'; a.parquet('a5')",
+    'a.parquet(("x" "y"), ("z"))',
+    "a.parquet(('x')('y'))",
+    "a.parquet(('x').y)",
+    "a.parquet((('x') ))",
+    "a.parquet(((('x')) # c)\n))",
+    'f\'\'\'{\'a\'}\'{"b"}\'\'\'; a.parquet(\'a6\')',
+]
+
+
 def texts(spark, items):
     return spark.createDataFrame(list(enumerate(items)), "id bigint, text string")
 
@@ -182,6 +256,66 @@ def test_calls_equal_the_parser(spark, script):
     assert found == parsed_calls(script)
 
 
+def _scripts():
+    """Every form alone and in random company, as far as it is still a script."""
+    chosen = random.Random(1)
+    forms = [*SCANNED_SCRIPTS, *CALL_SCRIPTS]
+    mixed = ["\n".join(chosen.choices(forms, k=chosen.randrange(2, 9))) for _ in range(600)]
+    for script in [*forms, *mixed]:
+        with contextlib.suppress(SyntaxError):
+            ast.parse(script)
+            yield script
+
+
+@pytest.mark.filterwarnings("ignore::SyntaxWarning")
+def test_scanned_calls_equal_the_parser(spark):
+    scripts = list(_scripts())
+    assert len(scripts) > 500
+    target = 'f"s3a://{S3_BUCKET}/{S3_BASE_PATH}/{uuid.uuid4()}/"'
+    rows = texts(spark, scripts).repartition(8).select(
+        "id", dr.called_literals("text").alias("found"), dr.rewrite_calls("text").alias("changed")
+    )
+    for row in rows.collect():
+        script = scripts[row.id]
+        # The parser gives line ends as it reads them.
+        assert [x.replace("\r\n", "\n") for x in row.found] == parsed_calls(script)
+        assert row.changed.count(target) == len(row.found)
+        restored = row.changed
+        for literal in row.found:
+            restored = restored.replace(target, literal, 1)
+        assert restored == script
+
+
+BROKEN_SCRIPTS = [
+    'a.parquet("x', "f'{", 'f"{x', ")))", "\\", "\'\'\'", 'a.parquet("x"', '}}"a"{{', "f'{x:}}}}' {{ ((", "",
+    "x = 'a\na.parquet('y')",
+]
+
+
+def test_broken_scripts_do_no_harm(spark):
+    df = texts(spark, BROKEN_SCRIPTS)
+    rows = df.select("text", dr.called_literals("text").alias("found"), dr.rewrite_calls("text").alias("changed"))
+    for row in rows.collect():
+        assert row.found == (["'y'"] if "'y'" in row.text else [])
+        assert row.found or row.changed == row.text
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'f"{x}"' * 20_000, '(a.parquet(("x")))\n' * 10_000, "f'{" * 20_000, "a.parquet((" * 20_000,
+        'f"' + "x" * 10**6 + '"',
+    ],
+    ids=["fields", "calls", "open fields", "open calls", "long"],
+)
+def test_long_scanned_texts(spark, text):
+    """Linear: these take some seconds, a quadratic scan would take many minutes."""
+    began = time.time()
+    found = texts(spark, [text]).select(F.size(dr.called_literals("text"))).first()[0]
+    assert found == (10_000 if text.startswith("(a.") else 0)
+    assert time.time() - began < 60
+
+
 def test_golden_calls(spark):
     rows = dr.call_literals(texts(spark, [EXPORTS, NIGHTLY, "nothing"]), "text").orderBy("id", "pos").collect()
     assert [tuple(row) for row in rows] == [
