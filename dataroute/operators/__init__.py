@@ -1,5 +1,6 @@
 """Table operators: literals, records and result resolution."""
 
+from dataroute.operators.joins import hot_keys, join_hot
 from dataroute.operators.literals import call_literals, quoted_literals
 from dataroute.operators.records import (
     preview,
@@ -18,6 +19,8 @@ from dataroute.operators.resolve import (
 __all__ = [
     "Resolved",
     "call_literals",
+    "hot_keys",
+    "join_hot",
     "new_views",
     "preview",
     "quoted_literals",

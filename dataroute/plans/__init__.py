@@ -1,6 +1,13 @@
 """Jobs composed from the functions and operators."""
 
 from dataroute.plans.inventory import literal_inventory
+from dataroute.plans.lineage import (
+    contested_destinations,
+    destination_use,
+    reads_without_writer,
+    script_accesses,
+    script_levels,
+)
 from dataroute.plans.redirects import redirect_collisions, redirect_plan
 from dataroute.plans.runs import (
     append_outcomes,
@@ -15,10 +22,15 @@ __all__ = [
     "append_outcomes",
     "audit",
     "compact_log",
+    "contested_destinations",
+    "destination_use",
     "finish_run",
     "literal_inventory",
     "read_log",
+    "reads_without_writer",
     "redirect_collisions",
     "redirect_plan",
     "run_job",
+    "script_accesses",
+    "script_levels",
 ]

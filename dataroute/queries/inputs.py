@@ -52,3 +52,26 @@ PART_SCRIPT = f"""
     || 'df.write.parquet(target)' || chr(10)
     || 'df.write.csv("/out/p' || p_size || '.csv")  # kept' || chr(10)
 """
+
+# Scripts that read and write each other's tables, with what only a scanner tells apart:
+# quotes inside f-strings, brackets around a literal, a call in a replacement field. Each
+# writes a table and reads that of another one (a third of its number), one of a few raw
+# files, and the calendar, which a third of all scripts read. Every fortieth adds to one
+# shared table, which a few read; every 97th reads what depends on it.
+PART_JOB = """
+    'rate = f"{conf["rate"]:>{conf["width"]}}" + f"{"}"}"' || chr(10)
+    || 'a = spark.read.parquet(("/stage/t' || CAST(floor(p_partkey / 3) AS BIGINT) || '.parquet"))' || chr(10)
+    || 'b = spark.read.csv(' || chr(92) || chr(10) || '    "/raw/' || lower(p_brand) || '.csv")' || chr(10)
+    || CASE p_partkey % 3 WHEN 0
+         THEN 'log(f"{spark.read.json("/ref/calendar.v1.json").count():,}")' || chr(10) ELSE '' END
+    || CASE p_partkey % 250 WHEN 249
+         THEN 'c = spark.read.parquet(("/mart/shared.parquet"), f"{a["x"]}")' || chr(10) ELSE '' END
+    || CASE p_partkey % 97 WHEN 0
+         THEN 'd = spark.read.parquet("/stage/t' || (3 * p_partkey) || '.parquet")' || chr(10) ELSE '' END
+    || 'a.join(b, f"{"k"}").write.mode(f"{"over"}write").parquet("/stage/t' || p_partkey || '.parquet")' || chr(10)
+    || CASE p_partkey % 40 WHEN 0
+         THEN 'a.write.mode("append").parquet((("/mart/shared.parquet")))  # "' || chr(10) ELSE '' END
+    || CASE p_partkey WHEN 1 THEN 'b.write.json("/ref/calendar.v1.json")' || chr(10) ELSE '' END
+    || 'a.write.parquet(("/skipped/" + name)); a.write.parquet(("/skipped/x", 1))' || chr(10)
+    || '# a.write.parquet("/skipped/comment.parquet")' || chr(10)
+"""

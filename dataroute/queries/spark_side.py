@@ -13,6 +13,7 @@ import dataroute as dr
 from dataroute.queries.inputs import (
     ORDER_PATH,
     ORDER_PATH_LINES,
+    PART_JOB,
     PART_PATH,
     PART_SCRIPT,
     TABLES,
@@ -44,6 +45,10 @@ def scripts(spark, sf_dir):
     )
 
 
+def jobs(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.expr(PART_JOB).alias("code"))
+
+
 def round_trip(name: str, fmt: str | None, schema: bool = True):
     """Save a table in a format and scan it back."""
 
@@ -488,9 +493,41 @@ def g4_rewrite_defined(spark, sf_dir):
     )
 
 
+def g3_calls_scanned(spark, sf_dir):
+    """Calls that only a scanner tells from what looks like them."""
+    return dr.call_literals(jobs(spark, sf_dir), "code")
+
+
+def g4_rewrite_scanned(spark, sf_dir):
+    return jobs(spark, sf_dir).select("p_partkey", dr.rewrite_calls("code").alias("code"))
+
+
 # Jobs over whole tables
 
 
+def accesses(spark, sf_dir):
+    return dr.script_accesses(jobs(spark, sf_dir), "p_partkey", "code", BUCKET, RUN_ID)
+
+
+def b7_script_accesses(spark, sf_dir):
+    """What every script reads and writes, and where to."""
+    return accesses(spark, sf_dir)
+
+
+def b7_reads_without_writer(spark, sf_dir):
+    return dr.reads_without_writer(accesses(spark, sf_dir))
+
+
+def b7_contested_destinations(spark, sf_dir):
+    return dr.contested_destinations(accesses(spark, sf_dir))
+
+
+def b7_script_levels(spark, sf_dir):
+    """In which order scripts can run, and which wait for each other."""
+    ids = table(spark, sf_dir, "part").select("p_partkey")
+    return dr.script_levels(ids, accesses(spark, sf_dir))
+
+
 def h1_collisions(spark, sf_dir):
     return dr.redirect_collisions(part_paths(spark, sf_dir), "path", BUCKET, RUN_ID)
 
@@ -589,6 +626,12 @@ QUERIES = {
     "g2_rewrite": g2_rewrite,
     "g2_rewrite_scripts": g2_rewrite_scripts,
     "g3_calls": g3_calls,
+    "g3_calls_scanned": g3_calls_scanned,
+    "g4_rewrite_scanned": g4_rewrite_scanned,
+    "b7_script_accesses": b7_script_accesses,
+    "b7_reads_without_writer": b7_reads_without_writer,
+    "b7_contested_destinations": b7_contested_destinations,
+    "b7_script_levels": b7_script_levels,
     "g4_rewrite_calls": g4_rewrite_calls,
     "g4_rewrite_defined": g4_rewrite_defined,
     "h1_collisions": h1_collisions,

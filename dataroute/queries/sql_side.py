@@ -6,7 +6,7 @@ checks that the two forms agree.
 
 from __future__ import annotations
 
-from dataroute.queries.inputs import ORDER_PATH, ORDER_PATH_LINES, PART_PATH, PART_SCRIPT
+from dataroute.queries.inputs import ORDER_PATH, ORDER_PATH_LINES, PART_JOB, PART_PATH, PART_SCRIPT
 
 # --- Fixed values: defining regexes, written out apart from the library's -----
 RULE_FIRST_DOT = r"(?:.*/)?([^.]+)\.[^/]*$"
@@ -148,6 +148,33 @@ REWRITTEN_CALLS = f"""
                  regexp_extract_all(code, {text(CALLS)}, 1) AS named
           FROM {SCRIPTS})
 """
+# In the jobs f-strings nest two deep, and brackets hold a literal three deep.
+JOBS = f"(SELECT p_partkey, {PART_JOB} AS code FROM part)"
+JOB_CALL = (
+    r'(read|write)(?:\.mode\([^()]*\)|\.mode\(f"[^\n]*?write"\))?\.(parquet|csv|json)(\((?:\s|\\|\()*)("[^"\n]*")\)*[,)\n]'
+)
+JOB_ACCESSES = f"""
+    SELECT p_partkey, i - 1 AS pos, regexp_extract(found[i], {text(JOB_CALL)}, 1) AS role,
+           regexp_extract(found[i], {text(JOB_CALL)}, 2) AS method,
+           regexp_extract(found[i], {text(JOB_CALL)}, 3) AS opening,
+           regexp_extract(found[i], {text(JOB_CALL)}, 4) AS literal
+    FROM (SELECT p_partkey, found, unnest(range(1, len(found) + 1)) AS i
+          FROM (SELECT p_partkey, list_filter(
+                           regexp_extract_all(regexp_replace(code, '\n#[^\n]*', '', 'g'), {text(JOB_CALL)}),
+                           lambda x: NOT contains(x, '/skipped/')) AS found
+                FROM {JOBS}))
+"""
+JOB_USES = f"""
+    SELECT p_partkey, CAST(pos AS INTEGER) AS pos, role, substr(literal, 2, length(literal) - 2) AS literal,
+           coalesce({target("substr(literal, 2, length(literal) - 2)")}, literal) AS destination
+    FROM ({JOB_ACCESSES})
+"""
+JOB_USE = f"""
+    SELECT destination, count(DISTINCT p_partkey) FILTER (role = 'write') AS n_writers,
+           count(DISTINCT p_partkey) FILTER (role = 'read') AS n_readers
+    FROM ({JOB_USES}) GROUP BY destination
+"""
+
 # \1 is the first line.
 DEFINED = "\\1import uuid\nS3_BUCKET = 'bucket'\nS3_BASE_PATH = 'base'\n"
 
@@ -330,6 +357,52 @@ ORACLES = {
                                      lambda x: x <> '') AS found
                           FROM {SCRIPTS})))
     """,
+    "g3_calls_scanned": f"""
+        SELECT p_partkey,
+               CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY pos) - 1 AS INTEGER) AS pos,
+               substr(literal, 2, length(literal) - 2) AS literal,
+               {named(RULE_FIRST_DOT, "substr(literal, 2, length(literal) - 2)")} AS base
+        FROM ({JOB_ACCESSES}) WHERE method = 'parquet'
+    """,
+    # Three kinds of opening before a literal; the two calls that do not count stay.
+    "g4_rewrite_scanned": f"""
+        SELECT p_partkey, replace(replace(regexp_replace(
+                   replace(replace(code, '"/skipped/', '"|skipped/'), '#', '|#'),
+                   '(\n[abcd][^|\n]*[.]parquet[(](?:[(])*)"/[^"\n]*"', {text(chr(92) + "1" + CALL_TARGET)}, 'g'),
+                   '"|skipped/', '"/skipped/'), '|#', '#') AS code
+        FROM {JOBS}
+    """,
+    "b7_script_accesses": f"""
+        SELECT p_partkey AS script, pos, role, literal, destination FROM ({JOB_USES})
+    """,
+    "b7_reads_without_writer": f"""
+        SELECT destination, n_readers FROM ({JOB_USE}) WHERE n_writers = 0
+    """,
+    "b7_contested_destinations": f"SELECT * FROM ({JOB_USE}) WHERE n_writers > 1",
+    "b7_script_levels": f"""
+        WITH RECURSIVE used AS (SELECT DISTINCT p_partkey AS s, destination AS d, role FROM ({JOB_USES})),
+        waits AS (
+          SELECT DISTINCT r.s AS a, w.s AS b FROM used r JOIN used w ON r.d = w.d
+          WHERE r.role = 'read' AND w.role = 'write'
+        ),
+        reach AS (
+          SELECT a, b FROM waits
+          UNION
+          SELECT reach.a, waits.b FROM reach JOIN waits ON reach.b = waits.a
+        ),
+        circle AS (
+          SELECT x.a, min(x.b) AS cycle FROM reach x JOIN reach y ON x.b = y.a AND x.a = y.b GROUP BY x.a
+        ),
+        stuck AS (SELECT a FROM circle UNION SELECT reach.a FROM reach JOIN circle ON reach.b = circle.a),
+        path AS (
+          SELECT p_partkey AS a, p_partkey AS b, 0 AS n FROM part WHERE p_partkey NOT IN (SELECT a FROM stuck)
+          UNION
+          SELECT path.a, waits.b, n + 1 FROM path JOIN waits ON path.b = waits.a
+        ),
+        level AS (SELECT a, max(n) AS level FROM path GROUP BY a)
+        SELECT p_partkey AS script, CAST(level AS BIGINT) AS level, cycle
+        FROM part LEFT JOIN level ON p_partkey = level.a LEFT JOIN circle ON p_partkey = circle.a
+    """,
     "g4_rewrite_calls": REWRITTEN_CALLS,
     # Every script begins with a comment line and calls the method.
     "g4_rewrite_defined": f"""
