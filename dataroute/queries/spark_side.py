@@ -97,6 +97,26 @@ def b1_mode_append(spark, sf_dir):
     return dr.scan(spark, "parquet", path)
 
 
+def grown(change):
+    """Customers, and the same appended with other columns or types."""
+
+    def query(spark, sf_dir):
+        path = dr.scratch_location(spark, "grown")
+        customer = table(spark, sf_dir, "customer")
+        dr.save(customer, path)
+        dr.save(change(customer), path, mode="append")
+        dr.save(customer.limit(0), path, mode="append")
+        return dr.scan(spark, "parquet", path)
+
+    return query
+
+
+b1_append_more = grown(lambda df: df.withColumn("c_extra", F.char_length("c_name")))
+b1_append_fewer = grown(lambda df: df.drop("c_acctbal"))
+b1_append_wider = grown(lambda df: df.withColumn("c_nationkey", F.col("c_nationkey") + F.lit(5_000_000_000)))
+b1_append_narrower = grown(lambda df: df.withColumn("c_custkey", F.col("c_custkey").cast("int")))
+
+
 def b1_mode_ignore(spark, sf_dir):
     path = dr.scratch_location(spark, "modes")
     dr.save(table(spark, sf_dir, "customer"), path)
@@ -573,6 +593,10 @@ QUERIES = {
     "a5_view_scan": a5_view_scan,
     "b1_mode_overwrite": b1_mode_overwrite,
     "b1_mode_append": b1_mode_append,
+    "b1_append_more": b1_append_more,
+    "b1_append_fewer": b1_append_fewer,
+    "b1_append_wider": b1_append_wider,
+    "b1_append_narrower": b1_append_narrower,
     "b1_mode_ignore": b1_mode_ignore,
     "b1_mode_error": b1_mode_error,
     "b2_csv_save": round_trip("supplier", "csv"),

@@ -196,6 +196,18 @@ ORACLES = {
     "a5_view_scan": "SELECT * FROM customer",
     "b1_mode_overwrite": "SELECT * FROM supplier",
     "b1_mode_append": "SELECT * FROM customer UNION ALL SELECT * FROM customer",
+    "b1_append_more": """
+        SELECT *, CAST(NULL AS INTEGER) AS c_extra FROM customer
+        UNION ALL BY NAME SELECT *, CAST(length(c_name) AS INTEGER) AS c_extra FROM customer
+    """,
+    "b1_append_fewer": """
+        SELECT * FROM customer UNION ALL BY NAME SELECT * EXCLUDE c_acctbal FROM customer
+    """,
+    "b1_append_wider": """
+        SELECT * REPLACE (CAST(c_nationkey AS BIGINT) AS c_nationkey) FROM customer
+        UNION ALL BY NAME SELECT * REPLACE (c_nationkey + 5000000000 AS c_nationkey) FROM customer
+    """,
+    "b1_append_narrower": "SELECT * FROM customer UNION ALL SELECT * FROM customer",
     "b1_mode_ignore": "SELECT * FROM customer",
     "b1_mode_error": "SELECT *, 'PATH_ALREADY_EXISTS' AS outcome FROM customer",
     "b2_csv_save": "SELECT * FROM supplier",

@@ -1,11 +1,16 @@
 """Scans and sinks."""
 
+from dataroute.sources.paths import literal_path
 from dataroute.sources.save import save, save_redirected, save_unique
-from dataroute.sources.scan import literal_path, scan, scan_redirected
+from dataroute.sources.scan import scan, scan_redirected
+from dataroute.sources.schemas import SchemaConflict, merged_schema, noted_schema
 from dataroute.sources.scratch import release_scratch, scratch_location
 
 __all__ = [
+    "SchemaConflict",
     "literal_path",
+    "merged_schema",
+    "noted_schema",
     "release_scratch",
     "save",
     "save_redirected",

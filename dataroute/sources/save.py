@@ -9,12 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from dataroute.functions.paths import redirect_location, unique_location
+from dataroute.sources.schemas import appendable
 
 
 def save(
     df: DataFrame, path: str, fmt: str = "parquet", mode: str = "error", **options
 ) -> None:
-    """Write ``df`` with a save mode: error (default), overwrite, append, ignore."""
+    """Write ``df`` with a save mode: error (default), overwrite, append, ignore.
+
+    An append to a Parquet table that has other columns or types writes the merged schema
+    beside the data, and ``scan`` reads all rows under it; types without a common one raise
+    ``SchemaConflict``. An overwrite starts anew.
+    """
+    if mode == "append" and fmt == "parquet":
+        df = appendable(df, path)
     df.write.format(fmt).mode(mode).options(**options).save(path)
 
 

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from dataroute.functions.paths import redirect_location
+from dataroute.sources.paths import literal_path
+from dataroute.sources.schemas import noted_schema
 
 VIEW = "table"
 
-_PATTERN_CHARACTERS = re.compile(r"[{}\[\]*?\\]")
-
 
 def scan(
     spark: SparkSession,
@@ -26,10 +24,16 @@ def scan(
     ``fmt="table"`` reads the view or table named by ``path``. Give CSV and JSON
     a schema whenever it is known: JSON inference is one more pass over all the
     data, and CSV without one has string columns ``_c0, _c1, ...``.
+
+    A Parquet table that ``save`` has appended other columns or wider types to is read
+    whole: columns that a file lacks are null, narrower values are widened. A table without
+    such appends costs one look for a note more.
     """
     if fmt == VIEW:
         return spark.table(path)
     reader = spark.read.options(**options)
+    if schema is None and (fmt or spark.conf.get("spark.sql.sources.default")) == "parquet":
+        schema = noted_schema(spark, path)
     if schema is not None:
         reader = reader.schema(schema)
     return reader.load(path, format=fmt)
@@ -40,11 +44,3 @@ def scan_redirected(
 ) -> DataFrame:
     """Read what ``save_redirected`` stored for ``path`` in this run."""
     return scan(spark, "parquet", literal_path(redirect_location(path, root, run_id)))
-
-
-def literal_path(path: str) -> str:
-    """``path`` for a read that takes it as it is written, not as a pattern.
-
-    Spark's readers expand ``*``, ``?``, ``[...]`` and ``{...}``; its writers do not.
-    """
-    return _PATTERN_CHARACTERS.sub(r"\\\g<0>", path)
