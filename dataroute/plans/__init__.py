@@ -17,8 +17,10 @@ from dataroute.plans.runs import (
     read_log,
     run_job,
 )
+from dataroute.plans.taken import TakenDestinations
 
 __all__ = [
+    "TakenDestinations",
     "append_outcomes",
     "audit",
     "compact_log",

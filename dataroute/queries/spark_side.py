@@ -552,6 +552,15 @@ def h1_collisions(spark, sf_dir):
     return dr.redirect_collisions(part_paths(spark, sf_dir), "path", BUCKET, RUN_ID)
 
 
+def h1_collisions_batches(spark, sf_dir):
+    """The same report from a state that five batches have been added to."""
+    state = dr.TakenDestinations(spark, dr.scratch_location(spark, "taken"), BUCKET, RUN_ID, buckets=8)
+    orders = order_paths(spark, sf_dir)
+    for k in range(5):
+        state.add(orders.filter(F.col("o_orderkey") % 5 == k), "path", f"batch-{k}")
+    return state.report()
+
+
 def h1_collisions_orders(spark, sf_dir):
     return dr.redirect_collisions(order_paths(spark, sf_dir), "path", BUCKET, RUN_ID)
 
@@ -659,6 +668,7 @@ QUERIES = {
     "g4_rewrite_calls": g4_rewrite_calls,
     "g4_rewrite_defined": g4_rewrite_defined,
     "h1_collisions": h1_collisions,
+    "h1_collisions_batches": h1_collisions_batches,
     "h1_collisions_orders": h1_collisions_orders,
     "h2_plan": h2_plan,
     "h3_inventory": h3_inventory,

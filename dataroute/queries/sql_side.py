@@ -422,6 +422,7 @@ ORACLES = {
         FROM ({REWRITTEN_CALLS})
     """,
     "h1_collisions": collisions(PART_PATHS),
+    "h1_collisions_batches": collisions(ORDER_PATHS),
     "h1_collisions_orders": collisions(ORDER_PATHS),
     "h2_plan": f"""
         SELECT DISTINCT path, {named(RULE_FIRST_DOT, 'path')} AS base,
