@@ -8,7 +8,7 @@ from dataroute.plans.lineage import (
     script_accesses,
     script_levels,
 )
-from dataroute.plans.redirects import redirect_collisions, redirect_plan
+from dataroute.plans.redirects import redirect_collisions, redirect_plan, redirect_rows
 from dataroute.plans.runs import (
     append_outcomes,
     audit,
@@ -32,6 +32,7 @@ __all__ = [
     "reads_without_writer",
     "redirect_collisions",
     "redirect_plan",
+    "redirect_rows",
     "run_job",
     "script_accesses",
     "script_levels",

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dataroute.functions.paths import base_name_first_dot, redirect_path
+from dataroute.operators.joins import join_hot, written
 
 
 def redirect_plan(
@@ -33,6 +34,25 @@ def redirect_plan(
     )
 
 
+def redirect_rows(df: DataFrame, path_col: str, bucket: str, run_id: str) -> DataFrame:
+    """Every row of ``df`` with ``destination`` and ``n_paths``, the paths that meet there.
+
+    Destinations and counts are made once per distinct path and joined back. A path that
+    very many rows have stays where it is, and so does a destination that very many paths
+    have: these are measured and their facts, a bounded number, broadcast. Rows without a
+    path have nulls. ``df`` is read several times: give a scanned or written table.
+    """
+    taken = {"destination", "n_paths"} & set(df.columns)
+    if taken:
+        raise ValueError(f"columns are there already: {sorted(taken)}")
+    paths = written(redirect_plan(df, path_col, bucket, run_id).select("path", "destination"), "paths")
+    meet = written(paths.groupBy("destination").agg(F.count(F.lit(1)).alias("n_paths")), "destinations")
+    facts = written(join_hot(paths, meet, "destination"), "facts")
+    return join_hot(df, facts.withColumnRenamed("path", path_col), path_col, "left").select(
+        *(F.col(f"`{x}`") for x in df.columns), "destination", "n_paths"
+    )
+
+
 def redirect_collisions(
     df: DataFrame, path_col: str, bucket: str, run_id: str
 ) -> DataFrame:

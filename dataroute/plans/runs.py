@@ -22,8 +22,9 @@ from dataroute.operators.resolve import (
     shape,
     temp_views,
 )
+from dataroute.sources.marks import Taken, add_mark, read_marks
+from dataroute.sources.paths import literal_path
 from dataroute.sources.save import save
-from dataroute.sources.scan import literal_path
 
 OUTCOME_SCHEMA = (
     "name string, status string, result_source string, locator string, "
@@ -31,6 +32,9 @@ OUTCOME_SCHEMA = (
 )
 SUCCESS = "success"
 ERROR = "error"
+#: Marks of compactions beside a log's days, what the names of their partitions begin with,
+#: and bytes of a log that one task writes.
+COMPACTIONS, COMPACTED, COMPACTED_BYTES = "_compactions", "compacted-", 128 << 20
 #: Tables that an audit counts at the same time.
 AUDIT_JOBS = 8
 
@@ -127,29 +131,50 @@ def append_outcomes(outcomes: DataFrame, log_path: str) -> None:
 
 
 def read_log(spark: SparkSession, log_path: str) -> DataFrame:
-    """All outcome rows of a log, each once, with ``run_id`` and ``day``."""
-    rows = spark.read.parquet(literal_path(log_path))
-    return rows.drop("run").dropDuplicates(["run_id", "name"])
+    """All outcome rows of a log, each once, with ``run_id`` and ``day``.
+
+    A row counts in its own run's folder, or in that of a compaction that has its mark.
+    Folders that a compaction has replaced are pruned as partitions: nothing is shuffled.
+    """
+    root = log_path.rstrip("/")
+    marks = read_marks(spark, f"{root}/{COMPACTIONS}")
+    replaced = [x for mark in marks for x in mark["replaced"]]
+    rows = spark.read.parquet(literal_path(root))
+    counts = F.col("run") == F.col("run_id")
+    if marks:
+        counts = (counts | F.col("run").isin([x["run"] for x in marks])) & ~F.col("run").isin(replaced)
+    return rows.filter(counts).drop("run")
 
 
 def compact_log(spark: SparkSession, log_path: str, day: str) -> None:
     """Make one partition of the ones that a day's runs have left in the log.
 
-    The new one is complete before the old ones go, and only those go that were
-    read; while both are there ``read_log`` counts a row once. Stopped halfway,
-    it can be run again.
+    The new one counts from the moment a mark says so and names what it replaces; only then
+    do the old ones go. Of two compactions at the same time one gets the mark and the other
+    leaves everything as it is. Stopped halfway, it can be run again.
     """
-    folder = f"{log_path.rstrip('/')}/day={day}"
+    root = log_path.rstrip("/")
+    folder = f"{root}/day={day}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    old = [x.getPath() for x in files.listStatus(path) if x.getPath().getName().startswith("run=")]
-    if len(old) < 2:
-        return
-    rows = spark.read.parquet(*[literal_path(x.toString()) for x in old])
-    rows = rows.dropDuplicates(["run_id", "name"]).coalesce(1)
-    save(rows, f"{folder}/run={uuid.uuid4()}")
-    for part in old:
-        files.delete(part, True)
+    marks = read_marks(spark, f"{root}/{COMPACTIONS}")
+    counted = {x["run"] for x in marks}
+    gone = {x for mark in marks for x in mark["replaced"]}
+    there = {x.getPath().getName().removeprefix("run="): x.getPath() for x in files.listStatus(path)}
+    old = [x for x in there if x not in gone and (not x.startswith(COMPACTED) or x in counted)]
+    if len(old) > 1:
+        size = sum(files.getContentSummary(there[x]).getLength() for x in old)
+        rows = spark.read.parquet(*[literal_path(there[x].toString()) for x in old])
+        run = f"{COMPACTED}{uuid.uuid4()}"
+        save(rows.coalesce(1 + size // COMPACTED_BYTES), f"{folder}/run={run}")
+        try:
+            add_mark(spark, f"{root}/{COMPACTIONS}", {"day": day, "run": run, "replaced": old}, len(marks))
+        except Taken:
+            files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/run={run}"), True)
+            return
+        gone |= set(old)
+    for name in gone & there.keys():
+        files.delete(there[name], True)
 
 
 def _own_session(spark: SparkSession) -> SparkSession:

@@ -37,6 +37,12 @@ ORDER_PATH_LINES = f"""
     END
 """
 
+# Paths of lines: many share a name, few a path.
+LINE_PATH = """
+    's3://lake/' || lower(l_returnflag) || '/' || l_suppkey || '/p' || l_partkey
+    || CASE l_linenumber % 3 WHEN 0 THEN '.csv' WHEN 1 THEN '.v2.parquet' ELSE '' END
+"""
+
 # Scripts with calls that count and with calls that do not: in a comment, in a
 # string, with a keyword, with a variable, of another method.
 PART_SCRIPT = f"""

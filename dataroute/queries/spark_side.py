@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import dataroute as dr
 from dataroute.queries.inputs import (
+    LINE_PATH,
     ORDER_PATH,
     ORDER_PATH_LINES,
     PART_JOB,
@@ -565,6 +566,25 @@ def h1_collisions_orders(spark, sf_dir):
     return dr.redirect_collisions(order_paths(spark, sf_dir), "path", BUCKET, RUN_ID)
 
 
+def b8_replace_published(spark, sf_dir):
+    """A table that is made anew from its own former version, after a job that fails."""
+    path = dr.scratch_location(spark, "published")
+    dr.replace_table(table(spark, sf_dir, "customer"), path)
+    broken = table(spark, sf_dir, "customer").withColumn("c_name", F.raise_error(F.lit("lost")).cast("string"))
+    try:
+        dr.replace_table(broken, path)
+    except PySparkException:
+        dr.replace_table(dr.scan_published(spark, path).filter("c_acctbal > 0"), path)
+    return dr.scan_published(spark, path)
+
+
+def h2_rows(spark, sf_dir):
+    """The destination of every line's path; a third of all lines have the same path."""
+    paths = F.expr("CASE l_orderkey % 3 WHEN 0 THEN 's3://lake/hot.csv' ELSE " + LINE_PATH + " END")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", paths.alias("path"))
+    return dr.redirect_rows(lines, "path", BUCKET, RUN_ID)
+
+
 def h2_plan(spark, sf_dir):
     return dr.redirect_plan(order_paths(spark, sf_dir), "path", BUCKET, RUN_ID)
 
@@ -670,6 +690,8 @@ QUERIES = {
     "h1_collisions": h1_collisions,
     "h1_collisions_batches": h1_collisions_batches,
     "h1_collisions_orders": h1_collisions_orders,
+    "b8_replace_published": b8_replace_published,
+    "h2_rows": h2_rows,
     "h2_plan": h2_plan,
     "h3_inventory": h3_inventory,
     "h3_inventory_scripts": h3_inventory_scripts,

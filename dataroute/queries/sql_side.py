@@ -6,7 +6,14 @@ checks that the two forms agree.
 
 from __future__ import annotations
 
-from dataroute.queries.inputs import ORDER_PATH, ORDER_PATH_LINES, PART_JOB, PART_PATH, PART_SCRIPT
+from dataroute.queries.inputs import (
+    LINE_PATH,
+    ORDER_PATH,
+    ORDER_PATH_LINES,
+    PART_JOB,
+    PART_PATH,
+    PART_SCRIPT,
+)
 
 # --- Fixed values: defining regexes, written out apart from the library's -----
 RULE_FIRST_DOT = r"(?:.*/)?([^.]+)\.[^/]*$"
@@ -424,6 +431,18 @@ ORACLES = {
     "h1_collisions": collisions(PART_PATHS),
     "h1_collisions_batches": collisions(ORDER_PATHS),
     "h1_collisions_orders": collisions(ORDER_PATHS),
+    "b8_replace_published": "SELECT * FROM customer WHERE c_acctbal > 0",
+    "h2_rows": f"""
+        WITH line AS (
+          SELECT l_orderkey, l_linenumber,
+                 CASE l_orderkey % 3 WHEN 0 THEN 's3://lake/hot.csv' ELSE {LINE_PATH} END AS path
+          FROM lineitem
+        ),
+        path AS (SELECT path, coalesce({target('path')}, path) AS destination FROM line GROUP BY path),
+        meet AS (SELECT destination, count(*) AS n_paths FROM path GROUP BY destination)
+        SELECT l_orderkey, l_linenumber, path, destination, n_paths
+        FROM line JOIN path USING (path) JOIN meet USING (destination)
+    """,
     "h2_plan": f"""
         SELECT DISTINCT path, {named(RULE_FIRST_DOT, 'path')} AS base,
                coalesce({target('path')}, path) AS destination,

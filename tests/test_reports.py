@@ -89,3 +89,21 @@ def test_one_destination_for_every_row(spark):
     )
     found = dr.redirect_collisions(hot, "p", "b", "r").collect()
     assert [tuple(row) for row in found] == [("s3://b/r/tmp/same.parquet", 30_000, 30_000)]
+
+
+def test_rows_get_the_destination_of_a_hot_path(spark, monkeypatch):
+    from dataroute.operators import joins
+
+    monkeypatch.setattr(joins, "LEAST_HOT", 50)
+    path = "CASE WHEN id % 3 = 0 THEN 'hot/x.csv' WHEN id % 7 > 0 THEN concat(id % 5, '/', id % 20, '.csv') END"
+    rows = spark.range(400).selectExpr("id", f"{path} AS `my path`")
+    plan = dr.redirect_plan(rows, "my path", "b", "r")
+    meet = plan.groupBy("destination").count().collect()
+    meet = {x.destination: x["count"] for x in meet}
+    where = {x.path: x.destination for x in plan.collect()}
+    got = dr.redirect_rows(rows, "my path", "b", "r")
+    assert got.columns == ["id", "my path", "destination", "n_paths"]
+    expected = [(x.id, x[1], where.get(x[1]), meet.get(where.get(x[1]))) for x in rows.collect()]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, expected))
+    with pytest.raises(ValueError, match="n_paths"):
+        dr.redirect_rows(rows.withColumn("n_paths", F.lit(1)), "my path", "b", "r")

@@ -232,6 +232,93 @@ def test_a_log_is_one_table(spark, people, tmp_path):
     assert dr.read_log(spark, log).count() == 4
 
 
+def test_compactions_at_the_same_time_lose_and_repeat_nothing(spark, people, tmp_path, monkeypatch):
+    from dataroute.plans import runs
+
+    log = str(tmp_path / "log")
+    for k in range(3):
+        dr.finish_run(spark, f"run {k}", str(tmp_path / f"out{k}"), log, df=people)
+    (day,) = (tmp_path / "log").glob("day=*")
+    name = day.name.removeprefix("day=")
+    names = {f"run {k}" for k in range(3)}
+
+    def read():
+        rows = [row.name for row in dr.read_log(spark, log).collect()]
+        assert len(rows) == len(set(rows))
+        return set(rows)
+
+    add = runs.add_mark
+
+    def another_first(*mark):
+        monkeypatch.setattr(runs, "add_mark", add)
+        assert read() == names  # the new folder has no mark yet
+        dr.finish_run(spark, "between", str(tmp_path / "between"), log, df=people)
+        dr.compact_log(spark, log, name)
+        assert read() == names | {"between"}
+        add(*mark)
+
+    monkeypatch.setattr(runs, "add_mark", another_first)
+    dr.compact_log(spark, log, name)
+    assert read() == names | {"between"}
+    assert len(list(day.glob("run=*"))) == 1
+
+    def dies(*mark):
+        raise RuntimeError("lost")
+
+    dr.finish_run(spark, "late", str(tmp_path / "late"), log, df=people)
+    monkeypatch.setattr(runs, "add_mark", dies)
+    with pytest.raises(RuntimeError, match="lost"):
+        dr.compact_log(spark, log, name)
+    monkeypatch.setattr(runs, "add_mark", add)
+    assert read() == names | {"between", "late"}
+    dr.compact_log(spark, log, name)
+    assert read() == names | {"between", "late"}
+
+
+def test_reading_a_log_shuffles_nothing(spark, people, tmp_path):
+    log = str(tmp_path / "log")
+    for k in range(3):
+        dr.finish_run(spark, f"run {k}", str(tmp_path / f"out{k}"), log, df=people)
+        (day,) = (tmp_path / "log").glob("day=*")
+        dr.compact_log(spark, log, day.name.removeprefix("day="))
+    plan = dr.read_log(spark, log)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
+
+
+def test_a_replacement_counts_whole_or_not_at_all(spark, people, tmp_path):
+    where = str(tmp_path / "a table")
+    assert dr.published(spark, where) is None
+    with pytest.raises(FileNotFoundError):
+        dr.scan_published(spark, where)
+    dr.replace_table(people, where)
+    before = dr.scan_published(spark, where)
+    rows = sorted(before.collect())
+    broken = spark.range(100).repartition(4).select(
+        F.when(F.col("id") == 99, F.raise_error(F.lit("lost"))).otherwise(F.col("id")).alias("id")
+    )
+    with pytest.raises(Exception, match="lost"):
+        dr.replace_table(broken, where)
+    assert sorted(dr.scan_published(spark, where).collect()) == rows
+    # From its own former version, as a format of its own; a reader that has begun goes on.
+    dr.replace_table(before.limit(1), where, "json")
+    assert dr.scan_published(spark, where, schema=people.schema).count() == 1
+    assert sorted(before.collect()) == rows
+    assert dr.release_versions(spark, where) == 2
+    assert dr.scan_published(spark, where, schema=people.schema).count() == 1
+
+
+def test_marks_go_to_one_writer(spark, tmp_path):
+    from dataroute.sources import marks
+
+    folder = str(tmp_path / "marks")
+    assert marks.read_marks(spark, folder) == []
+    marks.add_mark(spark, folder, {"n": 0}, 0)
+    with pytest.raises(marks.Taken):
+        marks.add_mark(spark, folder, {"n": "late"}, 0)
+    marks.add_mark(spark, folder, {"n": 1}, 1)
+    assert [x["n"] for x in marks.read_marks(spark, folder)] == [0, 1]
+
+
 def test_unreadable_output_is_no_reason_to_go_on(spark, people, tmp_path):
     (tmp_path / "result.parquet").write_text("this is not a table")
     found = dr.resolve(spark, str(tmp_path), (), people)
