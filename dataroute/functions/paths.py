@@ -101,17 +101,26 @@ def strip_extension(name: Column | str) -> Column:
     return F.when(has_extension, _stem(path)).otherwise(path)
 
 
-def base_name_by_rules(path: Column | str, rules: Sequence[str]) -> Column:
+def base_name_by_rules(path: Column | str, rules: Sequence[str], bounded: bool = False) -> Column:
     """Name by the first rule whose group 1 is not empty, ``.`` or ``..``.
 
     The captured name loses one extension, and its remaining dots become
     underscores. Rules are regexes valid in both Python and Java; rules that do
     not compile or have no group are skipped, and no usable rule gives null.
-    The ready rules take linear time; a rule of your own runs as it is written,
-    unanchored, at whatever cost it has on a path that does not match.
+
+    The ready rules take time in proportion to the path, and so do rules of the
+    form ``(?:.*/)?(X+)end$`` on paths of one line, where ``X`` is one character
+    (``.``, a class or the like) and ``end`` plain text: ``(?:.*/)?(.+)\\.csv$``.
+    Any other rule runs as it is written, unanchored, at whatever cost it has on a
+    path that does not match; with ``bounded`` it is refused, and paths of several
+    lines have no name by a rule of your own.
     """
     path = as_column(path)
-    candidates = [_rule_name(path, rule) for rule in rules if _usable(rule)]
+    usable = [rule for rule in rules if _usable(rule)]
+    refused = [x for x in usable if bounded and x not in _DIRECT_RULES and not _ENDING_RULE.fullmatch(x)]
+    if refused:
+        raise ValueError(f"rules that may take more than linear time: {refused}")
+    candidates = [_rule_name(path, rule, bounded) for rule in usable]
     if not candidates:
         return F.lit(None).cast("string")
     # Like strip_extension, in a form that names the long expression only once.
@@ -219,18 +228,50 @@ _DIRECT_RULES: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def _rule_name(path: Column, rule: str) -> Column:
+# Group 1: one character, repeated and captured; group 2: plain text up to the end.
+_ENDING_RULE = re.compile(
+    r"""\(\?:\.\*/\)\?\((\.|\\[wWdDsS]|\[\^?[^\[\]\\^&]+\])\+\)((?:\\[^\w\s]|[^\\\[\](){}.*+?|^$#\s])*)\$"""
+)
+
+
+def _rule_name(path: Column, rule: str, bounded: bool) -> Column:
     direct = _DIRECT_RULES.get(rule)
     if direct is not None:
         name = direct(path)
         return F.when(~name.isin(*_NO_NAMES), name)
     # (?d): only \n ends a line; (?U): \w and \d are Unicode-wide, as in Python.
     matches = F.regexp_extract_all(path, F.lit(f"(?dU){rule}"), F.lit(1))
+    ending = _ENDING_RULE.fullmatch(rule)
+    if ending:
+        found = F.array(_name_before(path, ending[1], re.sub(r"\\(.)", r"\1", ending[2])))
+        lines = F.array().cast("array<string>") if bounded else matches
+        matches = F.when(path.contains("\n"), lines).otherwise(F.array_compact(found))
     # An array expression, so that the regex is not run a second time by a test.
     no_names = F.array(*map(F.lit, _NO_NAMES))
     return F.get(F.array_except(F.slice(matches, 1, 1), no_names), F.lit(0))
 
 
+def _name_before(path: Column, character: str, end: str) -> Column:
+    """What ``(?:.*/)?(X+)end$`` captures in a path of one line; null if nothing.
+
+    The captured text ends where ``end`` begins and is a part of the run of such characters
+    there. The rule prefers to begin behind a slash, the last one first, and else begins with
+    the run. The run is read from its end: searched from the front, it would be tried from
+    every character of the path.
+    """
+    body = F.left(path, F.char_length(path) - len(end))
+    run = F.regexp_extract(F.reverse(body), rf"(?dU)\A({character}*+)", 1)
+
+    def name(run: Column) -> Column:
+        # Reversed: a slash that is the last character has nothing behind it.
+        first, rest = F.left(run, F.lit(1)), F.substr(run, F.lit(2))
+        return F.when(run != "", F.reverse(F.concat(first, F.substring_index(rest, "/", 1))))
+
+    # An array of one, so that the run is found once.
+    found = F.get(F.transform(F.array(run), name), F.lit(0))
+    return F.when(F.endswith(path, F.lit(end)), found)
+
+
 def _usable(rule: str) -> bool:
     try:
         return re.compile(rule).groups > 0

@@ -668,6 +668,11 @@ QUERIES = {
     "f4_rules_flexible": on_path(by_rules(dr.RULES_FLEXIBLE)),
     "f4_rules_basename": on_path(by_rules(dr.RULES_BASENAME)),
     "f4_rules_custom": on_path(by_rules([r"/(c\d+)/\.", r"c(\d*5)\b"])),
+    "f4_rules_bounded": on_path(
+        lambda path: dr.base_name_by_rules(
+            path, [r"(?:.*/)?(.+)\.json$", r"(?:.*/)?([^/]+)\.csv$", r"(?:.*/)?([a-z.]+)$"], bounded=True
+        )
+    ),
     "f5_strip_extension": on_path(dr.strip_extension),
     "f5_strip_extension_part": on_part_path(dr.strip_extension),
     "f7_redirect": on_part_path(

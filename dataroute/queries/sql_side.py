@@ -355,6 +355,9 @@ ORACLES = {
     ),
     "f4_rules_basename": on_path(by_rules("path", RULE_PLAIN_NAME)),
     "f4_rules_custom": on_path(by_rules("path", r"/(c\d+)/\.", r"c(\d*5)\b")),
+    "f4_rules_bounded": on_path(
+        by_rules("path", r"(?:.*/)?(.+)\.json$", r"(?:.*/)?([^/]+)\.csv$", r"(?:.*/)?([a-z.]+)$")
+    ),
     "f5_strip_extension": on_path(without_extension("path")),
     "f5_strip_extension_part": on_part_path(without_extension("path")),
     "f7_redirect": on_part_path(f"coalesce({target('path')}, path)"),

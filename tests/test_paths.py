@@ -146,6 +146,46 @@ def test_rules_equal_the_definitions(spark):
         assert names == [defined_by_rules(path, rules) for rules in rule_sets], repr(path)
 
 
+ENDING_RULES = [
+    r"(?:.*/)?(.+)\.c$",
+    r"(?:.*/)?([^/]+)\.c$",
+    r"(?:.*/)?([^.]+)c$",
+    r"(?:.*/)?(\w+)/c$",
+    r"(?:.*/)?([a.]+)$",
+    r"(?:.*/)?([/c]+)a$",
+    r"(?:.*/)?(\W+)\.\.$",
+]
+
+
+@pytest.mark.parametrize("rule", ENDING_RULES)
+def test_ending_rules_equal_the_definitions(spark, rule):
+    """All short strings: the linear form on paths of one line, the rule itself on others."""
+    strings = [*every_string("ac./\n", 6), "é/😀é.c", "a/é😀/c"]
+    rows = evaluate(
+        spark, strings, dr.base_name_by_rules("path", [rule]), dr.base_name_by_rules("path", [rule], bounded=True)
+    )
+    for path, name, bounded in rows:
+        expected = defined_by_rules(path, [rule])
+        assert name == expected, repr(path)
+        assert bounded == (None if "\n" in path else expected), repr(path)
+
+
+@pytest.mark.parametrize("rule", [r"(?:.*/)?(.+)\.csv$", r"(?:.*/)?([^/]+)\.csv$", r"(?:.*/)?(\w+)\.csv$"])
+@pytest.mark.parametrize("path", ["a/" * 500_000, "data:" + "x" * 10**6, "a/" * 500_000 + "/.csv", ".csv" * 250_000])
+def test_ending_rules_take_linear_time(spark, rule, path):
+    began = time.time()
+    evaluate(spark, [path] * 3, dr.base_name_by_rules("path", [rule], bounded=True))
+    assert time.time() - began < 20
+
+
+def test_unbounded_rules_are_refused_on_demand():
+    for rule in (r"(.+)\.csv$", r"(?:.*/)?(.+)\.c.v$", r"(?:.*/)?(.+)(a|b)$", r"(?:.*/)?(.+)\.[^/]*x$", r"(?:.*/)?(a+b+)$"):
+        with pytest.raises(ValueError, match="linear"):
+            dr.base_name_by_rules("path", [rule], bounded=True)
+        dr.base_name_by_rules("path", [rule])
+    dr.base_name_by_rules("path", [*dr.RULES_FLEXIBLE, "no group", *ENDING_RULES], bounded=True)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="ab.é😀/\n\\{}", max_size=30))
 def test_driver_side_pattern_equals_the_definition(path):
