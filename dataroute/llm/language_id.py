@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from dataroute.llm import hashing as H
 from dataroute.llm.shipping import ship
+from dataroute.llm.tables import written
 
 DIMENSIONS = 4096
 SIZES = (1, 2, 3)
@@ -30,8 +31,6 @@ CLUSTERS = 4
 ROUNDS = 12
 #: The share of a language's sample that a centroid stands for at least.
 LEAST_SHARE = 0.04
-#: More languages than this is a mistake in the column, not a model.
-MOST_LANGUAGES = 1000
 #: The share of a centroid's own sample that lies within its radius.
 WITHIN = 0.995
 SLACK = 0.05
@@ -113,7 +112,13 @@ def fit(
     text: str = "text",
     lang: str = "lang",
 ) -> Model:
-    """Document frequencies over all training documents, centroids from ``sample`` of each language."""
+    """Document frequencies over all training documents, centroids from ``sample`` of each language.
+
+    Rows without a language, and those that ``held_out`` names, null ids among them, teach
+    nothing. Rows that repeat an id or a text are rows of their own, and no more of them than
+    ``sample`` are taken. A null or empty text counts as a text without letters. What comes
+    back to the driver are ``clusters`` centroids for each language that the column has.
+    """
     ship(docs.sparkSession)
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
@@ -138,24 +143,20 @@ def fit(
     idf = (np.log((1 + got.get(-1, 0)) / (1 + df)) + 1).astype(np.float32)
 
     # A hash below a bound keeps a few times the sample of each language, however many
-    # documents that has; of these the smallest hashes are taken.
-    per_language = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    if len(per_language) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    bounds = docs.sparkSession.createDataFrame(
-        [(x["lang"], int(min(1.0, OVERSAMPLE * sample / x["n"]) * (1 << 32))) for x in per_language],
-        "lang string, bound long",
-    )
-    mixed = F.xxhash64(F.lit("sample"), "doc_id")
-    first = Window.partitionBy("lang").orderBy(mixed, "doc_id")
-    chosen = (
-        rows.select("doc_id", "lang")
-        .join(F.broadcast(bounds), "lang")
-        .filter(mixed.bitwiseAND(F.lit((1 << 32) - 1)) < F.col("bound"))
+    # documents that has; of these the smallest hashes are taken, in every task first.
+    # Rows are chosen, not ids: repeated ids, and repeated rows, add nothing to the bound.
+    share = F.least(F.lit(1.0), F.lit(OVERSAMPLE * sample) / F.count("*"))
+    bounds = written(rows.groupBy("lang").agg((share * F.lit(1 << 32)).cast("long").alias("bound")), "languages")
+    mixed = F.xxhash64(F.lit("sample"), "doc_id", "text")
+    first = Window.partitionBy("lang").orderBy("mixed", "doc_id", "text")
+    # One narrow row per language: Spark broadcasts them unless that is very many.
+    sampled = (
+        rows.join(bounds, "lang")
+        .withColumn("mixed", mixed)
+        .filter(F.col("mixed").bitwiseAND(F.lit((1 << 32) - 1)) < F.col("bound"))
         .withColumn("nth", F.row_number().over(first))
         .filter(F.col("nth") <= sample)
-        .select("doc_id")
-        .distinct()
+        .select("lang", "text")
     )
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,9 +170,6 @@ def fit(
                     }
                 )
 
-    # ``sample`` ids for each of at most MOST_LANGUAGES languages: a bounded side.
-    sampled = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
-
     def fit_language(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         own = b"".join(sorted(x.as_py() for x in table.column("vector")))
         own = np.frombuffer(own, "<f4").reshape(-1, DIMENSIONS)

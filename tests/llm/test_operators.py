@@ -1,6 +1,8 @@
 """Operators against plain versions, on awkward rows and on a whole small table."""
 
+import math
 import random
+import zlib
 
 import public_tokenizers
 import plain
@@ -656,3 +658,41 @@ def test_models_on_awkward_rows(spark, awkward, nothing):
         assert kept.schema == docs.schema
         assert kept.count() == sum(1 - x["predicted"] for x in got)
         assert toxicity.score(nothing, model).collect() == []
+
+
+def test_language_samples_are_bounded_whatever_the_ids(spark):
+    """A repeated id, repeated rows and very many languages: each language has its sample."""
+    rows = [(3, _words(k, 20), "en") for k in range(300)] + [(3, "le mot " * 9, "fr")] * 300
+    rows += [(k, f"word{k} of its own", f"l{k}") for k in range(1500)] + [(None, "ohne id", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, sample=20)
+    taught = {lang for i, _, lang in rows if i is not None and zlib.crc32(str(i).encode()) % 5}
+    assert set(model.languages) == taught and len(taught) > 1000
+    sampled = language_id.fit(docs.filter("lang IN ('en', 'fr')"), sample=20)
+    assert sorted(set(sampled.languages)) == ["en", "fr"]
+    got = language_id.predict(docs.filter("lang IN ('en', 'fr')"), sampled)
+    assert got.filter("lang_pred = 'fr'").count() == 300
+
+
+def test_language_is_that_of_the_nearest_centroid(spark):
+    """Vectors, choice and rejection by their definitions."""
+    import numpy as np
+
+    rows = [(k, x, lang) for k, (x, lang) in enumerate(
+        [(_words(k, 30), "en") for k in range(30)] + [("çà été où " + _words(900 + k, 9), "fr") for k in range(30)]
+    )]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    for got in language_id.predict(docs, model).collect():
+        (_, matrix), = language_id.counts([rows[got["doc_id"]][1].encode()])
+        weight = [math.log1p(c) * float(w) for c, w in zip(matrix[0], model.idf)]
+        length = math.sqrt(sum(x * x for x in weight))
+        cosines = [float(np.dot(weight, c)) / length for c in model.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert got["lang_pred"] == model.languages[best]
+        assert abs(got["score"] - cosines[best]) < 1e-4
+        if abs(1 - cosines[best] - model.radius[best]) > 1e-4:
+            assert got["rejected"] == (1 - cosines[best] > model.radius[best])
+    training = [x.encode() for k, x, _ in rows if zlib.crc32(str(k).encode()) % 5]
+    df = sum((matrix > 0).sum(axis=0) for _, matrix in language_id.counts(training))
+    assert np.allclose(model.idf, np.log((1 + len(training)) / (1 + df)) + 1, atol=1e-5)
