@@ -11,6 +11,7 @@ twice, and a text of any length costs linear time and no regex stack.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -123,15 +124,17 @@ def called_literals(text: Column | str, method: str = TARGET_METHOD) -> Column:
     one of these go to the scanner, which costs some ten times as much.
     """
     text = as_column(text)
-    found = F.struct(scanner.call_places(text, [method]).alias("places"), scanner.pieces(text).alias("pieces"))
-    literals = F.get(
-        F.transform(
-            F.array(found),
-            lambda x: F.transform(x["places"], lambda place: scanner.literal_of(x["pieces"], place)),
-        ),
-        F.lit(0),
-    )
-    return F.when(_needs_scanner(text, method), literals).otherwise(_named(text, _calls(method)))
+
+    def scanned(script: Column) -> Column:
+        places, found = scanner.call_places(script, [method]), scanner.pieces(script)
+        # Pieces in an array of one, so that they are found once for all literals.
+        literals = F.transform(
+            F.array(F.struct(places.alias("places"), found.alias("found"))),
+            lambda x: F.transform(x["places"], lambda place: scanner.literal_of(x["found"], place)),
+        )
+        return F.get(literals, F.lit(0))
+
+    return F.when(_needs_scanner(text, method), _of_one(text, scanned)).otherwise(_named(text, _calls(method)))
 
 
 def literal_content(literal: Column | str) -> Column:
@@ -172,7 +175,7 @@ def rewrite_calls(
         return F.when(is_call, other).otherwise(piece)
 
     changed = F.when(
-        _needs_scanner(text, method), scanner.replaced(text, [method], F.lit(target))
+        _needs_scanner(text, method), _of_one(text, lambda script: scanner.replaced(script, [method], F.lit(target)))
     ).otherwise(F.array_join(F.transform(pieces, replaced), ""))
     if definitions is None:
         return changed
@@ -208,6 +211,11 @@ def _call(method: str) -> tuple[str, str]:
     return rf"\.{_SPACE}{re.escape(method)}{_SPACE}\({_SPACE}", literal
 
 
+def _of_one(value: Column, function: Callable[[Column], Column]) -> Column:
+    """``function`` of a value that is computed once, however often the function names it."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
 def _needs_scanner(text: Column, method: str) -> Column:
     """Whether a script has f-strings or the like, brackets around a first argument, or
     line ends of one carriage return."""
