@@ -69,10 +69,10 @@ def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A toxicity score for every text."""
+    """A toxicity score for every text, and where its toxic words are."""
     docs = _documents(spark, sf_dir)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted", "spans")
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
