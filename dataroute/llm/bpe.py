@@ -68,7 +68,7 @@ def encode_documents(
     n = B.block_count(docs, text)
     dealt = B.frames(docs, n, doc_id, text)
     encoded = B.answer(
-        B.ask(dealt, n, lambda table: _ask_words(table, n)), lambda got: _encode(got, definition)
+        B.ask(dealt, n, lambda table: _ask_words(table, n)), n, lambda got: _encode(got, definition)
     )
     return B.finish(dealt, encoded, lambda table, got: _assemble(table, got, n, definition), SCHEMA)
 

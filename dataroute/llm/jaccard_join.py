@@ -100,15 +100,16 @@ def _sets_and_links(docs: DataFrame, words: int, percent: int, doc_id: str, text
     ship(docs.sparkSession)
     n = B.block_count(docs, text)
     dealt = B.frames(docs, n, doc_id, text)
-    classes = B.answer(B.ask(dealt, n, lambda table: _ask_classes(_Sets(table, words), n)), _reply_least)
+    classes = B.answer(B.ask(dealt, n, lambda table: _ask_classes(_Sets(table, words), n)), n, _reply_least)
     shared = B.answer(
         B.ask_again(dealt, classes, n, lambda table, got: _ask_prefixes(_Sets(table, words), got, n, percent)),
+        n,
         B.reply_shared,
     )
-    answers = classes.unionAll(shared.selectExpr("block", f"bucket + {n} AS bucket", "payload"))
+    answers = B.both(classes, shared, n)
     keyed = schema == ROWS
     finished = B.finish(
-        dealt, answers, lambda table, got: _left(_Sets(table, words, keyed), got, n, percent), schema
+        dealt, answers, lambda table, got: _left(_Sets(table, words, keyed), got, n, percent), schema, ("tokens",)
     )
     # Ids can be any number, so links are searched between rows' numbers, fixed by writing.
     sets = written(finished.withColumn("number", F.monotonically_increasing_id()), "sets")
@@ -310,7 +311,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     n = max(1, -(-total // (8 * BLOCK_TOKENS)), min(total >> 16, sets.sparkSession.sparkContext.defaultParallelism))
     block = F.pmod(F.xxhash64("number"), F.lit(n)).cast("int")
     dealt = B.deal(sets.withColumn("block", block), n)
-    counted = B.answer(B.ask(dealt, n, lambda table: _ask_counts(table, n)), _reply_counts)
+    counted = B.answer(B.ask(dealt, n, lambda table: _ask_counts(table, n)), n, _reply_counts)
     stars = B.ask_again(dealt, counted, n, lambda table, got: _post(table, got, n, percent))
     edges = stars.groupBy("bucket").applyInArrow(lambda table: _group(table, percent), STARS)
     # A node per set and order: three graphs in one.
@@ -408,8 +409,8 @@ def _runs(keys, nodes, low, high, percent: int):
 def _group(table: pa.Table, percent: int) -> pa.Table:
     """Edges of the blocks, and between their runs of one prefix token."""
     runs, pairs = [np.zeros((4, 0), np.int64)], [np.zeros((2, 0), np.int64)]
-    for payload in table.column("payload"):
-        data = bytes(payload.as_buffer())
+    for payload in B.letters(table)[1]:
+        data = bytes(payload)
         into, rows = (runs, 4) if data[:1] == b"r" else (pairs, 2)
         into.append(np.frombuffer(data[1:], "<i8").reshape(rows, -1))
     _, between = _runs(*np.concatenate(runs, axis=1), percent)

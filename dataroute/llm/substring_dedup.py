@@ -57,17 +57,16 @@ def remove_repeated_passages(
     n = B.block_count(docs, text)
     dealt = B.frames(docs, n, doc_id, text)
     anchored = B.answer(
-        B.ask(dealt, n, lambda table: _ask_anchors(_Words(table, window), n)), B.reply_shared
+        B.ask(dealt, n, lambda table: _ask_anchors(_Words(table, window), n)), n, B.reply_shared
     )
     compared = B.answer(
         B.ask_again(dealt, anchored, n, lambda table, got: _ask_stretches(_Words(table, window), got, n)),
+        n,
         _reply_earlier,
     )
     # The last pass needs both answers: which stretches were asked about, and the reply.
-    both = anchored.selectExpr("block", "bucket", "payload").unionAll(
-        compared.selectExpr("block", f"bucket + {n} AS bucket", "payload")
-    )
-    return B.finish(dealt, both, lambda table, got: _kept(_Words(table, window), got, n), SCHEMA)
+    answers = B.both(anchored, compared, n)
+    return B.finish(dealt, answers, lambda table, got: _kept(_Words(table, window), got, n), SCHEMA)
 
 
 class _Words:

@@ -64,14 +64,15 @@ def remove_repeated_strings(
     n = B.block_count(docs, text)
     dealt = B.frames(docs, n, doc_id, text)
     repeated = B.answer(
-        B.ask(dealt, n, lambda table: _ask_anchors(_Block(table, length), n)), B.reply_shared
+        B.ask(dealt, n, lambda table: _ask_anchors(_Block(table, length), n)), n, B.reply_shared
     )
     judged = B.answer(
         B.ask_again(dealt, repeated, n, lambda table, got: _ask_passages(_Block(table, length), got, n)),
+        n,
         lambda payloads: _judge(payloads, length),
     )
-    both = repeated.unionAll(judged.selectExpr("block", f"bucket + {n} AS bucket", "payload"))
-    return B.finish(dealt, both, lambda table, got: _kept(_Block(table, length), got, n), SCHEMA)
+    answers = B.both(repeated, judged, n)
+    return B.finish(dealt, answers, lambda table, got: _kept(_Block(table, length), got, n), SCHEMA)
 
 
 class _Block:
