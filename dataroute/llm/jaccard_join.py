@@ -83,12 +83,20 @@ def near_duplicates(
     for end in ("a", "b"):
         ends = going.select(F.col("number").alias(end), F.col("class_id").alias(f"class_{end}"))
         found = found.join(ends, end)
-    links = components(found.select("class_a", "class_b"), "class_a", "class_b")
     rows = sets.select("doc_id", "n_shingles", "class_id")
+    total = rows.count()
+    # A class is named by an id, so an id with several of them ties these to itself.
+    several = rows.groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.min("class_id").alias("low"), F.max("class_id").alias("high")
+    )
+    several = written(several.filter("low < high").select("doc_id", "n"), "several")
+    tied = join_facts(rows, several, "doc_id", "n", total).filter("doc_id != class_id")
+    edges = found.select("class_a", "class_b").unionAll(tied.select("doc_id", "class_id").distinct())
+    links = components(edges, "class_a", "class_b")
     classes = rows.groupBy("class_id").agg(F.count("*").alias("n"))
     classes = classes.join(links.withColumnRenamed("node", "class_id"), "class_id", "left")
     null = F.lit(int(B.NULL_ID))
-    return join_facts(rows, written(classes, "classes"), "class_id", "n", rows.count()).select(
+    return join_facts(rows, written(classes, "classes"), "class_id", "n", total).select(
         F.nullif("doc_id", null).alias("doc_id"),
         "n_shingles",
         F.nullif(F.coalesce("component", "class_id"), null).alias("component_id"),

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from dataroute.llm import bpe, hard_negatives, language_id, max_sketch, minhash, packing, secrets, topk, toxicity
+from dataroute.llm import blocks, bpe, hard_negatives, language_id, max_sketch, minhash, packing, secrets, topk, toxicity
 from dataroute.llm.exact_dedup import copy_groups, without_copies
 from dataroute.llm.jaccard_join import near_duplicates, without_near_copies
 from dataroute.llm.substring_dedup import remove_repeated_passages
@@ -175,6 +175,51 @@ def test_repeated_rows(spark):
     assert [x["doc_id"] for x in without_near_copies(docs).collect()] == [1, 1]
 
 
+@pytest.mark.parametrize("name", ("strings", "jaccard", "tokens", "passages"))
+def test_messages_through_relays(spark, awkward, name, monkeypatch):
+    """As with direct messages, with more blocks than partitions."""
+    monkeypatch.setattr(blocks, "DIRECT", 0)
+    monkeypatch.setattr(blocks, "MOST_PARTITIONS", 4)
+    monkeypatch.setattr(blocks, "block_count", lambda *_: 14)
+    test_awkward_rows(spark, awkward, name)
+
+
+def test_messages_of_relays_grow_below_the_square(spark, monkeypatch):
+    """All letters arrive, in about ``n * sqrt(n)`` rows."""
+    monkeypatch.setattr(blocks, "DIRECT", 0)
+    for n in (16, 60):
+        docs = spark.range(4 * n).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+        dealt = blocks.frames(docs, n)
+        senders = dealt.select("block").distinct().count()
+        asked = blocks.ask(dealt, n, lambda table, n=n: ((k, bytes([k])) for k in range(n)))
+        side = math.isqrt(n - 1) + 1
+        assert asked.count() <= n * side
+        rows = asked.selectExpr("bucket", "inline(items)").collect()
+        assert len(rows) == senders * n and all(x["payload"] == bytes([x["bucket"]]) for x in rows)
+        echoed = blocks.answer(asked, n, lambda payloads: [bytes(x) for x in payloads])
+        assert echoed.count() <= n * side
+        back = echoed.selectExpr("block", "inline(items)").collect()
+        assert {(x["block"], x["sender"]): bytes(x["payload"])[0] for x in back} == {
+            (x["sender"], x["bucket"]): x["bucket"] for x in rows
+        }
+
+
+def test_equal_rows_are_dealt_once_a_task(spark):
+    """A row that is most of the table comes to its block as one with a number."""
+    text = _words(31, 40)
+    rows = [(None, None)] * 900 + [(1, text)] * 900 + [(2, text + " more"), (None, ""), (None, text)]
+    docs = _frame(spark, rows)
+    dealt = blocks.frames(docs, 8)
+    frames = [x["frame"] for x in dealt.collect()]
+    sent = sum(blocks.pa.ipc.open_stream(x).read_all().num_rows for x in frames)
+    assert sent <= 5 * docs.rdd.getNumPartitions()
+    expected = plain.without_passages(rows)
+    assert _bag(_passages(docs).collect()) == _bag(expected)
+    assert _bag(near_duplicates(docs).collect()) == _bag(plain.near_duplicates(rows, 5, 80))
+    assert _bag(_tokens(docs).collect()) == _bag(_plain_tokens(rows))
+    assert without_near_copies(docs).count() == 900 + 900 + 1
+
+
 def test_without_copies_keeps_columns(awkward):
     rows, docs = awkward
     kept = without_copies(docs)
