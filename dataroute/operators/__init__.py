@@ -1,6 +1,6 @@
 """Table operators: literals, records and result resolution."""
 
-from dataroute.operators.joins import hot_keys, join_hot
+from dataroute.operators.joins import hot_keys, join_hot, spread
 from dataroute.operators.literals import call_literals, quoted_literals
 from dataroute.operators.records import (
     preview,
@@ -27,6 +27,7 @@ __all__ = [
     "resolve",
     "save_records",
     "shape",
+    "spread",
     "stringify",
     "temp_views",
     "to_records",

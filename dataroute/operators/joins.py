@@ -11,6 +11,8 @@ from dataroute.sources.scratch import scratch_location
 MOST_HOT = 10_000
 #: Keys with fewer rows are never hot.
 LEAST_HOT = 1_000
+#: Rows that take long go into files of as many at most.
+MOST_ROWS = 16_384
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -20,6 +22,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(location)
 
 
+def spread(df: DataFrame, label: str) -> DataFrame:
+    """The rows of ``df`` in files for every core, written and read back.
+
+    For tables of few bytes whose rows take long: Spark deals those out by their bytes, and a
+    group of rows in a file goes to one task however many rows it has.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    rounds = -(-df.count() // (cores * MOST_ROWS))
+    return written(df.repartition(cores * max(1, rounds)), label)
+
+
 def hot_keys(rows: DataFrame, key: str) -> DataFrame:
     """The keys that a ten-thousandth of all rows or more have: ten thousand at most.
 

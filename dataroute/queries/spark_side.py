@@ -47,7 +47,9 @@ def scripts(spark, sf_dir):
 
 
 def jobs(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.expr(PART_JOB).alias("code"))
+    """Scripts that go to the scanner: a table of few bytes for much work, so dealt to all cores."""
+    parts = dr.spread(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "parts")
+    return parts.select("p_partkey", F.expr(PART_JOB).alias("code"))
 
 
 def round_trip(name: str, fmt: str | None, schema: bool = True):

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 import dataroute as dr
 from dataroute.operators import joins
+from dataroute.queries import spark_side
+from dataroute.queries.inputs import PART_JOB
 
 SCRIPTS = [
     (1, 'a = spark.read.parquet(("raw/in.csv")); a.write.mode("append").parquet(\\\n"stage/a.parquet")'),
@@ -75,6 +77,26 @@ def test_levels_and_cycles_equal_a_plain_search(spark, seed):
     assert {x.script: (x.level, x.cycle) for x in got} == expected and len(got) == n
 
 
+def test_rows_that_take_long_go_to_all_cores(spark, tmp_path):
+    """One file with one group of rows: Spark alone would give it to one task."""
+    rows = [(k if k % 9 else None, f"Brand#{k % 5}", "unused") for k in range(400)] * 2
+    df = spark.createDataFrame(rows, "p_partkey long, p_brand string, p_name string").coalesce(1)
+    df.write.parquet(f"{tmp_path}/part.parquet")
+    jobs = spark_side.jobs(spark, str(tmp_path))
+    assert jobs.select(F.spark_partition_id()).distinct().count() == spark.sparkContext.defaultParallelism
+    expected = spark.read.parquet(f"{tmp_path}/part.parquet").select("p_partkey", F.expr(PART_JOB).alias("code"))
+    assert sorted(map(str, jobs.collect())) == sorted(map(str, expected.collect()))
+    assert dr.spread(df.limit(0), "none").collect() == []
+
+
+def test_no_file_has_too_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(joins, "MOST_ROWS", 10)
+    cores = spark.sparkContext.defaultParallelism
+    df = dr.spread(spark.range(10 * cores + 1), "many")
+    counts = [x["count"] for x in df.groupBy("_metadata.file_path").count().collect()]
+    assert len(counts) == 2 * cores and max(counts) <= 10 and sum(counts) == 10 * cores + 1
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 @pytest.mark.parametrize("least", [1, 500, 10**6])
 def test_joins_on_hot_keys(spark, how, least, monkeypatch):
