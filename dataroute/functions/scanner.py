@@ -99,7 +99,8 @@ def _token(piece: Column, k: Column, methods: Sequence[str]) -> Column:
     run, sign = piece["run"], piece["sign"]
     letters = F.lower(F.regexp_extract(run, "[A-Za-z]*$", 0))
     known = F.when(letters.isin(*_PLAIN_PREFIXES, *_F_PREFIXES, *_BYTES_PREFIXES), letters).otherwise("")
-    prefix = F.when((run != "") & (F.startswith(sign, F.lit('"')) | F.startswith(sign, F.lit("'"))), known).otherwise("")
+    is_quote = F.startswith(sign, F.lit('"')) | F.startswith(sign, F.lit("'"))
+    prefix = F.when((run != "") & is_quote, known).otherwise("")
 
     def told(x: Column) -> Column:
         name = F.left(run, F.char_length(run) - F.char_length(x["prefix"]))
@@ -262,7 +263,7 @@ def _grown(stack: Column, frames: Column, top: Column) -> dict[str, Column]:
 def _step(state: Column, token: Column) -> Column:
     stack, seen = state["stack"], state["seen"]
     deed = _of(_DEEDS, state["top"] * _N_SIGNS + token["sign"])
-    field = F.lit(_FRAMES.index("x"))
+    field, brace = (F.lit(_FRAMES.index(x)) for x in "x{")
     return (
         F.when(state["top"] < _CODE, _code(state, token))
         .when(deed == _NONE, state)
@@ -277,7 +278,7 @@ def _step(state: Column, token: Column) -> Column:
         )
         .when(deed == _FIELD, _state(state, stack=F.concat(stack, F.lit("x")), top=field))
         .when(deed == _BREAKS, _state(state, **_cut(stack, 1), seen=F.lit(_NOTHING)))
-        .when(deed == _FIELD_AND_BRACE, _state(state, stack=F.concat(stack, F.lit("x{")), top=F.lit(_FRAMES.index("{"))))
+        .when(deed == _FIELD_AND_BRACE, _state(state, stack=F.concat(stack, F.lit("x{")), top=brace))
         .when(deed == _BRACES, _state(state, **_cut(stack, _braces(stack))))
         .otherwise(_state(state, **_cut(stack, 1)))
     )
