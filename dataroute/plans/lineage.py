@@ -9,12 +9,15 @@ accesses and not as many as pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, LongType, StructField, StructType
 
 from dataroute.functions import scanner
 from dataroute.functions.paths import redirect_path
+from dataroute.operators import joins
 from dataroute.operators.joins import hot_keys, join_hot, written
+from dataroute.sources.scratch import scratch_location
 
 #: Methods of readers and writers whose first argument is a path.
 PATH_METHODS = ("parquet", "csv", "json", "orc", "text", "load", "save")
@@ -82,120 +85,144 @@ def script_levels(scripts: DataFrame, accesses: DataFrame) -> DataFrame:
     Level 0 reads nothing that a script writes; others are one above the highest script
     that writes something they read. Scripts that wait for each other, or for themselves,
     have no level and name their ``cycle`` by its least script; those behind a cycle have
-    neither. Every level is one round of joins and grouping and is written.
+    neither. Every level is one round of joins, from scripts through destinations to
+    scripts, and is written.
     """
     ids = scripts.toDF("script").filter("script IS NOT NULL").distinct()
-    node = F.concat(F.lit("s"), F.col("script").cast("string"))
-    place = F.concat(F.lit("d"), F.col("destination"))
-    accesses = written(
-        accesses.filter("script IS NOT NULL")
-        .select(node.alias("own"), place.alias("place"), "role")
-        .distinct(),
-        "accesses",
-    )
-    writes = accesses.filter(F.col("role") == WRITE).select(F.col("own").alias("src"), F.col("place").alias("dst"))
-    reads = accesses.filter(F.col("role") == READ).select(F.col("place").alias("src"), F.col("own").alias("dst"))
-    places = written(writes.select(F.col("dst").alias("src")).distinct(), "places")
-    # A destination that nobody writes holds no one up.
-    edges = written(writes.unionByName(join_hot(reads, places, "src", "left_semi")), "edges")
-    found = _levels(edges)
-    # Scripts and destinations take turns on every path, which begins with a script.
-    level = F.when(F.col("round").isNotNull(), F.expr("round DIV 2"))
-    named = ids.withColumn("node", node).join(found, "node", "left")
-    named = written(named.withColumn("level", level), "levels")
+    kind = ids.schema["script"].dataType
+    node = F.col("script")
+    if not isinstance(kind, IntegralType) or accesses.schema["script"].dataType != kind:
+        node = node.cast("string")
+    uses = accesses.filter("script IS NOT NULL").select(node.alias("node"), "destination", "role")
+    reads, writes = _edges(written(uses.distinct(), "accesses"))
+    rounds, stuck = _waiting(reads, writes)
+    found = rounds.groupBy("node").agg((F.max("round") + 1).alias("level"))
+    found = found.join(stuck.select("node", F.lit(True).alias("is_stuck")).distinct(), "node", "left")
+    found = found.join(_cycles(stuck, writes), "node", "left")
+    named = written(ids.withColumn("node", node).join(found, "node", "left"), "levels")
     least = named.filter("cycle IS NOT NULL").groupBy("cycle").agg(F.min("script").alias("least"))
-    in_graph = F.col("node").isNotNull() & F.col("seen").isNotNull()
-    return named.join(least, "cycle", "left").select(
-        "script",
-        F.when(in_graph, F.col("level")).otherwise(F.lit(0).cast("long")).alias("level"),
-        F.col("least").alias("cycle"),
+    level = F.when(F.col("is_stuck").isNull(), F.coalesce("level", F.lit(0).cast("long")))
+    return named.join(least, "cycle", "left").select("script", level.alias("level"), F.col("least").alias("cycle"))
+
+
+def _edges(uses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(node, place)`` of reads and of writes, at destinations that are both read and written.
+
+    A destination that nobody writes holds no one up, and one that nobody reads no one either.
+    The others get numbers, which stand for them in all rounds.
+    """
+    both = uses.groupBy("destination").agg(
+        F.bool_or(F.col("role") == READ).alias("is_read"), F.bool_or(F.col("role") == WRITE).alias("is_written")
     )
+    places = both.filter("is_read AND is_written").select("destination", F.monotonically_increasing_id().alias("place"))
+    edges = join_hot(uses, written(places, "places"), "destination").select("node", "place", "role")
+    edges = written(edges, "edges")
+    return tuple(written(edges.filter(F.col("role") == x).select("node", "place"), x) for x in (READ, WRITE))
 
 
-def _levels(edges: DataFrame) -> DataFrame:
-    """``(node, seen, round, cycle)``: the longest path to a node, or the cycle that it is on."""
-    nodes = written(edges.selectExpr("src AS node").unionAll(edges.selectExpr("dst")).distinct(), "nodes")
-    left, waiting, done, count = edges, nodes, [], 0
-    hot = hot_keys(edges, "src")
-    while True:
-        blocked = written(left.select(F.col("dst").alias("node")).distinct(), "blocked")
-        ready = written(waiting.join(blocked, "node", "left_anti"), "ready")
-        if ready.isEmpty():
+def _counted(df: DataFrame, location: str, *sums: Column) -> tuple[DataFrame, int]:
+    """``df`` written to a location and read back, and its number of rows or another sum."""
+    counted = Observation()
+    total = F.sum(*sums) if sums else F.count(F.lit(1))
+    df.observe(counted, total.alias("n")).write.parquet(location)
+    return df.sparkSession.read.schema(df.schema).parquet(location), counted.get["n"] or 0
+
+
+def _measured(rows: DataFrame, key: str) -> DataFrame | None:
+    hot = hot_keys(rows, key)
+    return None if hot.isEmpty() else hot
+
+
+def _held(rows: DataFrame, keys: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """The rows whose key is one of ``keys``, which can repeat; ``hot`` are keys measured in ``rows``."""
+    if hot is None:
+        return rows.join(keys, key, "left_semi")
+    return join_hot(rows, written(keys.distinct(), "held"), key, "left_semi", hot)
+
+
+def _waiting(own: DataFrame, other: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``own`` round by round, with the number of the ``round``, and those that stay.
+
+    A row stays as long as its place is in ``other`` one of a node with rows that stay. With
+    reads and the writes they wait for these are scripts that wait, whose numbers of rounds
+    are their levels; with writes and reads, scripts that others wait for.
+    """
+    at = scratch_location(own.sparkSession, "rounds")
+    own, n = _counted(own, f"{at}/round=0")
+    many = n >= joins.LEAST_HOT
+    hot_nodes, hot_places = (_measured(other, "node"), _measured(own, "place")) if many else (None, None)
+    last, k = n, 0
+    while n:
+        if n < joins.LEAST_HOT:
+            hot_nodes = hot_places = None
+        places = _held(other, own.select("node"), "node", hot_nodes).select("place")
+        new, left = _counted(_held(own, places, "place", hot_places), f"{at}/round={k + 1}")
+        stays = left == n
+        own, n, k = new, left, k + 1
+        if stays:
             break
-        done.append(ready.withColumn("round", F.lit(count).cast("long")))
-        left = written(join_hot(left, ready.toDF("src"), "src", "left_anti", hot), "left")
-        waiting, count = blocked, count + 1
-    found = nodes.withColumn("seen", F.lit(True))
-    if done:
-        rounds = done[0]
-        for more in done[1:]:
-            rounds = rounds.unionAll(more)
-        found = found.join(rounds, "node", "left")
-    else:
-        found = found.withColumn("round", F.lit(None).cast("long"))
-    return found.join(_cycles(left), "node", "left")
-
-
-def _trimmed(edges: DataFrame) -> DataFrame:
-    """Edges whose ends have edges both in and out, as all edges of a cycle have."""
-    before = edges.count()
-    if not before:
-        return edges
-    hot = {end: hot_keys(edges, end) for end in ("src", "dst")}
-    while True:
-        for end, other in (("dst", "src"), ("src", "dst")):
-            held = written(edges.select(F.col(other).alias(end)).distinct(), "ends")
-            edges = written(join_hot(edges, held, end, "left_semi", hot[end]), "edges")
-        after = edges.count()
-        if after in (0, before):
-            return edges
-        before = after
+        if 2 * n < last:
+            other, last = written(_held(other, own.select("node"), "node", hot_nodes), "left"), n
+    rounds = own.sparkSession.read.schema(StructType([*own.schema, StructField("round", LongType())])).parquet(at)
+    return rounds, own
+
+
+def _needed(reads: DataFrame, writes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reads that wait for ever, and writes, of scripts that others of them wait for."""
+    writes = _waiting(writes.join(reads, "node", "left_semi"), reads)[1]
+    reads = reads.join(writes, "node", "left_semi").join(writes, "place", "left_semi")
+    return written(reads.select("node", "place", "number"), "reads"), writes
 
 
-def _cycles(edges: DataFrame) -> DataFrame:
+def _cycles(reads: DataFrame, writes: DataFrame) -> DataFrame:
     """``(node, cycle)`` for nodes that reach themselves: groups that reach each other.
 
-    The least node that reaches a node colours it. A node whose colour is its own is in one
-    group with all of its colour that reach it; these go, and the rest is coloured anew.
+    ``reads`` wait for ever. The least and the greatest node that reach a node colour it, and
+    nodes of one group have the same colours, so that places are cut into one for each colour.
+    What is still on a way from group to group is coloured the other way round, by nodes that
+    it reaches, and so in turns. Nodes that reach what reaches them are a group and go.
     """
-    edges = _trimmed(edges)
-    found = edges.select(F.col("src").alias("node"), F.col("src").alias("cycle")).limit(0)
-    while not edges.isEmpty():
-        colours = _spread(edges)
-        inside = (
-            edges.join(colours.toDF("src", "colour"), "src")
-            .join(colours.toDF("dst", "other"), "dst")
-            .filter("colour = other")
-        )
-        inside = written(inside.select("src", "dst", "colour"), "inside")
-        group = _reaching(inside, written(colours.filter("node = colour"), "roots"))
-        found = found.unionAll(group.select("node", F.col("colour").alias("cycle")))
-        names = group.select("node")
-        edges = edges.join(names.toDF("src"), "src", "left_anti").join(names.toDF("dst"), "dst", "left_anti")
-        edges = _trimmed(written(edges, "edges"))
-    # Alone, a node is on a cycle only if it waits for itself; trimming left no other.
+    found = reads.selectExpr("node", "node AS cycle").limit(0)
+    known = reads.selectExpr("node", "node AS lo", "node AS hi").limit(0)
+    reads, writes = (x.withColumn("number", F.col("place")) for x in (reads, writes))
+    reads, writes = _needed(reads, writes)
+    while not reads.isEmpty():
+        groups = _coloured(reads, writes).join(known.toDF("node", "least", "greatest"), "node", "left")
+        cycle = F.when(F.col("lo") == F.col("least"), F.col("lo")).when(F.col("hi") == F.col("greatest"), F.col("hi"))
+        groups = written(groups.select("node", "lo", "hi", cycle.alias("cycle")), "groups")
+        found = found.unionAll(groups.filter("cycle IS NOT NULL").select("node", "cycle"))
+        known = groups.filter("cycle IS NULL").select("node", "lo", "hi")
+        writes, reads = _cut(reads, writes, known)
     return found
 
 
-def _spread(edges: DataFrame) -> DataFrame:
-    """``(node, colour)``: the least node that reaches each node, itself included."""
-    colours = edges.selectExpr("src AS node").unionAll(edges.selectExpr("dst AS node")).distinct()
-    colours = written(colours.withColumn("colour", F.col("node")), "colours")
-    while True:
-        sent = edges.join(colours.toDF("src", "colour"), "src").select(F.col("dst").alias("node"), "colour")
-        new = colours.unionByName(sent).groupBy("node").agg(F.min("colour").alias("colour"))
-        new = written(new, "colours")
-        if new.join(colours, ["node", "colour"], "left_anti").isEmpty():
-            return new
-        colours = new
+def _cut(reads: DataFrame, writes: DataFrame, colours: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reads and writes of coloured nodes whose colour has a cycle or a way between cycles."""
+
+    def cut(edges: DataFrame) -> DataFrame:
+        place = F.struct("number", "lo", "hi").alias("place")
+        return written(edges.join(colours, "node").select("node", place, "number"), "cut")
+
+    writes = cut(writes)
+    return _needed(_waiting(cut(reads), writes)[1], writes)
+
+
+def _coloured(reads: DataFrame, writes: DataFrame) -> DataFrame:
+    """``(node, lo, hi)``: the least and the greatest node that reach each node, or the node itself."""
+    colours = reads.select("node", F.col("node").alias("lo"), F.col("node").alias("hi")).distinct()
+    colours = written(colours, "colours")
+    least, greatest = F.min("lo").alias("lo"), F.max("hi").alias("hi")
 
+    def step(colours: DataFrame) -> DataFrame:
+        places = writes.join(colours, "node").groupBy("place").agg(least, greatest)
+        sent = reads.join(places, "place").select("node", "lo", "hi")
+        return colours.unionByName(sent).groupBy("node").agg(least, greatest)
 
-def _reaching(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """``(node, colour)``: nodes that reach the root of their colour, roots included."""
-    found = fresh = roots
     while True:
-        back = edges.join(fresh.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "colour")
-        fresh = written(back.distinct().join(found, ["node", "colour"], "left_anti"), "fresh")
-        if fresh.isEmpty():
-            return found
-        found = written(found.unionByName(fresh), "found")
+        # Two steps for each time that colours are written.
+        new = step(step(colours)).join(colours.toDF("node", "least", "greatest"), "node")
+        changed = (F.col("lo") != F.col("least")) | (F.col("hi") != F.col("greatest"))
+        new, n = _counted(new, scratch_location(new.sparkSession, "colours"), changed.cast("long"))
+        colours = new.select("node", "lo", "hi")
+        if not n:
+            return colours

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 import dataroute as dr
@@ -77,6 +78,39 @@ def test_levels_and_cycles_equal_a_plain_search(spark, seed):
     assert {x.script: (x.level, x.cycle) for x in got} == expected and len(got) == n
 
 
+def uses_of(spark, waits, kind):
+    """Accesses of scripts that wait for each other, each at a destination of its own."""
+    uses = [x for a, b in waits for x in ((a, "read", f"d{b}"), (b, "write", f"d{b}"))]
+    return spark.createDataFrame(uses, f"script {kind}, role string, destination string")
+
+
+def test_a_level_is_one_table(spark, monkeypatch):
+    n, tables, write = 16, [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a: (tables.append(path), write(self, path, *a)))
+    got = dr.script_levels(spark.range(n), uses_of(spark, [(k + 1, k) for k in range(n - 1)], "long"))
+    assert {x.script: (x.level, x.cycle) for x in got.collect()} == {k: (k, None) for k in range(n)}
+    assert len(tables) < 3 * n
+
+
+@pytest.mark.parametrize(
+    ("name", "least"), [(lambda k: k, 1), (lambda k: 100 - k, 10**6), (lambda k: f"s{k * 37 % 101}", 10**6)]
+)
+def test_cycles_behind_cycles(spark, name, least, monkeypatch):
+    """Three cycles in a row, a script between each two, one that waits for itself, a tail."""
+    monkeypatch.setattr(joins, "LEAST_HOT", least)
+    circles = [(10, 11, 12), (20, 21), (30, 31, 32, 33), (40,)]
+    waits = [(x[k], x[k - 1]) for x in circles for k in range(len(x))]
+    waits += [(5, 11), (20, 5), (25, 21), (31, 25), (6, 33), (40, 6), (50, 40), (51, 50), (10, 1), (1, 0)]
+    kind = "string" if isinstance(name(0), str) else "long"
+    accesses = uses_of(spark, [(name(a), name(b)) for a, b in waits], kind)
+    expected = {name(x): (None, min(map(name, circle))) for circle in circles for x in circle}
+    expected |= {name(x): (None, None) for x in (5, 25, 6, 50, 51)}
+    expected |= {name(0): (0, None), name(1): (1, None), name(2): (0, None)}
+    ids = spark.createDataFrame([(x,) for x in expected] * 2, f"id {kind}")
+    got = dr.script_levels(ids, accesses).collect()
+    assert {x.script: (x.level, x.cycle) for x in got} == expected and len(got) == len(expected)
+
+
 def test_rows_that_take_long_go_to_all_cores(spark, tmp_path):
     """One file with one group of rows: Spark alone would give it to one task."""
     rows = [(k if k % 9 else None, f"Brand#{k % 5}", "unused") for k in range(400)] * 2
